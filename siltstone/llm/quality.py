@@ -1,8 +1,7 @@
 """Quality rules by weak supervision (operator 9).
 
 Each rule votes good (1) or bad (-1) on a document, or abstains (0). Expectation-maximisation
-over the counts of vote patterns estimates how often each rule is right on good and on bad
-documents; the posterior probability of "good" then decides, rather than all rules at once.
+over the counts of vote patterns estimates each rule's accuracy; the posterior probability of "good" then decides, rather than all rules at once.
 
 Everything is made of SQL functions. Documents meet the model only through their vote pattern,
 of which there are at most 3**8 = 6561: the patterns are counted with a map-side combine,
@@ -28,19 +27,21 @@ RULES = 8
 ROUNDS = 25
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-#: rule, vote 1 if, vote -1 if; shared by Spark and the SQL oracle.
+#: rule, vote 1 if, vote -1 if; shared by Spark and the SQL oracle. A rule that looks for one defect says
+#: nothing about the others, so it abstains where it finds none; only `prose` speaks for a document.
 VOTES = [
-    ("symbols", "n_symbols * 100 <= n_words", "n_symbols * 10 >= n_words"),
-    ("repeats", "n_repeat_words * 10 <= n_words", "n_repeat_words * 10 >= 3 * n_words"),
-    ("lines", "n_dup_lines * 10 <= n_lines", "n_dup_lines * 10 >= 4 * n_lines"),
-    ("word_length", "word_chars * 10 >= 35 * n_words AND word_chars * 10 <= 65 * n_words", "word_chars < 3 * n_words OR word_chars * 10 > 75 * n_words"),
-    ("exclaims", "n_exclaims * 50 <= n_words", "n_exclaims * 5 >= n_words"),
-    ("upper", "n_upper * 10 <= word_chars", "n_upper * 10 >= 3 * word_chars"),
-    ("variety", "n_distinct * 10 >= 4 * n_words OR n_distinct >= 400", "n_distinct * 5 <= n_words AND n_distinct < 200"),
-    ("length", "n_words >= 100", "n_words < 50"),
+    ("symbols", "false", "n_symbols * 10 >= n_words"),
+    ("repeats", "false", "n_repeat_words * 10 >= 3 * n_words"),
+    ("lines", "false", "n_dup_lines * 10 >= 4 * n_lines AND n_lines >= 4"),
+    ("word_length", "false", "word_chars < 3 * n_words OR word_chars * 10 > 75 * n_words"),
+    ("exclaims", "false", "n_exclaims * 5 >= n_words"),
+    ("upper", "false", "n_upper * 10 >= 3 * word_chars"),
+    ("variety", "false", "n_distinct * 5 <= n_words AND n_distinct < 200"),
+    ("prose", "n_symbols = 0 AND n_exclaims * 50 <= n_words AND n_repeat_words * 10 <= n_words AND n_upper * 10 <= word_chars AND n_dup_lines * 10 <= 4 * n_lines AND word_chars * 10 BETWEEN 35 * n_words AND 65 * n_words", "n_words = 0"),
 ]
-#: Start of EM: the share of good documents and every rule's accuracy; and the pseudo-counts (right, all) of a rule.
-START_SHARE, START_RIGHT, PSEUDO = 0.8, 0.8, (4.0, 5.0)
+#: The class balance, which stays even so that the majority can't outvote a rare defect; every rule's accuracy at
+#: the start of EM; and the pseudo-counts (right, all) of a rule.
+SHARE, START_RIGHT, PSEUDO = 0.5, 0.9, (9.0, 10.0)
 
 
 def _without(text: F.Column, characters: str) -> F.Column:
@@ -88,10 +89,7 @@ def votes(df: DataFrame) -> DataFrame:
 
 
 def _log_odds(s: str, v: str) -> str:
-    return (
-        f"ln({s}.share / (1D - {s}.share)) + aggregate(sequence(0, {RULES - 1}), 0D, (x, j) -> x + "
-        f"case {v}[j] when 1 then ln({s}.good[j] / (1D - {s}.bad[j])) when -1 then ln((1D - {s}.good[j]) / {s}.bad[j]) else 0D end)"
-    )
+    return f"ln({s}.share / (1D - {s}.share)) + aggregate(sequence(0, {RULES - 1}), 0D, (x, j) -> x + {v}[j] * ln({s}.acc[j] / (1D - {s}.acc[j])))"
 
 
 def posteriors(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -99,16 +97,15 @@ def posteriors(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     right, over = PSEUDO
     seen = voted.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
     q = f"1D / (1D + exp(-({_log_odds('s', 'p.v')})))"
-    share = lambda of, w: f"aggregate(Q, 0D, (x, r) -> x + if({of}, r.n * {w}, 0D))"
+    total = lambda x: f"aggregate(Q, 0D, (x, r) -> x + r.n * ({x}))"
     step = f"""element_at(transform(array(transform(P, p -> named_struct('v', p.v, 'n', p.n, 'q', {q}))), Q -> named_struct(
-        'share', ({share('true', 'r.q')} + 1D) / ({share('true', '1D')} + 2D),
-        'good', transform(sequence(0, {RULES - 1}), j -> ({share('r.v[j] = 1', 'r.q')} + {right}D) / ({share('r.v[j] <> 0', 'r.q')} + {over}D)),
-        'bad', transform(sequence(0, {RULES - 1}), j -> ({share('r.v[j] = -1', '(1D - r.q)')} + {right}D) / ({share('r.v[j] <> 0', '(1D - r.q)')} + {over}D)))), 1)"""
-    start = f"named_struct('share', {START_SHARE}D, 'good', array_repeat({START_RIGHT}D, {RULES}), 'bad', array_repeat({START_RIGHT}D, {RULES}))"
+        'share', s.share,
+        'acc', transform(sequence(0, {RULES - 1}), j -> ({total('case r.v[j] when 1 then r.q when -1 then 1D - r.q else 0D end')} + {right}D) / ({total('abs(r.v[j])')} + {over}D)))), 1)"""
+    start = f"named_struct('share', {SHARE}D, 'acc', array_repeat({START_RIGHT}D, {RULES}))"
     model = seen.agg(F.sort_array(F.collect_list(F.struct(F.col("votes").alias("v"), "n"))).alias("P"))
     model = model.withColumn("s", F.expr(f"aggregate(sequence(1, {rounds}), {start}, (s, t) -> {step})"))
     out = model.select("s", F.explode("P").alias("p"))
-    return out.select(F.col("p.v").alias("votes"), F.expr(f"1D / (1D + exp(-({_log_odds('s', 'p.v')})))").alias("posterior"))
+    return out.select(F.col("p.v").alias("votes"), F.expr(q).alias("posterior"))
 
 
 def judged(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -141,28 +138,26 @@ feats AS (SELECT t.* EXCLUDE (body, ws, ls), len(ws) AS n_words, length(regexp_r
     len(list_distinct(ws)) AS n_distinct FROM toks t LEFT JOIN rep USING (rid))"""
 
 
-def _duck_odds(share: str, good: str, bad: str, v: str) -> str:
-    terms = " + ".join(f"(CASE {v}[{j}] WHEN 1 THEN ln({good}[{j}] / (1 - {bad}[{j}])) WHEN -1 THEN ln((1 - {good}[{j}]) / {bad}[{j}]) ELSE 0 END)" for j in range(1, RULES + 1))
-    return f"ln({share} / (1 - {share})) + {terms}"
+def _duck_odds() -> str:
+    return "ln(share / (1 - share)) + " + " + ".join(f"v[{j}] * ln(acc[{j}] / (1 - acc[{j}]))" for j in range(1, RULES + 1))
 
 
 def kept_sql(docs: str) -> str:
     """CTEs ending in `scored`: all columns of the relation `docs`, the counts, base_failed, posterior and kept."""
     right, over = PSEUDO
     case = ", ".join(f"CASE WHEN {good} THEN 1 WHEN {bad} THEN -1 ELSE 0 END" for _, good, bad in VOTES)
-    a = ", ".join(f"(sum(CASE WHEN v[{j}] = 1 THEN n * q ELSE 0 END) + {right}) / (sum(CASE WHEN v[{j}] <> 0 THEN n * q ELSE 0 END) + {over})" for j in range(1, RULES + 1))
-    b = ", ".join(f"(sum(CASE WHEN v[{j}] = -1 THEN n * (1 - q) ELSE 0 END) + {right}) / (sum(CASE WHEN v[{j}] <> 0 THEN n * (1 - q) ELSE 0 END) + {over})" for j in range(1, RULES + 1))
-    half = ", ".join([f"CAST({START_RIGHT} AS DOUBLE)"] * RULES)
+    acc = ", ".join(f"(sum(n * CASE v[{j}] WHEN 1 THEN q WHEN -1 THEN 1 - q ELSE 0 END) + {right}) / (sum(n * abs(v[{j}])) + {over})" for j in range(1, RULES + 1))
+    start = ", ".join([f"CAST({START_RIGHT} AS DOUBLE)"] * RULES)
     return f"""docs AS ({docs}), {FEATURES_SQL},
 voted AS MATERIALIZED (SELECT *, [{case}] AS v FROM feats),
 pats AS MATERIALIZED (SELECT v, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY v),
-em(t, share, good, bad) AS (
-  SELECT 0, CAST({START_SHARE} AS DOUBLE), [{half}], [{half}]
+em(t, share, acc) AS (
+  SELECT 0, CAST({SHARE} AS DOUBLE), [{start}]
   UNION ALL
-  SELECT t + 1, share, good, bad FROM (
-    SELECT any_value(t) AS t, (sum(n * q) + 1) / (sum(n) + 2) AS share, [{a}] AS good, [{b}] AS bad
-    FROM (SELECT t, v, n, 1 / (1 + exp(-({_duck_odds('share', 'good', 'bad', 'v')}))) AS q FROM em, pats WHERE t < {ROUNDS}) HAVING count(*) > 0)),
-model AS (SELECT v, 1 / (1 + exp(-({_duck_odds('share', 'good', 'bad', 'v')}))) AS posterior FROM em, pats WHERE t = {ROUNDS}),
+  SELECT t + 1, share, acc FROM (
+    SELECT any_value(t) AS t, any_value(share) AS share, [{acc}] AS acc
+    FROM (SELECT t, share, v, n, 1 / (1 + exp(-({_duck_odds()}))) AS q FROM em, pats WHERE t < {ROUNDS}) HAVING count(*) > 0)),
+model AS (SELECT v, 1 / (1 + exp(-({_duck_odds()}))) AS posterior FROM em, pats WHERE t = {ROUNDS}),
 scored AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND posterior >= 0.5 AS kept FROM voted JOIN model USING (v))"""
 
