@@ -1,7 +1,7 @@
 """All registered queries of the subpackage."""
 
-from . import quality, setjoin
+from . import quality, repeats, setjoin
 
-MODULES = [setjoin, quality]
+MODULES = [repeats, setjoin, quality]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
