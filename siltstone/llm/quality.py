@@ -57,7 +57,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: F.trim(_without(x, WHITE)) != ""))
     df = df.withColumn("_triples", triples)
     return df.select(
-        *[c for c in df.columns if not c.startswith("_")],
+        *[c for c in df.columns if c not in ("_text", "_flat", "_words", "_lines", "_triples")],
         F.size("_words").cast("long").alias("n_words"),
         F.length(_without(F.col("_flat"), " ")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(_without(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -108,16 +108,24 @@ def posteriors(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return out.select(F.col("p.v").alias("votes"), F.expr(q).alias("posterior"))
 
 
-def judged(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: the columns named in `keep` (default: all), the base counts, base_failed, votes, posterior and kept."""
-    keep = docs.columns if keep is None else keep
+def _judged(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     plain = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("body"))
     voted = staged(votes(features(plain, "body")).drop("body"), "op9-votes")
     model = F.broadcast(posteriors(voted))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = voted.join(model, "votes", "left").withColumn("base_failed", failed)
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[c for c in [*BASE, "base_failed", "posterior", "kept"]])
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+
+
+def judged(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Per row: the columns named in `keep` (default: all), the base counts, base_failed, posterior and kept."""
+    keep = docs.columns if keep is None else keep
+    return _judged(docs, text, keep).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *BASE, "base_failed", "posterior", "kept")
+
+
+def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with their own columns only."""
+    return _judged(docs, text, docs.columns).where("kept").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

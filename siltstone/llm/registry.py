@@ -1,7 +1,7 @@
 """All registered queries of the subpackage."""
 
-from . import bytebpe, quality, repeats, setjoin
+from . import bytebpe, decontaminate, quality, repeats, setjoin
 
-MODULES = [repeats, bytebpe, setjoin, quality]
+MODULES = [decontaminate, repeats, bytebpe, setjoin, quality]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
