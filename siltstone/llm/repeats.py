@@ -36,8 +36,6 @@ from .common import _INVERSE, BLOCK_BYTES, _powers, as_bytes, blocks, lists, mix
 
 LENGTH, ROLL, SPAN = 400, 16, 128
 CORE = LENGTH - SPAN - ROLL
-#: So many numbers at most are broadcast; beyond, the join shuffles.
-SMALL = 3_000_000
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -216,10 +214,10 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     workers(spark)
     keyed = docs.select(F.xxhash64(text_of(text)).alias("tk"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"), text_of(text).alias("text")).where(F.col("n_bytes") >= LENGTH)
     cores = staged(keyed.select("tk", "text").mapInArrow(_cores, "tk long, core long"), "op3-cores")
-    twice = cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    # written first, so that the join's two sides are plain exchanges and a very common core can be split
+    twice = staged(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "op3-twice")
     hits = staged(cores.join(twice, "core").groupBy("tk").agg(F.collect_set("core").alias("cores")), "op3-hits")
-    size = hits.agg(F.coalesce(F.sum(F.size("cores")), F.lit(0))).first()[0]
-    held = keyed.join(F.broadcast(hits) if size <= SMALL else hits, "tk")
+    held = keyed.join(hits, "tk")
     held = held.groupBy("tk", "n_bytes").agg(F.first("text").alias("text"), F.first("cores").alias("cores"), F.count(F.lit(1)).alias("copies"))
     runs = staged(held.mapInArrow(_runs, RUNS), "op3-phrases")
     extents = runs.groupBy("core", "extent").agg(F.sum("copies").alias("copies"), F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.first("context").alias("context"))
@@ -233,10 +231,9 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _with_spans(docs: DataFrame, text: str) -> DataFrame:
     spans = repeated(docs, text)
-    size = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
     named = spans.withColumnsRenamed({"tk": "_tk", "n_bytes": "_n"})
     on = (F.xxhash64(text_of(text)) == F.col("_tk")) & (F.octet_length(text_of(text)) == F.col("_n"))
-    return docs.join(F.broadcast(named) if size <= SMALL else named, on, "left").drop("_tk", "_n")
+    return docs.join(named, on, "left").drop("_tk", "_n")
 
 
 def digests(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
