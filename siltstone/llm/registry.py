@@ -1,7 +1,7 @@
 """All registered queries of the subpackage."""
 
-from . import bytebpe, decontaminate, quality, repeats, setjoin, suffixtree
+from . import bytebpe, decontaminate, langid, quality, repeats, setjoin, sharding, suffixtree
 
-MODULES = [suffixtree, decontaminate, repeats, bytebpe, setjoin, quality]
+MODULES = [suffixtree, decontaminate, repeats, bytebpe, sharding, setjoin, quality, langid]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
