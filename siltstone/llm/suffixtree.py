@@ -156,8 +156,9 @@ def learn(texts: DataFrame) -> Tree:
     each = table.where("d > 0").join(frequent, ["d", "ctx"]).withColumn("up", F.when(F.col("d") == 1, F.lit(0)).otherwise(F.shiftrightunsigned("ctx", 8)))
     gain = each.join(above, ["d", "up", "sym"]).groupBy("d", "ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"), F.first("kinds").alias("kinds"))
     kept = gain.where(F.col("gain") > GAIN * F.col("kinds")).select("d", "ctx")
-    states = table.join(kept, ["d", "ctx"]).unionByName(table.where("d = 0")).select("d", ((F.shiftleft("ctx", 8)).bitwiseOR(F.col("sym"))).alias("key"), "n").toPandas()
-    return Tree({int(d): (g["key"].to_numpy().view(np.uint64), g["n"].to_numpy()) for d, g in states.groupby("d")})
+    states = table.join(kept, ["d", "ctx"]).unionByName(table.where("d = 0")).select("d", ((F.shiftleft("ctx", 8)).bitwiseOR(F.col("sym"))).alias("key"), "n").toArrow()
+    d, key, n = (states.column(c).to_numpy() for c in ("d", "key", "n"))
+    return Tree({k: (key[d == k].view(np.uint64), n[d == k]) for k in range(DEPTH + 1)})
 
 
 BLOCKS = "block long, id array<long>, held array<boolean>, n_tokens array<long>, score array<double>, place binary, hashes binary, counts binary"
