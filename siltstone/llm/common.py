@@ -46,11 +46,13 @@ def workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes to the shared folder and reads again: lineage ends there, and lost executors cost one stage only."""
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Writes to the shared folder and reads again: lineage ends there, and lost executors cost one stage only.
+
+    zstd pays for large columns; its native contexts are too dear for very many small files."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.option("compression", codec).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -4,11 +4,11 @@ Nodes are the distinct texts, weighted by their rows, so that copies move togeth
 min-hash of their 5-word shingles are linked through it. Each round joins nodes with what the shards of
 their links' members are; a node wants the shard where most of them are. Moves between two shards are
 let through as far as they balance each other or the target's quota has room (a share of them, chosen by
-hash). After the last round all rows are laid out by (shard wanted, link, text, id) and cut into equal
+a hash that linked texts share). After the last round all rows are laid out by (shard wanted, link, text, id) and cut into equal
 runs: that makes sizes exact, and only texts that a cut meets, or that exceed a shard, are parted.
 
 Rounds touch keys and weights only, never texts. The places of the layout come from counts of at most
-SHARDS * BUCKETS + HOT * SALTS buckets; a text with more than 1 / HOT of all rows is salted by id, so no
+SHARDS * BUCKETS + HOT * SALTS buckets; a text with more than 1 / HOT of all rows (and FEW of them) is salted by id, so no
 task holds an unbounded group. Null text: size 1 and the checksum of no bytes, one text like others.
 Texts under 5 words are linked by the whole text. Repeated rows each get a slot. Empty: no rows.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, blocks, lists, lowered, mix, prefix_hash, signed, slice_hash, staged, text_of, words, workers
 
 SHARDS, ROUNDS, SLACK = 8, 4, 0.03
-BUCKETS, HOT, SALTS = 1024, 256, 32
+BUCKETS, HOT, SALTS, FEW = 1024, 256, 32, 500
 SHINGLE, LINKS = 5, 4
 _A = np.uint64(0xA24BAED4963EE407)
 
@@ -71,12 +71,21 @@ def _accepted(wanted: dict[tuple[int, int], int], sizes: list[int], shards: int)
     return out
 
 
-def propagated(nodes: DataFrame, shards: int, rounds: int) -> DataFrame:
-    """(g, w, label) of nodes (g, w, links)."""
-    each = nodes.select("g", "w", F.explode(F.array_distinct("links")).alias("link"))
-    shared = staged(each.groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("link"), "op6-shared")
-    links = staged(each.join(shared, "link"), "op6-links")
-    now = staged(nodes.select("g", "w", F.pmod(F.xxhash64(F.array_min("links")), F.lit(shards)).cast("int").alias("label")), "op6-labels")
+def homes(nodes: DataFrame, links: DataFrame, total: int, rounds: int = 2) -> DataFrame:
+    """(g, home): a key that linked texts share, the least of what their links reach in two steps; links that more than
+    1 / HOT of all rows (and FEW of them) share say nothing here, so homes stay small."""
+    few = links.groupBy("link").agg(F.sum("w").alias("n")).where(F.col("n") <= max(total // HOT, FEW)).select("link")
+    near = staged(links.select("g", "link").join(few, "link"), "op6-near")
+    now = near.groupBy("g").agg(F.min("link").alias("home"))
+    for _ in range(rounds):
+        least = staged(near.join(now, "g").groupBy("link").agg(F.min("home").alias("home")), "op6-homes")
+        now = near.join(least, "link").groupBy("g").agg(F.min("home").alias("home"))
+    return staged(nodes.select("g", "w").join(now, "g", "left").withColumn("home", F.coalesce("home", "g")), "op6-homes")
+
+
+def propagated(homed: DataFrame, links: DataFrame, shards: int, rounds: int) -> DataFrame:
+    """(g, w, home, label) of nodes (g, w, home) with links (g, w, link)."""
+    now = homed.withColumn("label", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int"))
     for t in range(rounds):
         held = links.join(now.select("g", "label"), "g").groupBy("link", "label").agg(F.sum("w").alias("n"))
         most = held.groupBy("link").agg(F.max(F.struct("n", (-F.col("label")).alias("low"))).alias("top")).select("link", F.col("top.n").alias("n"), (-F.col("top.low")).alias("want"))
@@ -86,13 +95,13 @@ def propagated(nodes: DataFrame, shards: int, rounds: int) -> DataFrame:
         table = moves.groupBy("label", "want").agg(F.sum("w").alias("n")).collect()  # at most shards ** 2 rows
         sizes = [sum(r.n for r in table if r.label == k) for k in range(shards)]
         share = _accepted({(r.label, r.want): r.n for r in table if r.label != r.want}, sizes, shards)
-        if not share:
-            break
-        luck = F.pmod(F.xxhash64("g", F.lit(t)), F.lit(1_000_000)) / 1e6
+        luck = F.pmod(F.xxhash64("home", F.lit(t)), F.lit(1_000_000)) / 1e6  # linked texts go together
         goes = F.lit(False)
         for (a, b), p in share.items():
             goes = goes | ((F.col("label") == a) & (F.col("want") == b) & (luck < p))
-        now = staged(moves.select("g", "w", F.when(goes, F.col("want")).otherwise(F.col("label")).alias("label")), "op6-labels")
+        now = moves.select("g", "w", "home", F.when(goes, F.col("want")).otherwise(F.col("label")).alias("label"))
+        if not share:
+            break
     return now
 
 
@@ -105,10 +114,12 @@ def sharded(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int
     rows = staged(plain.mapInArrow(_links, f"id {kind}, size long, crc long, g long, links array<long>"), "op6-rows")
     nodes = staged(rows.groupBy("g").agg(F.count(F.lit(1)).alias("w"), F.first("links").alias("links")), "op6-nodes")
     total = nodes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    labels = propagated(nodes, shards, rounds) if total else nodes.select("g", "w", F.lit(0).alias("label"))
-    # linked texts lie together: ordered by their least link
-    place = nodes.select("g", F.array_min("links").alias("near")).join(labels, "g")
-    place = place.withColumn("hot", F.when(F.col("w") * HOT > total, F.col("g")))
+    each = nodes.select("g", "w", F.explode(F.array_distinct("links")).alias("link"))
+    shared = staged(each.groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("link"), "op6-shared")
+    links = staged(each.join(shared, "link"), "op6-links")
+    place = propagated(homes(nodes, links, int(total)), links, shards, rounds)
+    # linked texts lie together: ordered by their home
+    place = place.withColumn("hot", F.when(F.col("w") > max(int(total) // HOT, FEW), F.col("g"))).withColumnRenamed("home", "near")
     place = staged(place.select("g", "label", "near", F.pmod(F.shiftright(F.col("near"), 20), F.lit(BUCKETS)).cast("int").alias("bucket"), "hot"), "op6-place")
     at = ["label", "bucket", "hot", "salt"]
     laid = rows.select("id", "size", "crc", "g").join(place, "g")

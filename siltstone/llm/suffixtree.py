@@ -294,7 +294,7 @@ def scored(docs: DataFrame, held: F.Column, id: str = "doc_id", text: str = "tex
     workers(docs.sparkSession)
     plain = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(held, F.lit(True)).alias("held"), text_of(text).alias("text"))
     tree = learn(plain.where(~F.col("held")).select("text"))
-    told = staged(plain.mapInArrow(_scored(tree), BLOCKS), "op1-blocks")
+    told = staged(plain.mapInArrow(_scored(tree), BLOCKS), "op1-blocks", "zstd")
     bits = max(6, int(told.count() - 1).bit_length() if told.count() else 6)
     asked = told.select("block", "hashes", "counts").mapInArrow(_asked(bits), "bucket int, block long, hashes binary, counts binary")
     asked = asked.repartition("bucket").sortWithinPartitions("bucket", "block")
