@@ -13,7 +13,13 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return timed(reader.parquet(path))
+
+
+def timed(events: DataFrame) -> DataFrame:
+    """Event times without a zone become UTC instants: only these can carry a watermark."""
+    local = [c for c, kind in events.dtypes if kind == "timestamp_ntz"]
+    return events.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else events
 
 
 def deduplicated(events: DataFrame, at: str = "ts", id: str = "event_id", late: str = "1 hour") -> DataFrame:
