@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, blocks, lists, lowered, prefix_hash, signed, slice_hash, staged, text_of, words, workers
 
 DEPTH = 5
-SUPPORT, LEAST = 5e-7, 20
-GAIN = 1.5
+SUPPORT, LEAST = 5e-7, 4
+GAIN = 1.0
 #: Bytes of text that are scored at once, and whose distinct words are asked for at once.
 BLOCK, ASKED = 1 << 20, 12 << 20
 END = np.uint64(0x5851F42D4C957F2D)
