@@ -217,8 +217,9 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     # written first, so that the join's two sides are plain exchanges and a very common core can be split
     twice = staged(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "op3-twice")
     hits = staged(cores.join(twice, "core").groupBy("tk").agg(F.collect_set("core").alias("cores")), "op3-hits")
-    held = keyed.join(hits, "tk")
-    held = held.groupBy("tk", "n_bytes").agg(F.first("text").alias("text"), F.first("cores").alias("cores"), F.count(F.lit(1)).alias("copies"))
+    # copies collapse before they are sent; the join then uses the same exchange
+    texts = keyed.groupBy("tk", "n_bytes").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    held = texts.join(hits, "tk").select("tk", "n_bytes", "text", "cores", "copies")
     runs = staged(held.mapInArrow(_runs, RUNS), "op3-phrases", "zstd")
     extents = runs.groupBy("core", "extent").agg(F.sum("copies").alias("copies"), F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.first("context").alias("context"))
     ranked = extents.repartition("core").sortWithinPartitions("core").mapInArrow(_order, "core long, extent long, spans array<int>")
