@@ -5,9 +5,9 @@ words, predicts it. Decoding sums, over the bits, the loss of the classifier's m
 codeword, weighted by how reliable the bit was in training, and takes the nearest codeword. When the
 runner-up is close the row is flagged as ambiguous.
 
-Learning looks at text and language only, of at most SAMPLE training rows of each language (the ones
-with the least hash of their id): a documented bound, after which more rows hardly move the weights of
-so few features. Predictions read every whole text. n-grams are looked up once per distinct word of a
+Learning looks at text and language only, of about SAMPLE training rows of each language (those whose
+hash of the id falls in a share SAMPLE / rows of the language): a documented bound, after which more rows
+hardly move the weights of so few features. Predictions read every whole text. n-grams are looked up once per distinct word of a
 block and summed over the words of a text. No exchange of texts is needed.
 
 Null text, and text without a letter: `und` with score 0. Rows with null language or id are predicted but not
@@ -21,7 +21,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, blocks, lowered, mix, prefix_hash, slice_hash, words, workers
@@ -126,13 +126,13 @@ def _vectors(batches):
 
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Learns from at most `sample` rows of each language; None if there is nothing to learn from."""
+    """Learns from about `sample` rows of each language; None if there is nothing to learn from."""
     workers(docs.sparkSession)
     rows = docs.select(F.col(lang).alias("lang"), F.xxhash64(F.col(id)).alias("h"), F.col(text).alias("text")).where(F.col(id).isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # the hashes of the chosen rows first, without texts; each task keeps `sample` of a language before anything is sent
-    chosen = rows.select("lang", "h").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= sample)
-    least = chosen.groupBy("lang").agg(F.max("h").alias("top"))
-    got = rows.join(F.broadcast(least), "lang").where("h <= top").select("lang", "text").mapInArrow(_vectors, "lang string, x binary").collect()
+    # hashes are even, so a share of them that depends on the language's count keeps about `sample` rows: nothing is ranked
+    size = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    lot = F.col("h") / F.lit(2.0**64) + 0.5
+    got = rows.join(F.broadcast(size), "lang").where(lot * F.col("n") < sample).select("lang", "text").mapInArrow(_vectors, "lang string, x binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, bytes(r.x)))
