@@ -275,3 +275,50 @@ def clipped(rows: DataFrame, most: int = 50) -> DataFrame:
     w = Window.partitionBy("stage")
     df = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("pos", F.row_number().over(w.orderBy("rank", "candidate_id")))
     return df.where(F.col("pos") <= most).withColumn("truncated", F.col("n") > most).drop("n")
+
+
+def rescore_summary(rows: DataFrame) -> DataFrame:
+    """Per mode: accuracy by either scorer and how many answers change. rows: mode, question_correct, question_correct_v2."""
+    yes = lambda c: F.avg(F.col(c).cast("double"))
+    return rows.groupBy("mode").agg(
+        F.count(F.lit(1)).alias("n"), yes("question_correct").alias("accuracy_v1"), yes("question_correct_v2").alias("accuracy_v2"),
+        F.count(F.when(~F.col("question_correct") & F.col("question_correct_v2"), 1)).alias("now_correct"), F.count(F.when(F.col("question_correct") & ~F.col("question_correct_v2"), 1)).alias("now_wrong"),
+    )
+
+
+#: Failure category by priority of what to repair first.
+PRIORITIES = ("scorer_not_applicable", "irrelevant_graph_evidence", "predicate_mismatch", "incomplete_multi_hop_path", "correct_evidence_but_wrong_answer", "forbidden_fact_generated", "insufficient_evidence")
+
+
+def priorities(diagnosed: DataFrame) -> DataFrame:
+    """(priority, failure, n) of the categories that occur; no-path rows of other modes than graph_rag aren't defects."""
+    f = diagnosed.select("mode", "query_id", F.explode("failures").alias("failure")).where((F.col("failure") != PRIORITIES[0]) | (F.col("mode") == "graph_rag"))
+    order = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("failure"))
+    return f.withColumn("priority", order - 1).where("priority >= 0").groupBy("priority", "failure").agg(F.count(F.lit(1)).alias("n"))
+
+
+def micro_summary(diagnosed: DataFrame) -> DataFrame:
+    """One row: edges expected and found over all questions with a path, and their ratio."""
+    g = diagnosed.where("mode = 'graph_rag' and n_expected > 0")
+    return g.agg(F.count(F.lit(1)).alias("questions"), F.sum("n_expected").alias("expected"), F.sum("n_exact").alias("exact")).withColumn("edge_recall", F.round(F.col("exact") / F.col("expected"), 3))
+
+
+def invalid_arms(arms: DataFrame, pool: int = 20) -> DataFrame:
+    """(query_id, reason) of paired arms that can't be compared. arms: query_id, arm, item, pre_rank, score."""
+    finite = F.col("score").isNotNull() & ~F.isnan("score")
+    per = arms.groupBy("query_id", "arm").agg(F.count(F.lit(1)).alias("n"), F.bool_and(finite).alias("finite"), F.xxhash64(F.array_sort(F.collect_list(F.struct("pre_rank", "item")))).alias("same"))
+    got = per.groupBy("query_id").agg(F.count(F.lit(1)).alias("arms"), F.max("n").alias("n"), F.bool_and("finite").alias("finite"), F.countDistinct("same").alias("kinds"))
+    reason = F.when(F.col("arms") != 2, "missing_arm").when(F.col("n") > pool, "pool_size").when(~F.col("finite"), "score").when(F.col("kinds") > 1, "pre_ranks")
+    return got.withColumn("reason", reason).where("reason is not null").select("query_id", "reason")
+
+
+def table_hash(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: a hash of a table's rows whatever their order, to see that frozen inputs are the same."""
+    row = F.sha2(F.to_json(F.struct(*keys)), 256)
+    return df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substr("h", F.lit(1), F.lit(12)), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def fresh(entries: DataFrame, now, seconds: int = 1800, most: int = 500) -> DataFrame:
+    """What a cache with a lifetime and a size still holds. entries: key, stored_at."""
+    live = entries.where(F.col("stored_at") > now - F.make_dt_interval(secs=F.lit(seconds)))
+    return live.orderBy(F.col("stored_at").desc(), "key").limit(most)
