@@ -10,10 +10,11 @@ the same or another text. Strings never cross texts and are judged on the input.
    in the corpus are dropped at once; in ordinary text that leaves little.
 2. Dictionary. Of the other phrases, the distinct extents (core, and what the phrase's strings hold
    left and right of it) are counted; a phrase with its context that occurs twice is repeated as a whole.
-3. Order. Within a core, the strings of the dictionary's phrases are ranked by (bytes left of the
-   core, bytes right of it): a string is repeated when two phrases hold equal ranks. Ranks are
-   64-bit fingerprints rather than places in a global suffix order: only equality up to 400 bytes
-   matters here, and fingerprints need no sort of the corpus.
+3. Order. The suffix array of the dictionary's contexts, built by doubling to the depth that a string
+   of 400 bytes needs, gives each start its rank; with the core and the place in it that is the order
+   of the strings. A string is repeated when its neighbour in that order is equal. The order is made per
+   core, batch by batch: strings with different cores can't be equal, so no order of the whole
+   corpus has to be in one place. Cores and extents meet by 64-bit fingerprints.
 
 All exchanges are by core or by (core, extent) with counts added up before they are sent; a core that
 very many texts share meets as its distinct extents only. Texts longer than a block are parsed in
@@ -112,30 +113,73 @@ def _runs(batches):
             )
 
 
-def _ranked(core, extent, copies, lead, starts, context) -> pa.RecordBatch:
+def suffix_ranks(buf: np.ndarray, depth: int) -> np.ndarray:
+    """The place of each suffix of buf in the order of their first `depth` bytes (a multiple of 8); equal
+    ones share it. Built by doubling: ranks of 8 bytes pair up to ranks of 16, 32 and so on."""
+    n = len(buf)
+    b = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for j in range(8):
+        key = (key << np.uint64(8)) | b[j : n + j]
+    rank = {8: np.unique(key, return_inverse=True)[1]}
+
+    def paired(a: np.ndarray, c: np.ndarray, w: int) -> np.ndarray:
+        then = np.zeros(n, np.int64)
+        then[: max(0, n - w)] = c[w:] + 1
+        return np.unique(a * (n + 1) + then, return_inverse=True)[1]
+
+    w = 8
+    while 2 * w <= depth:
+        rank[2 * w] = paired(rank[w], rank[w], w)
+        w *= 2
+    at, out = w, rank[w]
+    for w in sorted(rank, reverse=True):
+        if at + w <= depth:
+            out = paired(out, rank[w], at)
+            at += w
+    return out
+
+
+def _spans(core, extent, again, of, left):
+    """Rows of extents with the runs of their repeated starts."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], (again * (of + 1)).astype(np.int64), [0]))) != 0)
+    lo = edge[edge < len(again)]
+    lo = lo[again[lo]]
+    hi = edge[edge > 0] - 1
+    hi = hi[again[hi]]
+    pairs = np.stack([-left[lo], -left[hi]], 1).astype(np.int32).ravel()
+    counts = np.bincount(of[lo], minlength=len(core)) * 2
+    keep = counts > 0
+    return pa.RecordBatch.from_arrays([pa.array(core[keep]), pa.array(extent[keep]), lists(pa.array(pairs), np.concatenate(([0], np.cumsum(counts[keep]))))], names=["core", "extent", "spans"])
+
+
+def _ranked(core, extent, copies, lead, starts, context):
     """For whole cores: the repeated starts of each extent, as pairs (first, last) counted from the trigger."""
-    buf, off = as_bytes(context)
-    h = prefix_hash(buf)
+    # a core without an extent that occurs once is settled: all starts of its extents are repeated
+    first = np.concatenate(([True], core[1:] != core[:-1]))
+    which = np.cumsum(first) - 1
+    open_ = (np.bincount(which, copies == 1) > 0)[which]
+    done = np.flatnonzero(~open_)
+    if len(done):
+        ends = np.stack([-lead[done], starts[done] - 1 - lead[done]], 1).astype(np.int32).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(core[done]), pa.array(extent[done]), lists(pa.array(ends), np.arange(len(done) + 1) * 2)], names=["core", "extent", "spans"])
+    some = np.flatnonzero(open_)
+    if not len(some):
+        return
+    core, extent, copies, lead, starts = (v[some] for v in (core, extent, copies, lead, starts))
+    buf, off = as_bytes(context.take(pa.array(some)))
     of = np.repeat(np.arange(len(core)), starts)
     step = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
     left = lead[of] - step
-    s = off[:-1][of] + step
-    rank = mix(slice_hash(h, s, s + (LENGTH - CORE)) + left.astype(np.uint64) * _A + core[of].view(np.uint64) * _B)
-    order = np.argsort(rank, kind="stable")
-    r = rank[order]
-    same = np.zeros(len(r), bool)
-    same[1:] = r[1:] == r[:-1]
+    # the suffix array of the dictionary's contexts; with core and split it orders the strings themselves
+    rank = suffix_ranks(buf, LENGTH - CORE)[off[:-1][of] + step]
+    order = np.lexsort((rank, left, core[of]))
+    same = np.zeros(len(order), bool)
+    same[1:] = (rank[order[1:]] == rank[order[:-1]]) & (left[order[1:]] == left[order[:-1]]) & (core[of[order[1:]]] == core[of[order[:-1]]])
     same[:-1] |= same[1:]
     again = copies[of] > 1
     again[order] |= same
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], (again * (of + 1)).astype(np.int64), [0]))) != 0)
-    lo = edge[again[np.minimum(edge, len(again) - 1)] & (edge < len(again))] if len(again) else edge
-    hi = edge[(edge > 0)]
-    hi = hi[again[hi - 1]] - 1
-    pairs = np.stack([-left[lo], -left[hi]], 1).astype(np.int32).ravel()
-    counts = np.bincount(of[lo], minlength=len(core)) * 2
-    keep = counts > 0
-    return pa.RecordBatch.from_arrays([pa.array(core[keep]), pa.array(extent[keep]), lists(pa.array(pairs), np.concatenate(([0], np.cumsum(counts[keep]))))], names=["core", "extent", "spans"])
+    yield _spans(core, extent, again, of, left)
 
 
 def _order(batches):
@@ -154,9 +198,9 @@ def _order(batches):
             hi = int(np.searchsorted(core[:cut], core[end], "left")) if end < cut else cut
             if hi > lo:
                 part = done.slice(lo, hi - lo)
-                yield _ranked(*(part[c].to_numpy() for c in names), part["context"])
+                yield from _ranked(*(part[c].to_numpy() for c in names), part["context"])
     if held is not None and held.num_rows:
-        yield _ranked(*(held.column(c).to_numpy() for c in names), held.column("context"))
+        yield from _ranked(*(held.column(c).to_numpy() for c in names), held.column("context"))
 
 
 def _cut(text_too: bool):
@@ -216,17 +260,16 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     cores = staged(keyed.select("tk", "text").mapInArrow(_cores, "tk long, core long"), "op3-cores", "zstd")
     # written first, so that the join's two sides are plain exchanges and a very common core can be split
     twice = staged(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "op3-twice")
-    hits = staged(cores.join(twice, "core").groupBy("tk").agg(F.collect_set("core").alias("cores")), "op3-hits")
+    hits = cores.join(twice, "core").groupBy("tk").agg(F.collect_set("core").alias("cores"))
     held = keyed.join(hits, "tk")
     held = held.groupBy("tk", "n_bytes").agg(F.first("text").alias("text"), F.first("cores").alias("cores"), F.count(F.lit(1)).alias("copies"))
     runs = staged(held.mapInArrow(_runs, RUNS), "op3-phrases", "zstd")
     extents = runs.groupBy("core", "extent").agg(F.sum("copies").alias("copies"), F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.first("context").alias("context"))
     ranked = extents.repartition("core").sortWithinPartitions("core").mapInArrow(_order, "core long, extent long, spans array<int>")
-    ranked = staged(ranked, "op3-order")
     found = runs.select("tk", "n_bytes", "at", "core", "extent").join(ranked, ["core", "extent"])
     placed = F.transform("spans", lambda x: x + F.col("at"))
     out = found.select("tk", "n_bytes", placed.alias("spans")).groupBy("tk", "n_bytes").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return staged(out, "op3-spans")
+    return out
 
 
 def _with_spans(docs: DataFrame, text: str) -> DataFrame:
