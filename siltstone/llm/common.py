@@ -42,17 +42,18 @@ def workers(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; texts are long
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     env = spark.sparkContext.environment
-    for name, value in (("MALLOC_MMAP_THRESHOLD_", "1048576"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
-        env.setdefault(name, value)  # workers give freed arrays back at once
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy", narrow: bool = False) -> DataFrame:
     """Writes to the shared folder and reads again: lineage ends there, and lost executors cost one stage only.
 
-    zstd pays for large columns; its native contexts are too dear for very many small files."""
+    zstd pays for large columns; its native contexts are too dear for very many small files. narrow: the rows are a few
+    numbers each and cheap to make, so two files for each core will do, however many partitions there are."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(at)
     return spark.read.schema(df.schema).parquet(at)

@@ -15,10 +15,10 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     through a collected list. The minima are written first: then both sides of the join are plain exchanges, and
     a node with very many neighbours is a skew that Spark can split. Each round is written to the shared folder, which cuts lineage. Empty edges give no rows.
     """
-    now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, narrow=True)
     mark = None
     for _ in range(most):
-        now = staged(_small(_large(now)), name)
+        now = staged(_small(_large(now)), name, narrow=True)
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if seen == mark:
             break
@@ -33,12 +33,12 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
 def _large(e: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest of its neighbourhood."""
     both = e.union(e.select("v", "u").toDF("u", "v"))
-    low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", narrow=True)
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them. In e, u > v."""
-    low = staged(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+    low = staged(e.groupBy("u").agg(F.min("v").alias("m")), "least", narrow=True)
     down = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return down.union(low.select("u", F.col("m").alias("v"))).distinct()

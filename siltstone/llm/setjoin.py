@@ -241,7 +241,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         F.col("node").alias("id"), "h1", F.col("component").alias("grp"), "chunks",
         F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"),
     )
-    members = staged(members, "op7-members")
+    members = staged(members, "op7-members", narrow=True)
     side = F.broadcast(members) if members.count() <= SMALL_ROWS else members
     texts = plain.join(side, "id").select("grp", "chunk", "chunks", "id", "h1", "text")
     held = texts.mapInArrow(_tokens(n), "grp long, chunk int, chunks int, id long, tokens binary")

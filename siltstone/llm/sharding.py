@@ -75,12 +75,12 @@ def homes(nodes: DataFrame, links: DataFrame, total: int, rounds: int = 2) -> Da
     """(g, home): a key that linked texts share, the least of what their links reach in two steps; links that more than
     1 / HOT of all rows (and FEW of them) share say nothing here, so homes stay small."""
     few = links.groupBy("link").agg(F.sum("w").alias("n")).where(F.col("n") <= max(total // HOT, FEW)).select("link")
-    near = staged(links.select("g", "link").join(few, "link"), "op6-near")
+    near = staged(links.select("g", "link").join(few, "link"), "op6-near", narrow=True)
     now = near.groupBy("g").agg(F.min("link").alias("home"))
     for _ in range(rounds):
-        least = staged(near.join(now, "g").groupBy("link").agg(F.min("home").alias("home")), "op6-homes")
+        least = staged(near.join(now, "g").groupBy("link").agg(F.min("home").alias("home")), "op6-homes", narrow=True)
         now = near.join(least, "link").groupBy("g").agg(F.min("home").alias("home"))
-    return staged(nodes.select("g", "w").join(now, "g", "left").withColumn("home", F.coalesce("home", "g")), "op6-homes")
+    return staged(nodes.select("g", "w").join(now, "g", "left").withColumn("home", F.coalesce("home", "g")), "op6-homes", narrow=True)
 
 
 def propagated(homed: DataFrame, links: DataFrame, shards: int, rounds: int) -> DataFrame:
@@ -89,9 +89,9 @@ def propagated(homed: DataFrame, links: DataFrame, shards: int, rounds: int) ->
     for t in range(rounds):
         held = links.join(now.select("g", "label"), "g").groupBy("link", "label").agg(F.sum("w").alias("n"))
         most = held.groupBy("link").agg(F.max(F.struct("n", (-F.col("label")).alias("low"))).alias("top")).select("link", F.col("top.n").alias("n"), (-F.col("top.low")).alias("want"))
-        wants = links.select("g", "link").join(staged(most, "op6-most"), "link").groupBy("g", "want").agg(F.sum("n").alias("n"))
+        wants = links.select("g", "link").join(staged(most, "op6-most", narrow=True), "link").groupBy("g", "want").agg(F.sum("n").alias("n"))
         wants = wants.groupBy("g").agg(F.max(F.struct("n", (-F.col("want")).alias("low"))).alias("top")).select("g", (-F.col("top.low")).alias("want"))
-        moves = staged(now.join(wants, "g", "left").withColumn("want", F.coalesce("want", "label")), "op6-wants")
+        moves = staged(now.join(wants, "g", "left").withColumn("want", F.coalesce("want", "label")), "op6-wants", narrow=True)
         table = moves.groupBy("label", "want").agg(F.sum("w").alias("n")).collect()  # at most shards ** 2 rows
         sizes = [sum(r.n for r in table if r.label == k) for k in range(shards)]
         share = _accepted({(r.label, r.want): r.n for r in table if r.label != r.want}, sizes, shards)
@@ -115,15 +115,15 @@ def sharded(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int
     nodes = staged(rows.groupBy("g").agg(F.count(F.lit(1)).alias("w"), F.first("links").alias("links")), "op6-nodes")
     total = nodes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     each = nodes.select("g", "w", F.explode(F.array_distinct("links")).alias("link"))
-    shared = staged(each.groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("link"), "op6-shared")
-    links = staged(each.join(shared, "link"), "op6-links")
+    shared = staged(each.groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("link"), "op6-shared", narrow=True)
+    links = staged(each.join(shared, "link"), "op6-links", narrow=True)
     place = propagated(homes(nodes, links, int(total)), links, shards, rounds)
     # linked texts lie together: ordered by their home
     place = place.withColumn("hot", F.when(F.col("w") > max(int(total) // HOT, FEW), F.col("g"))).withColumnRenamed("home", "near")
-    place = staged(place.select("g", "label", "near", F.pmod(F.shiftright(F.col("near"), 20), F.lit(BUCKETS)).cast("int").alias("bucket"), "hot"), "op6-place")
+    place = staged(place.select("g", "label", "near", F.pmod(F.shiftright(F.col("near"), 20), F.lit(BUCKETS)).cast("int").alias("bucket"), "hot"), "op6-place", narrow=True)
     at = ["label", "bucket", "hot", "salt"]
     laid = rows.select("id", "size", "crc", "g").join(place, "g")
-    laid = staged(laid.withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")), "op6-laid")
+    laid = staged(laid.withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")), "op6-laid", narrow=True)
     counts = laid.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1))).select(*at, F.coalesce("before", F.lit(0)).alias("before"))
     before = before.withColumnsRenamed({c: f"b_{c}" for c in at})
