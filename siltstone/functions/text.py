@@ -75,6 +75,7 @@ def redacted_metadata(c: Column) -> Column:
 
 def safe_details(c: Column) -> Column:
     """A map<string,string> without keys that may hold content or secrets."""
+    # fixed values: what keys must not name
     denied = "content|query|prompt|answer|secret|password|credential|api_key|authorization|url|path|exception"
     return F.map_filter(c, lambda k, v: ~k.rlike("(?i)" + denied))
 

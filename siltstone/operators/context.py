@@ -79,7 +79,7 @@ def build(candidates: DataFrame, details: DataFrame, parents: DataFrame, scores:
     )
 
 
-#: Lists that each named variant fuses.
+#: Names of variants, and the lists that each fuses.
 VARIANTS = {
     "vector_only": ("vector",), "bm25_only": ("bm25",), "graph_only": ("graph",), "vector_bm25": ("vector", "bm25"),
     "vector_graph": ("vector", "graph"), "bm25_graph": ("bm25", "graph"), "hybrid": ("bm25", "vector", "graph"),

@@ -150,8 +150,9 @@ def predicate_conflicts(edges: DataFrame) -> DataFrame:
     return got.where(F.size("predicates") > 1)
 
 
+#: Stages of a trace in order.
 STAGES = ("extracted", "normalized", "persisted", "retrieved_raw", "scope_accepted", "relevance_scored", "ranked", "entered_final_top_k", "entered_prompt")
-#: What is lost where a stage no longer has an edge that the one before had.
+#: What is lost where a stage no longer has an edge that the one before had.
 LOSSES = dict(zip(STAGES, ("extraction_missing", "normalization_changed", "persistence_missing", "retrieval_missing", "scope_filtered", "relevance_filtered", "relevance_filtered", "top_k_truncated", "top_k_truncated"), strict=True))
 
 
@@ -193,6 +194,7 @@ def diagnose(expected: DataFrame, observed: DataFrame, rows: DataFrame) -> DataF
     both = both.withColumns({**sets, "near": near})
     graph, some, path = F.col("mode") == "graph_rag", F.size("e") > 0, (F.col("mode") == "graph_rag") & (F.size("e") > 0)
     less = lambda a, b: F.size(F.array_except(a, b)) > 0
+    # the names of the categories are fixed values
     rules = {
         "scorer_not_applicable": ~graph | ~some, "no_expected_relation": graph & ~some, "graph_not_called": path & ~F.col("graph_called"),
         "no_graph_evidence": path & F.col("graph_called") & (F.size("o") == 0), "expected_edge_missing_from_prompt": path & less("e", "o"), "insufficient_evidence": path & less("e", "o"),
@@ -286,7 +288,7 @@ def rescore_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-#: Failure category by priority of what to repair first.
+#: Failure categories by priority of what to repair first.
 PRIORITIES = ("scorer_not_applicable", "irrelevant_graph_evidence", "predicate_mismatch", "incomplete_multi_hop_path", "correct_evidence_but_wrong_answer", "forbidden_fact_generated", "insufficient_evidence")
 
 

@@ -37,15 +37,19 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, query: str = "query_id",
     after. Chunks are tokenised once; only occurrences of query terms leave the scan, as term counts."""
     chunk = chunk or ["doc_id", "chunk_index"]
     asked = queries.select(F.col(query).alias("q"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = small(asked)
-    terms = small(asked.select("term").distinct())
+    few = asked.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    near = F.broadcast if few else (lambda x: x)  # nothing of these has more rows than the queries have terms
+    asked, terms = near(asked), near(asked.select("term").distinct())
     tokenised = chunks.select(*chunk, tokens(F.col(text)).alias("tokens")).select(*chunk, F.size("tokens").alias("len"), "tokens")
     whole = tokenised.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avgdl"))
-    tf = tokenised.select(*chunk, "len", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy(*chunk, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # one exchange by chunk serves the counts, the document frequencies and the sums of a query's terms;
+    # explode_outer, since explode would have the tokens made again for a filter on their number
+    told = tokenised.select(*chunk, "len", F.explode_outer("tokens").alias("term")).join(terms, "term", "left_semi").repartition(*chunk)
+    tf = told.groupBy(*chunk, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = near(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    hits = tf.join(asked, "term").join(df, "term").crossJoin(F.broadcast(whole))  # whole is one row
+    hits = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(whole))  # whole is one row
     scores = scoped(hits.groupBy("q", *chunk).agg(F.sum(part).alias("raw")), allowed, chunk[0]).where("raw > 0")
     w = Window.partitionBy("q").orderBy(F.round("raw", 8).desc(), *chunk)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query), *chunk, F.round("raw", 8).alias("score"), "rank")
@@ -54,7 +58,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, query: str = "query_id",
 def term_statistics(chunks: DataFrame, text: str = "content", tokens=lexical_tokens) -> DataFrame:
     """(term, df, cf): how many chunks hold a term, and how often it occurs."""
     each = chunks.select(tokens(F.col(text)).alias("t"))
-    counted = each.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("t").alias("term"))
+    counted = each.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode_outer("t").alias("term")).where("term is not null")
     per = counted.groupBy("row", "term").agg(F.count(F.lit(1)).alias("tf"))
     return per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 

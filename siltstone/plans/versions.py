@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: States and the steps that are allowed between them.
 TRANSITIONS = {"processing": ("ready", "failed"), "ready": ("processing", "deleting"), "failed": ("processing",), "deleting": ("deleted", "failed"), "deleted": ()}
-#: Steps of an update in order; compensation undoes the completed ones backwards.
+#: Steps of an update in order; compensation undoes the completed ones backwards.
 SAGA = ("prepare", "catalog_staged", "vector_staged", "graph_staged", "verified", "vector_active", "graph_active", "catalog_active", "ready")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENT = "event_id string, source_type string, operation string, resource_path string, timestamp double, before map<string,string>, after map<string,string>"
-#: Codes of change data capture and of file systems; the codes c, u, d and r are mapped, too.
+#: Codes of change data capture and of file systems; the codes c, u, d and r are mapped, too.
 OPERATIONS = {"c": "INSERT", "r": "INSERT", "u": "UPDATE", "d": "DELETE", "created": "INSERT", "modified": "UPDATE", "deleted": "DELETE", "insert": "INSERT", "update": "UPDATE", "delete": "DELETE"}
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "schema string, event_id string, run_id string, document_id string, version int, stage string, event_kind string, subject string, predicate string, object string, direction string, source string, reason string, timestamp double"
+#: Fixed values.
 STAGES = ("extracted", "normalized", "persisted", "scope_rejected")
 
 
