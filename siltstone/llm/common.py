@@ -46,6 +46,18 @@ def workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+_STAGED: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes what this process has staged so far; call it when the results made from it are stored. Returns how many folders."""
+    n = 0
+    while _STAGED:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        n += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    return n
+
+
 def staged(df: DataFrame, name: str, codec: str = "snappy", narrow: bool = False) -> DataFrame:
     """Writes to the shared folder and reads again: lineage ends there, and lost executors cost one stage only.
 
@@ -55,6 +67,7 @@ def staged(df: DataFrame, name: str, codec: str = "snappy", narrow: bool = False
     if narrow:
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(at)
     df.write.option("compression", codec).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

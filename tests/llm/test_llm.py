@@ -68,6 +68,14 @@ def test_sliced_arrays():
     assert buf.tobytes() == b"a bc" and off.tolist() == [0, 3, 3, 4]
 
 
+def test_staged_and_swept(spark):
+    from siltstone.llm import common
+
+    common.sweep(spark)
+    df = common.staged(spark.range(10).toDF("x"), "t", narrow=True)
+    assert df.count() == 10 and common.sweep(spark) == 1 and common.sweep(spark) == 0
+
+
 # --- 1
 
 
