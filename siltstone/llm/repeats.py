@@ -252,45 +252,49 @@ def whole_characters(body: np.ndarray, gone: list[tuple[int, int]]) -> str:
     return body[left].tobytes().decode("utf-8", "replace")
 
 
-def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(tk, n_bytes, spans) of each distinct text with repeated strings: first and last start of each run of them, one after the other."""
+def repeated(docs: DataFrame, text: str = "text", id: str | None = None) -> DataFrame:
+    """(tk, n_bytes, spans) of each distinct text with repeated strings: first and last start of each run of them, one after the other.
+
+    `id` tells copies apart, so that only one of them has to be sent on; without it all go to one place."""
     spark = docs.sparkSession
     workers(spark)
-    keyed = docs.select(F.xxhash64(text_of(text)).alias("tk"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"), text_of(text).alias("text")).where(F.col("n_bytes") >= LENGTH)
+    who = F.coalesce(F.col(id).cast("string"), F.lit("")) if id else F.lit("")
+    keyed = docs.select(F.xxhash64(text_of(text)).alias("tk"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"), who.alias("who"), text_of(text).alias("text")).where(F.col("n_bytes") >= LENGTH)
     cores = staged(keyed.select("tk", "text").mapInArrow(_cores, "tk long, core long"), "op3-cores", "zstd")
     # written first, so that the join's two sides are plain exchanges and a very common core can be split
     twice = staged(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "op3-twice")
     hits = cores.join(twice, "core").groupBy("tk").agg(F.collect_set("core").alias("cores"))
-    held = keyed.join(hits, "tk")
-    held = held.groupBy("tk", "n_bytes").agg(F.first("text").alias("text"), F.first("cores").alias("cores"), F.count(F.lit(1)).alias("copies"))
+    # one row of each text by its least id: with the id in the join's key, copies are dealt out evenly
+    one = keyed.groupBy("tk", "n_bytes").agg(F.count(F.lit(1)).alias("copies"), F.min("who").alias("who")).join(hits, "tk")
+    held = keyed.join(one, ["tk", "n_bytes", "who"]).select("tk", "n_bytes", "text", "cores", "copies")
     runs = staged(held.mapInArrow(_runs, RUNS), "op3-phrases", "zstd")
     extents = runs.groupBy("core", "extent").agg(F.sum("copies").alias("copies"), F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.first("context").alias("context"))
     ranked = extents.repartition("core").sortWithinPartitions("core").mapInArrow(_order, "core long, extent long, spans array<int>")
     found = runs.select("tk", "n_bytes", "at", "core", "extent").join(ranked, ["core", "extent"])
     placed = F.transform("spans", lambda x: x + F.col("at"))
     out = found.select("tk", "n_bytes", placed.alias("spans")).groupBy("tk", "n_bytes").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return out
+    return staged(out, "op3-spans", narrow=True)
 
 
-def _with_spans(docs: DataFrame, text: str) -> DataFrame:
-    spans = repeated(docs, text)
+def _with_spans(docs: DataFrame, text: str, id: str | None) -> DataFrame:
+    spans = repeated(docs, text, id)
     named = spans.withColumnsRenamed({"tk": "_tk", "n_bytes": "_n"})
     on = (F.xxhash64(text_of(text)) == F.col("_tk")) & (F.octet_length(text_of(text)) == F.col("_n"))
     return docs.join(named, on, "left").drop("_tk", "_n")
 
 
 def digests(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Per row: the columns in `keep`, n_bytes, n_removed, n_spans and kept_sha256."""
-    got = _with_spans(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text")), "text")
+    """Per row: the columns in `keep` (the first tells copies apart), n_bytes, n_removed, n_spans and kept_sha256."""
+    got = _with_spans(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text")), "text", "k0" if keep else None)
     kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
     out = got.mapInArrow(_cut(False), ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string"]))
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
-def removed(docs: DataFrame, text: str = "text") -> DataFrame:
+def removed(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """docs with the repeated strings cut from their text; characters stay whole. Null texts come out empty."""
     others = [c for c in docs.columns if c != text]
-    got = _with_spans(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(others)], F.col(text).alias("text")), "text")
+    got = _with_spans(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(others)], F.col(text).alias("text")), "text", f"k{others.index(id)}")
     kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)]
     out = got.mapInArrow(_cut(True), ", ".join([*kinds, "text string"]))
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(others)} | {"text": text}).select(*docs.columns)
