@@ -252,6 +252,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     links = staged(held.mapInArrow(_linked(num, den), "u long, v long"), "op7-links")
     found = components(links, "op7-linked").withColumnRenamed("node", "rep")
     names = names.withColumnRenamed("node", "rep").join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    names = staged(names, "op7-names", narrow=True)  # so that the last join can split a set that very many rows have
     rows = told.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("h1")).alias("h1"), "h2")
     return rows.join(names, ["h1", "h2"], "left").select(F.col("id").alias(id), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
