@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import evidence_key
+from .retrieval import small
 
 RELATED = "RELATED_TO"
 #: Reviewed spellings of each predicate, besides its own name in lower case.
@@ -131,7 +132,7 @@ def orphans(entities: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataF
 def search_entities(entities: DataFrame, words: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, name): entities whose name or description holds the query's word; the first by name."""
     hit = F.col("name").contains(F.col("word")) | F.coalesce(F.col("description").contains(F.col("word")), F.lit(False))
-    both = entities.join(F.broadcast(words.limit(10_000)), hit)
+    both = entities.join(small(words), hit)
     w = Window.partitionBy("query_id").orderBy("name")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "name", "rank")
 
