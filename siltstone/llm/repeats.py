@@ -14,7 +14,8 @@ the same or another text. Strings never cross texts and are judged on the input.
    of 400 bytes needs, gives each start its rank; with the core and the place in it that is the order
    of the strings. A string is repeated when its neighbour in that order is equal. The order is made per
    core, batch by batch: strings with different cores can't be equal, so no order of the whole
-   corpus has to be in one place. Cores and extents meet by 64-bit fingerprints.
+   corpus has to be in one place. A core with over MANY phrases has its strings counted by fingerprint
+   instead, spread over all tasks. Cores and extents meet by 64-bit fingerprints.
 
 All exchanges are by core or by (core, extent) with counts added up before they are sent; a core that
 very many texts share meets as its distinct extents only. Texts longer than a block are parsed in
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import _INVERSE, BLOCK_BYTES, _powers, as_bytes, blocks, lists, mix, prefix_hash, signed, slice_hash, staged, text_of, workers
 
 LENGTH, ROLL, SPAN = 400, 16, 128
+#: A core with more phrases isn't ordered in one task; its strings are counted by fingerprints.
+MANY = 8_000
 CORE = LENGTH - SPAN - ROLL
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -203,6 +206,26 @@ def _order(batches):
         yield from _ranked(*(held.column(c).to_numpy() for c in names), held.column("context"))
 
 
+def _strings(batches):
+    """Every start of each extent: its distance to the trigger, and a fingerprint of what its string holds around the core."""
+    for batch in batches:
+        core, extent, copies, lead, starts = (batch.column(c).to_numpy() for c in ("core", "extent", "copies", "lead", "starts"))
+        buf, off = as_bytes(batch.column("context"))
+        of = np.repeat(np.arange(len(core)), starts)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
+        s = off[:-1][of] + step
+        print_ = signed(slice_hash(prefix_hash(buf), s, s + LENGTH - CORE))
+        yield pa.RecordBatch.from_arrays([pa.array(core[of]), pa.array(extent[of]), pa.array(copies[of]), pa.array((lead[of] - step).astype(np.int32)), pa.array(print_)], names=["core", "extent", "copies", "left", "print"])
+
+
+def _common(extents: DataFrame) -> DataFrame:
+    """The repeated starts of extents of very common cores: counted string by string, so that no task holds a whole core."""
+    told = extents.mapInArrow(_strings, "core long, extent long, copies long, left int, print long")
+    again = told.groupBy("core", "left", "print").agg(F.sum("copies").alias("n")).where("n > 1").select("core", "left", "print")
+    got = told.join(again, ["core", "left", "print"]).groupBy("core", "extent").agg(F.sort_array(F.collect_set("left"), asc=False).alias("lefts"))
+    return got.select("core", "extent", F.flatten(F.transform("lefts", lambda x: F.array(-x, -x))).alias("spans"))
+
+
 def _cut(text_too: bool):
     def run(batches):
         for batch in batches:
@@ -268,8 +291,10 @@ def repeated(docs: DataFrame, text: str = "text", id: str | None = None) -> Data
     one = keyed.groupBy("tk", "n_bytes").agg(F.count(F.lit(1)).alias("copies"), F.min("who").alias("who")).join(hits, "tk")
     held = keyed.join(one, ["tk", "n_bytes", "who"]).select("tk", "n_bytes", "text", "cores", "copies")
     runs = staged(held.mapInArrow(_runs, RUNS), "op3-phrases", "zstd")
-    extents = runs.groupBy("core", "extent").agg(F.sum("copies").alias("copies"), F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.first("context").alias("context"))
-    ranked = extents.repartition("core").sortWithinPartitions("core").mapInArrow(_order, "core long, extent long, spans array<int>")
+    many = staged(runs.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("core"), "op3-many", narrow=True)
+    each = lambda r: r.groupBy("core", "extent").agg(F.sum("copies").alias("copies"), F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.first("context").alias("context"))
+    few = each(runs.join(many, "core", "left_anti")).repartition("core").sortWithinPartitions("core").mapInArrow(_order, "core long, extent long, spans array<int>")
+    ranked = few.unionByName(_common(each(runs.join(many, "core", "left_semi"))))
     found = runs.select("tk", "n_bytes", "at", "core", "extent").join(ranked, ["core", "extent"])
     placed = F.transform("spans", lambda x: x + F.col("at"))
     out = found.select("tk", "n_bytes", placed.alias("spans")).groupBy("tk", "n_bytes").agg(F.flatten(F.collect_list("spans")).alias("spans"))
