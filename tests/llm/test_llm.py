@@ -222,16 +222,6 @@ def test_repeats_long_text_in_pieces(spark, monkeypatch):
     assert ours_repeats(spark.createDataFrame(rows, SCHEMA)) == brute_repeats(rows)
 
 
-@pytest.mark.parametrize("many", [1, 4])
-def test_repeats_with_very_common_cores(spark, data, monkeypatch, many):
-    monkeypatch.setattr(repeats, "MANY", many)
-    rows = [(r["doc_id"], r["text"]) for r in table(data)]
-    rng = random.Random(8)
-    p = "".join(rng.choice("abcdefgh ") for _ in range(700))
-    rows += [(1000 + i, "".join(rng.choice("xyz") for _ in range(rng.randrange(60))) + p[rng.randrange(90) :][: rng.randrange(380, 700)]) for i in range(40)]
-    assert ours_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4)) == brute_repeats(rows)
-
-
 def test_repeats_odd(spark):
     assert ours_repeats(odd(spark)) == brute_repeats(ODD)
     assert repeats.digests(empty(spark), ["doc_id"]).count() == 0
