@@ -1,11 +1,10 @@
-"""Benchmark decontamination (operator 2): rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination (operator 2): n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased and freed of ASCII punctuation. The 3-grams of each test item are its seeds. A
-seed is rare when chance alone would hardly make it: the product of its words' frequencies in the
-training texts, times their length, is under RARE. (Counting the seed itself would call a leak common
-because it leaked often.) Every item keeps at least its LEAST rarest seeds. Where a text holds a seed,
-the item is aligned with the words around by Smith-Waterman (match 2, mismatch -1, gap -1); a pair is
-reported when the score reaches SIMILAR of the item's highest possible score.
+Words are lower-cased and freed of ASCII punctuation. All 3-grams of each test item are its seeds,
+however common: a choice by frequency would depend on the corpus and on how often an item leaked. Where
+a text holds a seed, the item is aligned with the words around by Smith-Waterman (match 2, mismatch -1,
+gap -1), unless too few of its words are there; a pair is reported when the score reaches SIMILAR of the
+item's highest possible score. A pair without any common 3-gram is not found, whatever its score.
 
 A test set of up to ITEM_WORDS words is sent to the executors, which then need no exchange of texts at
 all; a larger one is joined with the training texts' 3-grams by shuffle, and pairs are aligned after.
@@ -24,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import as_bytes, blocks, mix, prefix_hash, signed, slice_hash, words, workers
 
 N = 3
-RARE, LEAST = 0.02, 8
 MATCH, MISMATCH, GAP, SIMILAR = 2, -1, -1, 0.5
 ITEM_WORDS = 2_000_000
 _A = np.uint64(0xA24BAED4963EE407)
@@ -80,6 +78,8 @@ def align(item: np.ndarray, body: np.ndarray, hits: list[tuple[int, int]]) -> tu
             spans.append([lo, hi])
     best = (0, -1, -1)
     for lo, hi in spans:
+        if MATCH * int(np.isin(item, body[lo:hi]).sum()) < max(SIMILAR * MATCH * n, best[0] + 1):
+            continue  # even if all of these matched
         score, i, j = smith_waterman(item, body[lo:hi])
         if score > best[0]:
             _, _, back = smith_waterman(item[: i + 1][::-1], body[lo : lo + j + 1][::-1])
@@ -96,44 +96,14 @@ class Items:
         g, place = grams(h, at)
         self.gram, self.item = g, np.searchsorted(at, place, "right") - 1
         self.place = place - at[self.item]
-        self.parts = [h[place + j] for j in range(N)]
-        self.vocabulary = np.unique(h)
-
-    def rare(self, counts: dict[int, int], total: int) -> Items:
-        """Keeps the rare seeds, in the order of their hashes."""
-        share = np.ones(len(self.gram))
-        for part in self.parts:
-            share *= np.array([counts.get(int(x), 0) for x in part], float) / max(total, 1)
-        chance = share * max(total, 1)
-        rank = np.lexsort((self.place, chance, self.item))
-        nth = np.empty(len(rank), np.int64)
-        nth[rank] = np.arange(len(rank)) - np.searchsorted(self.item[rank], self.item[rank])
-        keep = (chance < RARE) | (nth < LEAST)
-        order = np.flatnonzero(keep)[np.argsort(self.gram[keep], kind="stable")]
+        order = np.argsort(g, kind="stable")
         self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
-        self.parts, self.seeds = [], np.unique(self.gram)
-        return self
+        self.seeds = np.unique(g)
 
     def of(self, seed: int) -> range:
         return range(int(np.searchsorted(self.gram, seed, "left")), int(np.searchsorted(self.gram, seed, "right")))
 
 
-def _counts(vocabulary: np.ndarray):
-    def run(batches):
-        n, total = np.zeros(len(vocabulary), np.int64), 0
-        for batch in batches:
-            buf, off = as_bytes(batch.column("text"))
-            for a, b in blocks(off):
-                h, _ = word_hashes(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                total += len(h)
-                i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                n += np.bincount(i[vocabulary[i] == h], minlength=len(vocabulary))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(signed(vocabulary[some]), 0)), pa.array(np.append(n[some], total)), pa.array(np.append(np.zeros(len(some), bool), True))], names=["word", "n", "all"])
-
-    return run
-
-
 PAIRS = "item long, n_seeds long, score long, similarity double, first_word long, last_word long"
 
 
@@ -190,7 +160,7 @@ def _aligned(kind: pa.DataType):
         for batch in batches:
             rows, at = [], []
             for r, (text, item) in enumerate(zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
-                items = Items([0], [item]).rare({}, 1)
+                items = Items([0], [item])
                 h, o = word_hashes(*as_bytes(pa.array([text], pa.string())))
                 g, place = grams(h, o)
                 hits = [(int(p), int(items.place[q])) for x, p in zip(g, place, strict=True) for q in items.of(x)]
@@ -214,15 +184,6 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
     if tests.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0] <= 6 * most:
         rows = tests.orderBy("item_id", "item_text").collect()
         held = Items([r.item_id for r in rows], [r.item_text for r in rows])
-        counts: dict[int, int] = {}
-        total = 0
-        if len(held.vocabulary):
-            for r in plain.mapInArrow(_counts(held.vocabulary), "word long, n long, all boolean").groupBy("word", "all").agg(F.sum("n").alias("n")).collect():
-                if r["all"]:
-                    total = r.n
-                else:
-                    counts[r.word & 0xFFFFFFFFFFFFFFFF] = r.n
-        held = held.rare(counts, total)
         if not len(held.seeds):
             return docs.sparkSession.createDataFrame([], kinds).withColumnsRenamed({"id": id, "item": item_id})
         return plain.mapInArrow(_scan(held, arrow), kinds).withColumnsRenamed({"id": id, "item": item_id})

@@ -157,6 +157,31 @@ def test_leaks_equal_full_alignment(spark, data):
     assert all((10_000 + k) in {d for d, _ in want} for k in range(12))
 
 
+def test_leaks_of_an_item_that_fills_the_corpus(spark):
+    rng = random.Random(5)
+    item = [f"i{k}" for k in range(40)]
+    other = lambda n: [f"o{rng.randrange(300)}" for _ in range(n)]
+    texts = [item + other(80)] * 800  # a third of the words
+    texts += [other(30) + item[a : a + 24] + other(30) for a in range(17)]  # contiguous 60 %
+    for at in range(3, 8):  # every such word of it replaced: few 3-grams are left
+        texts += [other(10) + ["x" if k % at == by else w for k, w in enumerate(item)] + other(10) for by in range(at)]
+    want = {}
+    for d, t in enumerate(texts):
+        if d and t is texts[d - 1]:
+            want[d] = want[d - 1]
+            continue
+        h, _ = decontaminate.word_hashes(*as_bytes(pa.array([" ".join(t)])))
+        w, _ = decontaminate.word_hashes(*as_bytes(pa.array([" ".join(item)])))
+        s, _, _ = decontaminate.smith_waterman(w, h)
+        if s >= decontaminate.SIMILAR * 2 * len(w) and any(x == y for x in zip(t, t[1:], t[2:]) for y in zip(item, item[1:], item[2:])):
+            want[d] = s
+    assert len(want) > 820
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for most in (decontaminate.ITEM_WORDS, 1):
+        assert {r.doc_id: r.score for r in decontaminate.leaks(df, bench, most=most).collect()} == want
+
+
 def test_smith_waterman():
     a = lambda s: np.array([hash(x) & 0xFFFF for x in s.split()], np.uint64)
     assert decontaminate.smith_waterman(a("b c d"), a("a b c d e")) == (6, 2, 3)
