@@ -124,6 +124,25 @@ def test_suffix_tree_equals_symbol_by_symbol(spark, data):
         assert abs(total - got[i]) < 1e-6
 
 
+def test_suffix_tree_keeps_contexts_at_any_size(spark):
+    few = spark.createDataFrame([("vwxyzq",), ("uwxyzr",)] * 5, "text string")
+    tree = suffixtree.learn(spark.range(3000).select(F.repeat(F.lit("the cat sat on my mat "), 200).alias("text")).unionByName(few))
+    assert int.from_bytes(b"vwxyz"[::-1], "big") in {int(x) for d in tree.states for x in d}  # seen 5 times among 13 million
+
+
+def test_suffix_tree_asked_equals_sent(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").repartition(3)
+    monkeypatch.setattr(suffixtree, "BLOCK", 20_000)
+    held = F.col("doc_id") % 10 == 0
+    want = {r.doc_id: r for r in suffixtree.scored(docs, held).collect()}
+    got = suffixtree.scored(docs, held, most=0).collect()
+    assert len(got) == len(want) == docs.count()
+    for r in got:
+        assert abs(r.score - want[r.doc_id].score) < 1e-6 and r.n_tokens == want[r.doc_id].n_tokens and abs(r.base_score - want[r.doc_id].base_score) < 1e-6
+    assert len(suffixtree.scored(odd(spark), F.lit(False), most=0).collect()) == len(ODD)
+    assert suffixtree.scored(empty(spark), F.lit(False), most=-1).count() == 0
+
+
 def test_suffix_tree_odd(spark):
     got = suffixtree.scored(odd(spark), F.lit(False)).collect()
     assert len(got) == len(ODD) and {r.doc_id: r.n_tokens for r in got}[6] == 9001
