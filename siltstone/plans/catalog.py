@@ -302,7 +302,7 @@ def context_build(spark, d):
 
 
 # --- graph ------------------------------------------------------------------------------------
-# supplier and customer LOCATED_IN nation, nation PART_OF region
+# supplier LOCATED_IN nation, nation PART_OF region; edges of customers and orders are in neither side yet
 
 EDGES = """e AS (SELECT 's' || s_suppkey AS edge_id, 'supplier:' || s_suppkey AS subject, 'LOCATED_IN' AS predicate, 'nation:' || s_nationkey AS object FROM supplier
 UNION ALL SELECT 'n' || n_nationkey, 'nation:' || n_nationkey, 'PART_OF', 'region:' || n_regionkey FROM nation)"""
