@@ -108,14 +108,14 @@ def rolled(totals: DataFrame) -> DataFrame:
 def op4_token_rollups(spark, sf_dir: str) -> DataFrame:
     """Counts of the whole table through four batches: all documents enter by words; those whose count of
     letter runs differs are revised to it; those under 50 words leave; all that stay enter by letter runs.
-    Every batch is sent twice, and the third holds each change twice."""
+    Every batch is sent twice, and the third holds each change twice. Changes are told apart by rows, as ids may be null or repeat."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     t = text_of()
-    counted = docs.select("doc_id", "source", "lang", F.size(F.regexp_extract_all(t, F.lit(WORD), 0)).cast("long").alias("words"), F.size(F.regexp_extract_all(t, F.lit(r"\p{L}+"), 0)).cast("long").alias("letters"))
+    counted = docs.select(F.monotonically_increasing_id().alias("row"), "source", "lang", F.size(F.regexp_extract_all(t, F.lit(WORD), 0)).cast("long").alias("words"), F.size(F.regexp_extract_all(t, F.lit(r"\p{L}+"), 0)).cast("long").alias("letters"))
     counted = staged(counted, "op4-counted")
     now = F.when(F.col("letters") != F.col("words"), F.col("letters")).otherwise(F.col("words"))
     change = lambda df, batch, kind, tokenizer, new, old: df.select(
-        F.concat_ws("-", F.lit(batch), F.col("doc_id").cast("string")).alias("change_id"), F.lit(kind).alias("kind"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), new.cast("long").alias("tokens"), old.cast("long").alias("old_tokens")
+        F.concat(F.lit(f"{batch}-"), F.col("row").cast("string")).alias("change_id"), F.lit(kind).alias("kind"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), new.cast("long").alias("tokens"), old.cast("long").alias("old_tokens")
     )
     none = F.lit(None)
     gone = change(counted.where("words < 50"), "3", "delete", "words-1", none, now)

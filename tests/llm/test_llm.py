@@ -295,6 +295,17 @@ def test_rollups(spark, tmp_path):
     assert state()["s", "en"] == (1, 7) and store.commit("9", one) and state()["s", "en"] == (2, 12)
 
 
+def test_rollups_of_null_and_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, "word " * n, "s", "en") for i, n in ((None, 3), (None, 60), (None, 3), (7, 2), (7, 2), (7, 70), (8, 80))]
+    rows += [(None, "a1 b 2 " * 30, "s", "de"), (7, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows_of(rollups.op4_token_rollups(spark, str(tmp_path)).toPandas()) == rows_of(duck.sql(rollups.OP4_SQL).df())
+
+
 # --- 5
 
 
