@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,15 +27,22 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one if
+    all run in this process (tests); on a cluster that is an error, as executors would not see each other's files."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not got:
-        got = tempfile.mkdtemp(prefix="siltstone-")
-        atexit.register(shutil.rmtree, got, True)
-        spark.conf.set("spark.checkpoint.dir", f"file://{got}")
-        return f"file://{got}"
-    return got.rstrip("/")
+    if got:
+        return got.rstrip("/")
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that driver and executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, _OWN[context.applicationId], True)
+    return f"file://{_OWN[context.applicationId]}"
 
 
 def workers(spark: SparkSession) -> None:
@@ -49,13 +57,13 @@ def workers(spark: SparkSession) -> None:
 _STAGED: list[str] = []
 
 
-def sweep(spark: SparkSession) -> int:
-    """Deletes what this process has staged so far; call it when the results made from it are stored. Returns how many folders."""
-    n = 0
-    while _STAGED:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        n += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
-    return n
+def sweep(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes what this process has staged so far but for the last `keep` folders; call it when the results made from it are
+    stored. Returns how many folders."""
+    gone = _STAGED[: len(_STAGED) - keep]
+    del _STAGED[: len(gone)]
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(x) for x in gone]
+    return sum(bool(x.getFileSystem(spark._jsc.hadoopConfiguration()).delete(x, True)) for x in paths)
 
 
 def staged(df: DataFrame, name: str, codec: str = "snappy", narrow: bool = False) -> DataFrame:
@@ -68,7 +76,9 @@ def staged(df: DataFrame, name: str, codec: str = "snappy", narrow: bool = False
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _STAGED.append(at)
+    place = spark._jvm.org.apache.hadoop.fs.Path(at)
     df.write.option("compression", codec).parquet(at)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # what no one has swept goes with the session
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -167,10 +177,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Longer slices are hashed by pieces of so many bytes: modulo 2**64 a polynomial of degree 1023 has long words that collide for
+#: every base (alternations like the Thue-Morse word and its complement), one of degree 63 has not.
+PIECE = 64
+_C, _D = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+
+
+def _short_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return mix((h[e] - h[s]) * _powers(_INVERSE, len(h))[s] + (e - s).astype(np.uint64) * _C)
+
+
 def slice_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """64-bit hashes of the slices [s, e): the same for equal bytes wherever they are."""
-    inverse = _powers(_INVERSE, len(h))
-    return mix((h[e] - h[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    long = np.flatnonzero(e - s > PIECE)
+    if not len(long):
+        return _short_hash(h, s, e)
+    out = _short_hash(h, s, np.minimum(e, s + PIECE))
+    a, b = s[long], e[long]
+    n = -(-(b - a) // PIECE)
+    at = np.cumsum(n) - n
+    nth = np.arange(int(n.sum())) - np.repeat(at, n)
+    start = np.repeat(a, n) + nth * PIECE
+    part = mix(_short_hash(h, start, np.minimum(start + PIECE, np.repeat(b, n))) ^ (nth.astype(np.uint64) * _D))
+    out[long] = mix(np.add.reduceat(part, at) + (b - a).astype(np.uint64) * _C)
+    return out
+
+
+def apart(keep: list[str], results: list[str]) -> list[str]:
+    """Names for kept columns beside result columns: one that has a result's name comes out as in_<name>."""
+    return [f"in_{c}" if c in results else c for c in keep]
 
 
 def signed(x: np.ndarray) -> np.ndarray:

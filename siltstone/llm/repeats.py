@@ -1,27 +1,33 @@
 """Removal of repeated byte strings after prefix-free parsing (operator 3).
 
 A byte is removed when a string of LENGTH = 400 bytes covers it that also starts anywhere else, in
-the same or another text. Strings never cross texts and are judged on the input.
+the same or another text. Strings never cross texts and are judged on the input. Other lengths can be
+asked for, several at once: PASSAGE = 200 bytes is what nearly all passages of 50 words have.
 
 1. Parsing. A rolling hash of 16 bytes triggers a phrase boundary: for every string start, the
-   trigger is the least rolling hash among the next 128 places, which depends on the string alone.
-   Starts with the same trigger form a phrase; all their strings hold the 256 bytes after the trigger
-   (the core). A string can only repeat where its core does, so phrases with a core that occurs once
-   in the corpus are dropped at once; in ordinary text that leaves little.
+   trigger is the least rolling hash among the next SPAN places, which depends on the string alone.
+   Starts with the same trigger form a phrase; all their strings hold the bytes after the trigger that the
+   shortest length leaves (the core). A string can only repeat where its core does, so phrases with a
+   core that occurs once in the corpus are dropped at once; in ordinary text that leaves little.
 2. Dictionary. Of the other phrases, the distinct extents (core, and what the phrase's strings hold
    left and right of it) are counted; a phrase with its context that occurs twice is repeated as a whole.
 3. Order. The suffix array of the dictionary's contexts, built by doubling to the depth that a string
-   of 400 bytes needs, gives each start its rank; with the core and the place in it that is the order
-   of the strings. A string is repeated when its neighbour in that order is equal. The order is made per
-   core, batch by batch: strings with different cores can't be equal, so no order of the whole
-   corpus has to be in one place. Cores and extents meet by 64-bit fingerprints.
+   needs, gives each start its rank; with the core and the place in it that is the order of the strings.
+   A string is repeated when its neighbour in that order is equal. The order is made per core, batch by
+   batch: strings with different cores can't be equal, so no order of the whole corpus has to be in
+   one place. A core with over FEW extents is split: starts at about the same distance from the trigger have
+   a longer core in common, so they form extents of their own, in bands of 16 starts and then of one,
+   where counting is all that is left to do. Cores and extents meet by 64-bit fingerprints, both together
+   128 bits wide, as are those of texts.
 
 All exchanges are by core or by (core, extent) with counts added up before they are sent; a core that
 very many texts share meets as its distinct extents only. Texts longer than a block are parsed in
 overlapping pieces, so memory is bounded by the block.
 
-Null text counts as empty. Texts under 400 bytes lose nothing. Repeated rows are copies: both lose all
-their bytes from 400 on. Other columns pass through untouched.
+Null text counts as empty. Texts under the length lose nothing. Repeated rows are copies: both lose all
+their bytes from that length on. A null id only means that copies with null ids travel together. Empty
+tables give empty results. Other columns pass through untouched; in `digests`, one with the name of a
+result comes out as in_<name>.
 """
 
 from __future__ import annotations
@@ -33,27 +39,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, BLOCK_BYTES, _powers, as_bytes, blocks, lists, mix, prefix_hash, signed, slice_hash, staged, text_of, workers
+from .common import _INVERSE, BLOCK_BYTES, _powers, apart, as_bytes, blocks, lists, mix, prefix_hash, signed, slice_hash, staged, text_of, workers
 
-LENGTH, ROLL, SPAN = 400, 16, 128
-CORE = LENGTH - SPAN - ROLL
+LENGTH, PASSAGE, ROLL, SPAN = 400, 200, 16, 128
+#: Extents of a core that are ordered in one place; widths of the bands that a larger one is split into.
+FEW, WIDTHS = 256, (16, 1)
+#: Rows of keys, and bytes of spans, up to which a side is broadcast; beyond, sides are joined by shuffle.
+SMALL_ROWS, SMALL_BYTES = 400_000, 16 << 20
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
-def phrases(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+class Shape:
+    """Lengths in rising order, and what follows from the shortest: how far a trigger is looked for, and the core."""
+
+    def __init__(self, lengths: tuple[int, ...]):
+        self.lengths = tuple(sorted(lengths))
+        self.least, self.most, self.span = self.lengths[0], self.lengths[-1], SPAN
+        if any(n % 8 for n in self.lengths) or self.least < 64:
+            raise ValueError("lengths are multiples of 8, from 64 on")
+        while self.span + ROLL + 40 > self.least:
+            self.span //= 2
+        self.core = self.least - self.span - ROLL
+
+
+def phrases(buf: np.ndarray, off: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     """(first start, last start, trigger, text) of each phrase, and the prefix hash. Places count from the start of buf."""
     n, none = len(buf), np.zeros(0, np.int64)
-    if n < LENGTH:
+    if n < shape.least:
         return none, none, none, none, np.zeros(1, np.uint64)
     h = prefix_hash(buf)
     rolled = mix((h[ROLL:] - h[:-ROLL]) * _powers(_INVERSE, n - ROLL + 1))
     least = (rolled & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(rolled), dtype=np.uint64)
     step = 1
-    while step < SPAN:
+    while step < shape.span:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
     lens = np.diff(off)
-    far = np.repeat(off[1:] - LENGTH, lens)[: len(least)]
+    far = np.repeat(off[1:] - shape.least, lens)[: len(least)]
     i = np.flatnonzero(np.arange(len(far)) <= far)
     if not len(i):
         return none, none, none, none, h
@@ -64,57 +86,72 @@ def phrases(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return a, b, t[first], np.searchsorted(off, a, "right") - 1, h
 
 
-def _pieces(buf: np.ndarray, off: np.ndarray):
-    """(rows, bytes, offsets, place in the text of byte 0): blocks of whole texts, or overlapping pieces of a long one."""
+def _pieces(buf: np.ndarray, off: np.ndarray, most: int):
+    """(rows, bytes, offsets, place in the text of byte 0, strings that start in it): blocks of whole texts, or pieces
+    of a long one that overlap by a string of the greatest length."""
     for x, y in blocks(off):
         lo, hi = int(off[x]), int(off[y])
         if y - x > 1 or hi - lo <= 2 * BLOCK_BYTES:
-            yield x, y, buf[lo:hi], off[x : y + 1] - lo, 0
+            yield x, y, buf[lo:hi], off[x : y + 1] - lo, 0, hi - lo
             continue
-        for at in range(lo, hi - LENGTH + 1, BLOCK_BYTES):
-            to = min(hi, at + BLOCK_BYTES + LENGTH - 1)
-            yield x, y, buf[at:to], np.array([0, to - at]), at - lo
+        for at in range(lo, hi, BLOCK_BYTES):
+            to = min(hi, at + BLOCK_BYTES + most - 1)
+            yield x, y, buf[at:to], np.array([0, to - at]), at - lo, min(BLOCK_BYTES, hi - at)
+
+
+def _cores(shape: Shape):
+    def run(batches):
+        for batch in batches:
+            buf, off = as_bytes(batch.column("text"))
+            keys = batch.column("k1").to_numpy()
+            for x, _, part, o, _, starts in _pieces(buf, off, shape.most):
+                a, _, t, d, h = phrases(part, o, shape)
+                t, d = t[a < starts], d[a < starts]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[x + d]), pa.array(signed(slice_hash(h, t, t + shape.core)))], names=["k1", "core"])
+
+    return run
 
 
-def _cores(batches):
-    for batch in batches:
-        buf, off = as_bytes(batch.column("text"))
-        keys = batch.column("tk").to_numpy()
-        for x, _, part, o, _ in _pieces(buf, off):
-            _, _, t, d, h = phrases(part, o)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[x + d]), pa.array(signed(slice_hash(h, t, t + CORE)))], names=["tk", "core"])
+EXTENT = "core long, extent long, copies long, lead int, starts int, context binary"
+RUNS = f"k1 long, k2 long, at int, {EXTENT}"
 
 
-RUNS = "tk long, n_bytes long, at int, core long, extent long, copies long, lead int, starts int, context binary"
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
-def _runs(batches):
+def _runs(shape: Shape):
     """The phrases with a core in `cores`; context: what their strings hold, without the core."""
-    for batch in batches:
-        buf, off = as_bytes(batch.column("text"))
-        keys, sizes, copies = (batch.column(c).to_numpy() for c in ("tk", "n_bytes", "copies"))
-        flat, at = batch.column("cores").flatten().to_numpy(), np.concatenate(([0], np.cumsum(batch.column("cores").value_lengths().to_numpy())))
-        for x, y, part, o, moved in _pieces(buf, off):
-            a, b, t, d, h = phrases(part, o)
-            core = signed(slice_hash(h, t, t + CORE))
-            keep = np.isin(core, flat[at[x] : at[y]])
-            a, b, t, d, core = a[keep], b[keep], t[keep], d[keep], core[keep]
-            extent = signed(mix(slice_hash(h, a, b + LENGTH) + (t - a).astype(np.uint64) * _B))
-            lead, width = t - a, (t - a) + (b + LENGTH - t - CORE)
-            ends = np.cumsum(width)
-            inside = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - width, width)
-            place = np.repeat(a, width) + inside + np.where(inside >= np.repeat(lead, width), CORE, 0)
-            offsets = np.concatenate(([0], ends)).astype(np.int32)
-            context = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(part[place]))])
-            ints = lambda v: pa.array(v.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[x + d]), pa.array(sizes[x + d]), ints(t - o[d] + moved), pa.array(core), pa.array(extent), pa.array(copies[x + d]), ints(lead), ints(b - a + 1), context],
-                names=[c.split()[0] for c in RUNS.split(", ")],
-            )
-
-
-def suffix_ranks(buf: np.ndarray, depth: int) -> np.ndarray:
-    """The place of each suffix of buf in the order of their first `depth` bytes (a multiple of 8); equal
+
+    def run(batches):
+        for batch in batches:
+            buf, off = as_bytes(batch.column("text"))
+            k1, k2, copies = (batch.column(c).to_numpy() for c in ("k1", "k2", "copies"))
+            flat, at = batch.column("cores").flatten().to_numpy(), np.concatenate(([0], np.cumsum(batch.column("cores").value_lengths().to_numpy())))
+            for x, y, part, o, moved, begin in _pieces(buf, off, shape.most):
+                a, b, t, d, h = phrases(part, o, shape)
+                core = signed(slice_hash(h, t, t + shape.core))
+                keep = np.isin(core, flat[at[x] : at[y]]) & (a < begin)
+                a, b, t, d, core = a[keep], np.minimum(b[keep], begin - 1), t[keep], d[keep], core[keep]
+                stop = np.minimum(b + shape.most, o[1:][d])
+                extent = signed(mix(slice_hash(h, a, stop) + (t - a).astype(np.uint64) * _B + (b - a).astype(np.uint64) * _A))
+                lead, width = t - a, (t - a) + (stop - t - shape.core)
+                ends = np.cumsum(width)
+                inside = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - width, width)
+                place = np.repeat(a, width) + inside + np.where(inside >= np.repeat(lead, width), shape.core, 0)
+                offsets = np.concatenate(([0], ends)).astype(np.int32)
+                context = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(part[place]))])
+                ints = lambda v: pa.array(v.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k1[x + d]), pa.array(k2[x + d]), ints(t - o[d] + moved), pa.array(core), pa.array(extent), pa.array(copies[x + d]), ints(lead), ints(b - a + 1), context],
+                    names=_names(RUNS),
+                )
+
+    return run
+
+
+def suffix_ranks(buf: np.ndarray, depths: list[int]) -> list[np.ndarray]:
+    """For each depth (a multiple of 8) the place of each suffix of buf in the order of their first `depth` bytes; equal
     ones share it. Built by doubling: ranks of 8 bytes pair up to ranks of 16, 32 and so on."""
     n = len(buf)
     b = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -129,19 +166,26 @@ def suffix_ranks(buf: np.ndarray, depth: int) -> np.ndarray:
         return np.unique(a * (n + 1) + then, return_inverse=True)[1]
 
     w = 8
-    while 2 * w <= depth:
+    while 2 * w <= max(depths):
         rank[2 * w] = paired(rank[w], rank[w], w)
         w *= 2
-    at, out = w, rank[w]
-    for w in sorted(rank, reverse=True):
-        if at + w <= depth:
-            out = paired(out, rank[w], at)
-            at += w
-    return out
+    made = []
+    for depth in depths:
+        at = max(x for x in rank if x <= depth)
+        out = rank[at]
+        for w in sorted(rank, reverse=True):
+            if at + w <= depth:
+                out = paired(out, rank[w], at)
+                at += w
+        made.append(out)
+    return made
 
 
-def _spans(core, extent, again, of, left):
-    """Rows of extents with the runs of their repeated starts."""
+FOUND = "core long, extent long, nth int, spans array<int>"
+
+
+def _found(core, extent, nth, again, of, left):
+    """Rows of extents with the runs of their repeated starts of the nth length, as pairs (first, last) counted from the trigger."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], (again * (of + 1)).astype(np.int64), [0]))) != 0)
     lo = edge[edge < len(again)]
     lo = lo[again[lo]]
@@ -150,93 +194,141 @@ def _spans(core, extent, again, of, left):
     pairs = np.stack([-left[lo], -left[hi]], 1).astype(np.int32).ravel()
     counts = np.bincount(of[lo], minlength=len(core)) * 2
     keep = counts > 0
-    return pa.RecordBatch.from_arrays([pa.array(core[keep]), pa.array(extent[keep]), lists(pa.array(pairs), np.concatenate(([0], np.cumsum(counts[keep]))))], names=["core", "extent", "spans"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(core[keep]), pa.array(extent[keep]), pa.array(np.full(int(keep.sum()), nth, np.int32)), lists(pa.array(pairs), np.concatenate(([0], np.cumsum(counts[keep]))))],
+        names=_names(FOUND),
+    )
 
 
-def _ranked(core, extent, copies, lead, starts, context):
-    """For whole cores: the repeated starts of each extent, as pairs (first, last) counted from the trigger."""
+def _ranked(core, extent, copies, lead, starts, context, common: int, depths: dict[int, int]):
+    """For whole cores: the repeated starts of each extent. common: bytes of the core; depths: the lengths by their number."""
+    buf, off = as_bytes(context)
+    size = np.diff(off)
     # a core without an extent that occurs once is settled: all starts of its extents are repeated
-    first = np.concatenate(([True], core[1:] != core[:-1]))
-    which = np.cumsum(first) - 1
+    which = np.cumsum(np.concatenate(([True], core[1:] != core[:-1]))) - 1
     open_ = (np.bincount(which, copies == 1) > 0)[which]
-    done = np.flatnonzero(~open_)
-    if len(done):
-        ends = np.stack([-lead[done], starts[done] - 1 - lead[done]], 1).astype(np.int32).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(core[done]), pa.array(extent[done]), lists(pa.array(ends), np.arange(len(done) + 1) * 2)], names=["core", "extent", "spans"])
     some = np.flatnonzero(open_)
-    if not len(some):
-        return
-    core, extent, copies, lead, starts = (v[some] for v in (core, extent, copies, lead, starts))
-    buf, off = as_bytes(context.take(pa.array(some)))
-    of = np.repeat(np.arange(len(core)), starts)
-    step = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
-    left = lead[of] - step
-    # the suffix array of the dictionary's contexts; with core and split it orders the strings themselves
-    rank = suffix_ranks(buf, LENGTH - CORE)[off[:-1][of] + step]
-    order = np.lexsort((rank, left, core[of]))
-    same = np.zeros(len(order), bool)
-    same[1:] = (rank[order[1:]] == rank[order[:-1]]) & (left[order[1:]] == left[order[:-1]]) & (core[of[order[1:]]] == core[of[order[:-1]]])
-    same[:-1] |= same[1:]
-    again = copies[of] > 1
-    again[order] |= same
-    yield _spans(core, extent, again, of, left)
-
-
-def _order(batches):
-    """Rows come sorted by core; the last core of a batch waits for the next one."""
-    held = None
-    names = ("core", "extent", "copies", "lead", "starts")
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        core = table["core"].to_numpy()
-        cut = int(np.flatnonzero(core == core[-1])[0]) if len(core) else 0
-        held = (table.slice(cut).combine_chunks().to_batches() or [None])[0]
-        done = table.slice(0, cut)
-        for at in range(0, cut, 4096):  # whole cores of about so many rows at once
-            lo = int(np.searchsorted(core[:cut], core[at], "left")) if at else 0
-            end = min(at + 4096, cut)
-            hi = int(np.searchsorted(core[:cut], core[end], "left")) if end < cut else cut
-            if hi > lo:
-                part = done.slice(lo, hi - lo)
-                yield from _ranked(*(part[c].to_numpy() for c in names), part["context"])
-    if held is not None and held.num_rows:
-        yield from _ranked(*(held.column(c).to_numpy() for c in names), held.column("context"))
-
-
-def _cut(text_too: bool):
+    ranks = {}
+    if len(some):
+        buf, off = as_bytes(context.take(pa.array(some)))
+        # the suffix array of the dictionary's contexts; with core and split it orders the strings themselves
+        ranks = dict(zip(depths, suffix_ranks(buf, [n - common for n in depths.values()]), strict=True))
+    for nth, length in depths.items():
+        # starts whose string ends within the text
+        fit = np.clip(size - (length - common) + 1, 0, starts)
+        done = np.flatnonzero(~open_)
+        whole = np.repeat(done, fit[done])
+        step = np.arange(len(whole)) - np.repeat(np.cumsum(fit[done]) - fit[done], fit[done])
+        yield _found(core, extent, nth, np.ones(len(whole), bool), whole, lead[whole] - step)
+        if not len(some):
+            continue
+        n = fit[some]
+        of = np.repeat(np.arange(len(some)), n)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        c, left = core[some], lead[some][of] - step
+        rank = ranks[nth][off[:-1][of] + step]
+        order = np.lexsort((rank, left, c[of]))
+        same = np.zeros(len(order), bool)
+        same[1:] = (rank[order[1:]] == rank[order[:-1]]) & (left[order[1:]] == left[order[:-1]]) & (c[of[order[1:]]] == c[of[order[:-1]]])
+        same[:-1] |= same[1:]
+        again = copies[some][of] > 1
+        again[order] |= same
+        yield _found(c, extent[some], nth, again, of, left)
+
+
+def _order(common: int, depths: dict[int, int]):
+    def run(batches):
+        """Rows come sorted by core; the last core of a batch waits for the next one. A core has FEW extents at most."""
+        held = None
+        names = ("core", "extent", "copies", "lead", "starts")
+        ranked = lambda t: _ranked(*(t[c].to_numpy() for c in names), t["context"], common, depths)
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            core = table["core"].to_numpy()
+            cut = int(np.flatnonzero(core == core[-1])[0]) if len(core) else 0
+            held = (table.slice(cut).combine_chunks().to_batches() or [None])[0]
+            at = 0
+            while at < cut:  # whole cores of about so many rows at once
+                to = min(at + 4096, cut)
+                to = cut if to == cut else int(np.searchsorted(core[:cut], core[to], "left"))
+                to = to if to > at else int(np.searchsorted(core[:cut], core[at], "right"))
+                yield from ranked(table.slice(at, to - at))
+                at = to
+        if held is not None and held.num_rows:
+            yield from ranked(pa.Table.from_batches([held]))
+
+    return run
+
+
+BANDED = f"from_core long, from_extent long, nth int, {EXTENT}"
+
+
+def _banded(shape: Shape, common: int, width: int):
+    """Splits extents, for each length asked for, into bands of `width` starts at the same distance from the trigger. What all
+    strings of a band hold is the new core. Extents come with nth (null: all lengths)."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for core, extent, nth, copies, lead, starts, context in zip(*(batch.column(c).to_pylist() for c in ("core", "extent", "nth", *_names(EXTENT)[2:])), strict=True):
+                for k in range(len(shape.lengths)) if nth is None else [nth]:
+                    length = shape.lengths[k]
+                    fit = min(starts, len(context) - (length - common) + 1)
+                    for band in range((lead - fit + 1) // width, lead // width + 1) if fit > 0 else ():
+                        far, near = min(lead, band * width + width - 1), max(lead - fit + 1, band * width)
+                        right = lead + length - common
+                        body = context[lead - far : right - near]
+                        inner = context[lead - band * width : right - band * width - width + 1]
+                        names = hashlib.blake2b(inner, digest_size=8, salt=b"%d,%d" % (k, band), key=core.to_bytes(8, "little", signed=True)), hashlib.blake2b(body, digest_size=8, salt=b"%d,%d" % (far, near))
+                        rows.append((core, extent, k, *(int.from_bytes(x.digest(), "little", signed=True) for x in names), copies, far, far - near + 1, body))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=_names(BANDED))
+
+    return run
+
+
+def _cut(lengths: tuple[int, ...], text_too: bool):
+    """Reads spans_0, spans_1 ... of the lengths in rising order; the last one's strings are removed."""
+    spans_of = [f"spans_{k}" for k in range(len(lengths))]
+
     def run(batches):
         for batch in batches:
             buf, off = as_bytes(batch.column("text"))
-            spans = batch.column("spans").to_pylist()
+            found = [batch.column(c).to_pylist() for c in spans_of]
             rows = []
-            for i, found in enumerate(spans):
+            for i in range(batch.num_rows):
                 body = buf[off[i] : off[i + 1]]
-                gone = merged(found or [])
+                ranges = [merged(f[i] or [], n) for f, n in zip(found, lengths, strict=True)]
+                gone = ranges[-1]
                 left = np.ones(len(body), bool)
                 for a, b in gone:
                     left[a:b] = False
-                whole = body[left].tobytes() if gone else body.tobytes()
-                row = [len(body), int(len(body) - left.sum()), len(gone), hashlib.sha256(whole).hexdigest()]
                 if text_too:
-                    row = [whole_characters(body, gone) if gone else whole.decode("utf-8", "replace")]
-                rows.append(row)
-            columns = list(zip(*rows, strict=True)) or [[]] * (1 if text_too else 4)
-            kept = [batch.column(c) for c in batch.schema.names if c not in ("text", "spans")]
-            kinds = [pa.string()] if text_too else [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            names = ["text"] if text_too else ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]], names=[c for c in batch.schema.names if c not in ("text", "spans")] + names)
+                    rows.append([whole_characters(body, gone) if gone else body.tobytes().decode("utf-8", "replace")])
+                    continue
+                more = [x for r in ranges[:-1] for x in (sum(b - a for a, b in r), len(r))]
+                rows.append([len(body), int(len(body) - left.sum()), len(gone), hashlib.sha256(body[left].tobytes()).hexdigest(), *more])
+            names = ["text"] if text_too else ["n_bytes", "n_removed", "n_spans", "kept_sha256", *_passage_names(lengths)]
+            kinds = [pa.string()] if text_too else [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * (2 * len(lengths) - 2)]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            others = [c for c in batch.schema.names if c not in ("text", *spans_of)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]], names=[*others, *names])
 
     return run
 
 
-def merged(found: list[int]) -> list[tuple[int, int]]:
+def _passage_names(lengths: tuple[int, ...]) -> list[str]:
+    return [x for n in lengths[:-1] for x in ((f"n_repeated_{n}", f"n_passages_{n}"))]
+
+
+def merged(found: list[int], length: int) -> list[tuple[int, int]]:
     """Maximal byte ranges [a, b) covered by the strings that start in ranges given as first, last, first, last ..."""
     out: list[list[int]] = []
     for at in sorted(zip(found[::2], found[1::2], strict=True)):
         if out and at[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], at[1] + LENGTH)
+            out[-1][1] = max(out[-1][1], at[1] + length)
         else:
-            out.append([at[0], at[1] + LENGTH])
+            out.append([at[0], at[1] + length])
     return [(a, b) for a, b in out]
 
 
@@ -252,56 +344,107 @@ def whole_characters(body: np.ndarray, gone: list[tuple[int, int]]) -> str:
     return body[left].tobytes().decode("utf-8", "replace")
 
 
-def repeated(docs: DataFrame, text: str = "text", id: str | None = None) -> DataFrame:
-    """(tk, n_bytes, spans) of each distinct text with repeated strings: first and last start of each run of them, one after the other.
+def _keys(text: str) -> list[F.Column]:
+    """128 bits that stand for a text."""
+    t = text_of(text)
+    return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit("second"), t).alias("k2")]
+
+
+def _counted(rows: DataFrame, *by: str) -> DataFrame:
+    first = [F.first(c).alias(c) for c in ("lead", "starts", "context")]
+    return rows.groupBy("core", "extent", *by).agg(F.sum("copies").alias("copies"), *first)
 
-    `id` tells copies apart, so that only one of them has to be sent on; without it all go to one place."""
-    spark = docs.sparkSession
-    workers(spark)
-    who = F.coalesce(F.col(id).cast("string"), F.lit("")) if id else F.lit("")
-    keyed = docs.select(F.xxhash64(text_of(text)).alias("tk"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"), who.alias("who"), text_of(text).alias("text")).where(F.col("n_bytes") >= LENGTH)
-    cores = staged(keyed.select("tk", "text").mapInArrow(_cores, "tk long, core long"), "op3-cores", "zstd")
-    # written first, so that the join's two sides are plain exchanges and a very common core can be split
-    twice = staged(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "op3-twice")
-    hits = cores.join(twice, "core").groupBy("tk").agg(F.collect_set("core").alias("cores"))
-    # one row of each text by its least id: with the id in the join's key, copies are dealt out evenly
-    one = keyed.groupBy("tk", "n_bytes").agg(F.count(F.lit(1)).alias("copies"), F.min("who").alias("who")).join(hits, "tk")
-    held = keyed.join(one, ["tk", "n_bytes", "who"]).select("tk", "n_bytes", "text", "cores", "copies")
-    runs = staged(held.mapInArrow(_runs, RUNS), "op3-phrases", "zstd")
-    extents = runs.groupBy("core", "extent").agg(F.sum("copies").alias("copies"), F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.first("context").alias("context"))
-    ranked = extents.repartition("core").sortWithinPartitions("core").mapInArrow(_order, "core long, extent long, spans array<int>")
-    found = runs.select("tk", "n_bytes", "at", "core", "extent").join(ranked, ["core", "extent"])
-    placed = F.transform("spans", lambda x: x + F.col("at"))
-    out = found.select("tk", "n_bytes", placed.alias("spans")).groupBy("tk", "n_bytes").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return staged(out, "op3-spans", narrow=True)
 
+def _ordered(runs: DataFrame, shape: Shape) -> DataFrame:
+    """(core, extent, nth, spans) of the extents with repeated starts, nth telling the length."""
+    depths = dict(enumerate(shape.lengths))
+    level, links, out = staged(_counted(runs).withColumn("nth", F.lit(None).cast("int")), "op3-extents", "zstd"), [], None
 
-def _with_spans(docs: DataFrame, text: str, id: str | None) -> DataFrame:
-    spans = repeated(docs, text, id)
-    named = spans.withColumnsRenamed({"tk": "_tk", "n_bytes": "_n"})
-    on = (F.xxhash64(text_of(text)) == F.col("_tk")) & (F.octet_length(text_of(text)) == F.col("_n"))
-    return docs.join(named, on, "left").drop("_tk", "_n")
+    def settle(rows: DataFrame) -> DataFrame:
+        got = None
+        for some in [{k: n} for k, n in depths.items()] if links else [depths]:
+            part = rows.where(F.col("nth").isin(*some)) if links else rows
+            part = part.select(*_names(EXTENT)).repartition("core").sortWithinPartitions("core").mapInArrow(_order(shape.core, some), FOUND)
+            got = part if got is None else got.unionByName(part)
+        for link in reversed(links):
+            got = got.join(link, ["core", "extent", "nth"]).select(F.col("from_core").alias("core"), F.col("from_extent").alias("extent"), "nth", "spans")
+        return got if out is None else out.unionByName(got)
 
+    for width in WIDTHS:
+        wide = staged(level.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("core"), "op3-wide", narrow=True)
+        many = wide.count()
+        if not many:
+            break
+        side = F.broadcast(wide) if many <= SMALL_ROWS else wide
+        out = settle(level.join(side, "core", "left_anti"))
+        bands = level.join(side, "core", "left_semi").mapInArrow(_banded(shape, shape.core, width), BANDED)
+        bands = staged(bands, "op3-bands", "zstd")
+        links.append(bands.select("core", "extent", "nth", "from_core", "from_extent"))
+        level = staged(_counted(bands, "nth"), "op3-extents", "zstd")
+    return settle(level)
 
-def digests(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Per row: the columns in `keep` (the first tells copies apart), n_bytes, n_removed, n_spans and kept_sha256."""
-    got = _with_spans(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text")), "text", "k0" if keep else None)
-    kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    out = got.mapInArrow(_cut(False), ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string"]))
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
+def repeated(docs: DataFrame, text: str = "text", id: str | None = None, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    """(k1, k2, spans_0, ...) of each distinct text with repeated strings: for each length, in rising order, first and last
+    start of each run of them, one after the other.
 
-def removed(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    `id` tells copies apart, so that only one of them has to be sent on; without it all go to one place."""
+    spark, shape = docs.sparkSession, Shape(lengths)
+    workers(spark)
+    who = F.coalesce(F.col(id).cast("string"), F.lit("")) if id else F.lit("")
+    keyed = docs.select(*_keys(text), who.alias("who"), text_of(text).alias("text")).where(F.octet_length("text") >= shape.least)
+    cores = staged(keyed.select("k1", "text").mapInArrow(_cores(shape), "k1 long, core long"), "op3-cores", "zstd")
+    # written first, so that the join's two sides are plain exchanges and a very common core can be split
+    twice = staged(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "op3-twice")
+    hits = staged(cores.join(twice, "core").groupBy("k1").agg(F.collect_set("core").alias("cores")), "op3-hits", "zstd")
+    if hits.count() <= SMALL_ROWS:  # then other texts needn't be sent
+        keyed = keyed.join(F.broadcast(hits.select("k1")), "k1", "left_semi")
+    # one row of each text by its least id: with the id in the join's key, copies are dealt out evenly
+    one = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("who").alias("who")).join(hits, "k1")
+    held = keyed.join(one, ["k1", "k2", "who"]).select("k1", "k2", "text", "cores", "copies")
+    runs = staged(held.mapInArrow(_runs(shape), RUNS), "op3-phrases", "zstd")
+    found = runs.select("k1", "k2", "at", "core", "extent").join(_ordered(runs, shape), ["core", "extent"])
+    placed = found.select("k1", "k2", "nth", F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
+    each = [F.flatten(F.collect_list(F.when(F.col("nth") == k, F.col("spans")))).alias(f"spans_{k}") for k in range(len(shape.lengths))]
+    return staged(placed.groupBy("k1", "k2").agg(*each), "op3-spans", narrow=True)
+
+
+def _with_spans(docs: DataFrame, text: str, id: str | None, lengths: tuple[int, ...]) -> DataFrame:
+    spans = repeated(docs, text, id, lengths)
+    names = [f"spans_{k}" for k in range(len(lengths))]
+    size = spans.agg(F.coalesce(F.sum(F.lit(64) + sum(4 * F.size(c) for c in names)), F.lit(0))).first()[0]
+    if size <= SMALL_BYTES:
+        spans = F.broadcast(spans)
+    k1, k2 = _keys(text)
+    return docs.withColumns({"k1": k1, "k2": k2}).join(spans, ["k1", "k2"], "left").drop("k1", "k2")
+
+
+def _processed(docs: DataFrame, keep: list[str], text: str, id: str | None, lengths: tuple[int, ...], text_too: bool, schema: str) -> DataFrame:
+    lengths = tuple(sorted(lengths))
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
+    kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+    return _with_spans(plain, "text", f"c{keep.index(id)}" if id else None, lengths).mapInArrow(_cut(lengths, text_too), ", ".join([*kinds, schema]))
+
+
+def digests(docs: DataFrame, keep: list[str], text: str = "text", lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    """Per row: the columns in `keep` (the first tells copies apart), n_bytes, and, for the greatest length, n_removed, n_spans
+    and kept_sha256; for each shorter one, n_repeated_<length> bytes that its strings cover and n_passages_<length> runs of them."""
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *_passage_names(tuple(sorted(lengths)))]
+    schema = ", ".join(f"{c} {'string' if c == 'kept_sha256' else 'long'}" for c in results)
+    out = _processed(docs, keep, text, keep[0] if keep else None, lengths, False, schema)
+    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(apart(keep, results))})
+
+
+def removed(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """docs with the repeated strings cut from their text; characters stay whole. Null texts come out empty."""
     others = [c for c in docs.columns if c != text]
-    got = _with_spans(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(others)], F.col(text).alias("text")), "text", f"k{others.index(id)}")
-    kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)]
-    out = got.mapInArrow(_cut(True), ", ".join([*kinds, "text string"]))
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(others)} | {"text": text}).select(*docs.columns)
+    out = _processed(docs, others, text, id, (length,), True, "text string")
+    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(others)} | {"text": text}).select(*docs.columns)
 
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    """The contract's columns, and bytes and runs of repeated strings of PASSAGE bytes."""
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], lengths=(PASSAGE, LENGTH))
 
 
 QUERIES = {"op3_suffix_array_dedup": op3_suffix_array_dedup}

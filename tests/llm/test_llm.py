@@ -62,6 +62,48 @@ def test_words_and_hashes():
     assert [x for x in blocks(off, 3)][-1][1] == len(texts)
 
 
+def test_long_words_do_not_collide():
+    """Words of two letters in the order of the Thue-Morse sequence, and the same with the letters swapped."""
+    for m in range(3, 15):
+        order = np.array([bin(i).count("1") & 1 for i in range(1 << m)], np.uint8)
+        buf = np.concatenate([order + 97, 98 - order]).astype(np.uint8)
+        a, b = slice_hash(prefix_hash(buf), np.array([0, 1 << m]), np.array([1 << m, 2 << m]))
+        assert a != b
+        again = slice_hash(prefix_hash(np.concatenate([buf[:13], buf[: 1 << m]])), np.array([13]), np.array([13 + (1 << m)]))
+        assert again[0] == a
+
+
+def swapped(m):
+    order = [bin(i).count("1") & 1 for i in range(1 << m)]
+    return "".join("ab"[x] for x in order), "".join("ba"[x] for x in order)
+
+
+def test_long_words_through_operators(spark):
+    rows = [(2 * m + k, w) for m in range(10, 15) for k, w in enumerate(swapped(m))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert all(r.component_id == r.doc_id for r in setjoin.jaccard_components(df).collect())
+    got = {r.doc_id: r for r in suffixtree.scored(df, F.col("doc_id") % 2 == 1).collect()}
+    assert all(r.n_known == 2 - r.doc_id % 2 for r in got.values())  # a held-out word isn't known, only the end
+    items = spark.createDataFrame([(1, f"{rows[0][1]} two three four")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {rows[0][1]} two three four"), (2, f"x {rows[1][1]} two three four")], SCHEMA)
+    assert {r.doc_id: r.score for r in decontaminate.leaks(docs, items).collect()} == {1: 8, 2: 6}
+    model = langid.fit(spark.createDataFrame([(1, rows[0][1], "aa"), (2, "zz yy", "zz")], f"{SCHEMA}, lang string"))
+    assert len(langid.predict(df, model, ["doc_id"]).collect()) == len(rows)
+
+
+def test_shared_dir_is_not_set(monkeypatch):
+    from types import SimpleNamespace
+
+    from siltstone.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master=master, applicationId="app-x"))
+    assert common.shared_dir(session("local[4]")) == common.shared_dir(session("local")) != ""
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(session(master))
+
+
 def test_sliced_arrays():
     whole = pa.array(["zzz", "a b", None, "c"], pa.string())
     buf, off = as_bytes(whole.slice(1, 3))
@@ -242,6 +284,42 @@ def test_repeats_equal_brute_force(spark, data):
     assert ours_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4)) == brute_repeats(rows)
 
 
+def passages(df):
+    return sorted((r.doc_id, r.n_removed, r.n_repeated_200, r.n_passages_200) for r in repeats.digests(df, ["doc_id"], lengths=(400, 200)).collect())
+
+
+def brute_passages(rows):
+    return sorted((a[0], a[2], b[2], b[3]) for a, b in zip(brute_repeats(rows), brute_repeats(rows, 200)))
+
+
+@pytest.mark.parametrize("few", [256, 3])
+def test_repeats_of_two_lengths_and_split_cores(spark, few, monkeypatch):
+    monkeypatch.setattr(repeats, "FEW", few)  # 3: most cores are split into bands
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abé ") for _ in range(900)) for _ in range(3)]
+    rows = []
+    for i in range(80):
+        q = rng.choice(base)[rng.randrange(300) :][: rng.randrange(150, 600)]
+        if rng.random() < 0.5:
+            z = rng.randrange(len(q))
+            q = q[:z] + rng.choice("xy") + q[z + 1 :]
+        rows.append((i, "".join(rng.choice("cde") for _ in range(rng.randrange(90))) + q + rng.choice(base)[: rng.randrange(700)]))
+    rows += [(200, "a" * 3000), (201, "x" * 399), (202, "x" * 400), (203, "z" * 199), (204, "w" * 200), (205, "w" * 200)]
+    assert passages(spark.createDataFrame(rows, SCHEMA).repartition(5)) == brute_passages(rows)
+
+
+def test_passages_of_51_to_120_words_are_caught(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    planted = [prose(n) for n in range(51, 121, 3)]
+    rows = [(k, f"{prose(60)} {planted[k % len(planted)]} {prose(60)}") for k in range(3 * len(planted))] + [(1000 + k, prose(200)) for k in range(60)]
+    got = {r.doc_id: r for r in repeats.digests(spark.createDataFrame(rows, SCHEMA).repartition(4), ["doc_id"], lengths=(400, 200)).collect()}
+    assert all((r.n_passages_200 > 0) == (i < 1000) for i, r in got.items())
+    left = {r.doc_id: r.text for r in repeats.removed(spark.createDataFrame(rows, SCHEMA).repartition(4), length=200).collect()}
+    assert all(planted[i % len(planted)] not in t for i, t in left.items() if i < 1000) and all(left[i] == t for i, t in rows if i >= 1000)
+
+
 def test_repeats_adversarial(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abé ") for _ in range(900)) for _ in range(4)]
@@ -261,9 +339,10 @@ def test_repeats_long_text_in_pieces(spark, monkeypatch):
     text = "".join(rng.choice("abcdefgh ") for _ in range(6000))
     rows = [(1, text + text[1000:2500]), (2, "z" + text[3000:5000] + "q"), (3, text[:380])]
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 1000)
-    cut = list(repeats._pieces(np.frombuffer(rows[0][1].encode(), np.uint8), np.array([0, len(rows[0][1])])))
-    assert len(cut) > 5 and cut[-1][4] + len(cut[-1][2]) == len(rows[0][1])
-    assert ours_repeats(spark.createDataFrame(rows, SCHEMA)) == brute_repeats(rows)
+    cut = list(repeats._pieces(np.frombuffer(rows[0][1].encode(), np.uint8), np.array([0, len(rows[0][1])]), 400))
+    assert len(cut) > 5 and cut[-1][4] + len(cut[-1][2]) == len(rows[0][1]) == sum(c[5] for c in cut)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert ours_repeats(df) == brute_repeats(rows) and passages(df) == brute_passages(rows)
 
 
 def test_repeats_odd(spark):
@@ -584,7 +663,7 @@ def test_pipeline_stages(spark, data):
     assert {r.doc_id for r in one} == {i for i, (_, c) in comps.items() if i == c}
     df = spark.createDataFrame(one, docs.schema)
     cut = p.repeated_passages(spark, df, data).collect()
-    gone = {r[0]: r[2] for r in brute_repeats([(r.doc_id, r.text) for r in one])}
+    gone = {r[0]: r[2] for r in brute_repeats([(r.doc_id, r.text) for r in one], repeats.PASSAGE)}
     assert all(0 <= len(rows[r.doc_id]["text"].encode()) - len(r.text.encode()) - gone[r.doc_id] + 6 <= 6 + 0 or gone[r.doc_id] for r in cut) and all(r.n_chars == len(r.text) for r in cut)
     df = spark.createDataFrame(cut, docs.schema)
     clean = p.decontamination(spark, df, data).collect()
