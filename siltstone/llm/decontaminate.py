@@ -1,16 +1,18 @@
-"""Benchmark decontamination (operator 2): n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination (operator 2): rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased and freed of ASCII punctuation. All 3-grams of each test item are its seeds,
-however common: a choice by frequency would depend on the corpus and on how often an item leaked. Where
-a text holds a seed, the item is aligned with the words around by Smith-Waterman (match 2, mismatch -1,
-gap -1), unless too few of its words are there; a pair is reported when the score reaches SIMILAR of the
-item's highest possible score. A pair without any common 3-gram is not found, whatever its score.
+Words are lower-cased and freed of ASCII punctuation. Of every NEAR = 2 neighbouring 3-grams of a test item
+the one that fewer training texts hold is a seed (ties: the lower hash). So seeds are the rare ones, yet spread over
+the whole item: four words of it in a row always hold one, however large the corpus is and however often
+the item leaked, for ranks within an item don't depend on either. Where a text holds a seed, the item is
+aligned with the words around by Smith-Waterman (match 2, mismatch -1, gap -1), unless too few of its words
+are there; a pair is reported when the score reaches SIMILAR of the item's highest possible score. A pair
+without any common seed is not found, whatever its score.
 
-A test set of up to ITEM_WORDS words is sent to the executors, which then need no exchange of texts at
-all; a larger one is joined with the training texts' 3-grams by shuffle, and pairs are aligned after.
+The test set goes to the executors in blocks of about ITEM_WORDS words; texts are scanned twice for each block, once to
+count 3-grams and once to align, and never exchanged. All sizes take this same way.
 
-Null texts hold no words and are in no pair. Items under 3 words have no seed and are in no pair.
-Repeated rows, and equal items, each get their own pairs. Null ids stay null. Other columns are ignored.
+Null texts hold no words and are in no pair. Items under 3 words have no seed and are in no pair; empty tables give
+no pairs. Repeated rows, and equal items, each get their own pairs. Null ids stay null. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, mix, prefix_hash, signed, slice_hash, words, workers
+from .common import as_bytes, blocks, mix, prefix_hash, slice_hash, words, workers
 
 N = 3
 MATCH, MISMATCH, GAP, SIMILAR = 2, -1, -1, 0.5
-ITEM_WORDS = 2_000_000
+#: Neighbouring 3-grams of which the rarest is a seed; words of test items that are sent to the executors at once.
+NEAR, ITEM_WORDS = 2, 500_000
 _A = np.uint64(0xA24BAED4963EE407)
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -88,21 +91,45 @@ def align(item: np.ndarray, body: np.ndarray, hits: list[tuple[int, int]]) -> tu
 
 
 class Items:
-    """The test set with its seeds."""
+    """The items of a block with their 3-grams; `rare` makes seeds of some, after which only these are left."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         h, at = word_hashes(*as_bytes(pa.array(texts, pa.string())))
         self.ids, self.words = ids, [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         g, place = grams(h, at)
-        self.gram, self.item = g, np.searchsorted(at, place, "right") - 1
-        self.place = place - at[self.item]
-        order = np.argsort(g, kind="stable")
-        self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
-        self.seeds = np.unique(g)
+        item = np.searchsorted(at, place, "right") - 1
+        self._sort(g, item, place - at[item])
+
+    def _sort(self, gram: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.item, self.place = gram[order], item[order], place[order]
+        self.seeds = np.unique(gram)
+
+    def rare(self, counts: np.ndarray) -> Items:
+        """Keeps, of every NEAR neighbouring 3-grams of an item, the one with the least count; counts follow `seeds`."""
+        order = np.lexsort((self.place, self.item))
+        gram, item, place = self.gram[order], self.item[order], self.place[order]
+        rank = np.empty(len(self.seeds), np.int64)
+        rank[np.lexsort((self.seeds, counts))] = np.arange(len(self.seeds))
+        own = rank[np.searchsorted(self.seeds, gram)]
+        keep = np.zeros(len(gram), bool)
+        first = np.searchsorted(item, np.arange(len(self.words) + 1))
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            for i in range(a, max(a + 1, b - NEAR + 1)) if b > a else ():
+                keep[i + int(own[i : min(i + NEAR, b)].argmin())] = True
+        self._sort(gram[keep], item[keep], place[keep])
+        return self
 
     def of(self, seed: int) -> range:
         return range(int(np.searchsorted(self.gram, seed, "left")), int(np.searchsorted(self.gram, seed, "right")))
 
+    def met(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, word, number of the seed) wherever a text holds a seed."""
+        g, place = grams(h, at)
+        i = np.minimum(np.searchsorted(self.seeds, g), len(self.seeds) - 1)
+        got = np.flatnonzero(self.seeds[i] == g)
+        return np.searchsorted(at, place[got], "right") - 1, place[got], i[got]
+
 
 PAIRS = "item long, n_seeds long, score long, similarity double, first_word long, last_word long"
 
@@ -115,6 +142,22 @@ def _pairs_of(items: Items, body: np.ndarray, hits: dict[int, list[tuple[int, in
             yield k, len({q for _, q in found}), score, score / most, first, last
 
 
+def _holding(items: Items):
+    """How many texts of a task hold each 3-gram of the items."""
+
+    def run(batches):
+        n = np.zeros(len(items.seeds), np.int64)
+        for batch in batches:
+            buf, off = as_bytes(batch.column("text"))
+            for a, b in blocks(off):
+                doc, _, seed = items.met(*word_hashes(buf[off[a] : off[b]], off[a : b + 1] - off[a]))
+                n += np.bincount(np.unique(doc * len(n) + seed) % len(n), minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["seed", "n"])
+
+    return run
+
+
 def _scan(items: Items, kind: pa.DataType):
     def run(batches):
         for batch in batches:
@@ -122,13 +165,9 @@ def _scan(items: Items, kind: pa.DataType):
             rows: list[tuple] = []
             for a, b in blocks(off):
                 h, at = word_hashes(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                g, place = grams(h, at)
-                i = np.minimum(np.searchsorted(items.seeds, g), len(items.seeds) - 1)
-                got = np.flatnonzero(items.seeds[i] == g)
-                doc = np.searchsorted(at, place[got], "right") - 1
                 hits: dict[int, dict[int, list]] = {}
-                for d, p, seed in zip(doc.tolist(), place[got].tolist(), g[got], strict=True):
-                    for r in items.of(seed):
+                for d, p, seed in zip(*(x.tolist() for x in items.met(h, at)), strict=True):
+                    for r in items.of(items.seeds[seed]):
                         hits.setdefault(d, {}).setdefault(int(items.item[r]), []).append((p - int(at[d]), int(items.place[r])))
                 for d, found in hits.items():
                     rows += [(a + d, *x) for x in _pairs_of(items, h[at[d] : at[d + 1]], found)]
@@ -143,57 +182,27 @@ def _table(ids: pa.Array, item_ids: list, rows: list[tuple], kind: pa.DataType)
     return pa.RecordBatch.from_arrays([ids, pa.array(item_ids, kind), *rest], names=["id", *[c.split()[0] for c in PAIRS.split(", ")]])
 
 
-def _grams_of(batches):
-    for batch in batches:
-        buf, off = as_bytes(batch.column("text"))
-        for a, b in blocks(off):
-            h, at = word_hashes(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-            g, place = grams(h, at)
-            row = a + np.searchsorted(at, place, "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(signed(g))], names=["key", "seed"])
-
-
-def _aligned(kind: pa.DataType):
-    """Rows with the words of one text and one item."""
-
-    def run(batches):
-        for batch in batches:
-            rows, at = [], []
-            for r, (text, item) in enumerate(zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
-                items = Items([0], [item])
-                h, o = word_hashes(*as_bytes(pa.array([text], pa.string())))
-                g, place = grams(h, o)
-                hits = [(int(p), int(items.place[q])) for x, p in zip(g, place, strict=True) for q in items.of(x)]
-                for got in _pairs_of(items, h, {0: hits} if hits else {}):
-                    rows.append(got[1:]), at.append(r)
-            take = pa.array(at, pa.int64())
-            ids = batch.column("item_id").take(take).to_pylist()
-            yield _table(batch.column("id").take(take), ids, rows, kind)
-
-    return run
-
-
 def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = ITEM_WORDS) -> DataFrame:
     """(id, item_id, n_seeds, score, similarity, first_word, last_word) of each pair of a text and an item that it holds."""
     workers(docs.sparkSession)
-    id_kind, item_kind = docs.schema[id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    item_kind = items.schema[item_id].dataType.simpleString()
     plain = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     tests = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text"))
-    kinds = f"id {id_kind}, {PAIRS.replace('item long', f'item {item_kind}')}"
+    kinds = f"id {docs.schema[id].dataType.simpleString()}, {PAIRS.replace('item long', f'item {item_kind}')}"
     arrow = pa.int64() if item_kind in ("bigint", "long") else pa.int32() if item_kind == "int" else pa.string()
-    if tests.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0] <= 6 * most:
-        rows = tests.orderBy("item_id", "item_text").collect()
+    n_blocks = -(-tests.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0] // (6 * most))
+    out = docs.sparkSession.createDataFrame([], kinds)
+    for n in range(n_blocks):
+        rows = tests.where(F.pmod(F.xxhash64("item_text"), F.lit(n_blocks)) == n).orderBy("item_id", "item_text").collect()
         held = Items([r.item_id for r in rows], [r.item_text for r in rows])
         if not len(held.seeds):
-            return docs.sparkSession.createDataFrame([], kinds).withColumnsRenamed({"id": id, "item": item_id})
-        return plain.mapInArrow(_scan(held, arrow), kinds).withColumnsRenamed({"id": id, "item": item_id})
-    keyed = plain.withColumn("key", F.xxhash64("text"))
-    tests = tests.withColumn("item_key", F.xxhash64("item_text"))
-    ours = keyed.select("key", "text").mapInArrow(_grams_of, "key long, seed long").distinct()
-    theirs = tests.select(F.col("item_key").alias("key"), F.col("item_text").alias("text")).mapInArrow(_grams_of, "key long, seed long").distinct()
-    met = ours.join(theirs.withColumnRenamed("key", "item_key"), "seed").select("key", "item_key").distinct()
-    pairs = keyed.join(met, "key").join(tests, "item_key").select("id", "text", "item_id", "item_text")
-    return pairs.mapInArrow(_aligned(arrow), kinds).withColumnsRenamed({"id": id, "item": item_id})
+            continue
+        counts = np.zeros(len(held.seeds), np.int64)
+        for r in plain.select("text").mapInArrow(_holding(held), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # a row for each 3-gram of the block at most
+            counts[r.seed] = r.n
+        part = plain.mapInArrow(_scan(held.rare(counts), arrow), kinds)
+        out = part if n_blocks == 1 else out.unionByName(part)
+    return out.withColumnsRenamed({"id": id, "item": item_id})
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

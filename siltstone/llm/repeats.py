@@ -44,8 +44,8 @@ from .common import _INVERSE, BLOCK_BYTES, _powers, apart, as_bytes, blocks, lis
 LENGTH, PASSAGE, ROLL, SPAN = 400, 200, 16, 128
 #: Extents of a core that are ordered in one place; widths of the bands that a larger one is split into.
 FEW, WIDTHS = 256, (16, 1)
-#: Rows of keys, and bytes of spans, up to which a side is broadcast; beyond, sides are joined by shuffle.
-SMALL_ROWS, SMALL_BYTES = 400_000, 16 << 20
+#: Hot cores up to which their list is broadcast; more are joined by shuffle.
+SMALL_ROWS = 400_000
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -120,6 +120,23 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+def _living(a, b, t, begin, once, length: int, n: int, shape: Shape) -> np.ndarray:
+    """For each place of n the last start up to it (-1: none) whose string of `length` may be repeated. It can't be if it holds the
+    core of a phrase that occurs once, and one of the windows that make this phrase's trigger, as copies would hold both."""
+    lo = np.maximum(begin, np.maximum(a - (length - shape.span - ROLL), t - (length - shape.core)))[once]
+    hi = b[once]
+    some = lo <= hi
+    dead = np.cumsum(np.bincount(lo[some], minlength=n + 1) - np.bincount(hi[some] + 1, minlength=n + 1))[:n] > 0
+    return np.maximum.accumulate(np.where(dead, -1, np.arange(n)))
+
+
+def _next(last: np.ndarray) -> np.ndarray:
+    """For each place the first living start from it on."""
+    n = len(last)
+    own = np.where(last == np.arange(n), last, 2 * n)
+    return np.minimum.accumulate(own[::-1])[::-1]
+
+
 def _runs(shape: Shape):
     """The phrases with a core in `cores`; context: what their strings hold, without the core."""
 
@@ -131,9 +148,18 @@ def _runs(shape: Shape):
             for x, y, part, o, moved, begin in _pieces(buf, off, shape.most):
                 a, b, t, d, h = phrases(part, o, shape)
                 core = signed(slice_hash(h, t, t + shape.core))
-                keep = np.isin(core, flat[at[x] : at[y]]) & (a < begin)
-                a, b, t, d, core = a[keep], np.minimum(b[keep], begin - 1), t[keep], d[keep], core[keep]
-                stop = np.minimum(b + shape.most, o[1:][d])
+                twice = np.isin(core, flat[at[x] : at[y]])
+                last = [_living(a, b, t, o[:-1][d], ~twice, n, len(part), shape) for n in shape.lengths]
+                b = np.minimum(b, begin - 1)
+                keep = twice & (a <= b)
+                a, b, t, d, core = a[keep], b[keep], t[keep], d[keep], core[keep]
+                a, b = _next(last[0])[a], last[0][b]  # from the first to the last start that may be repeated
+                keep = a <= b
+                a, b, t, d, core = a[keep], b[keep], t[keep], d[keep], core[keep]
+                stop = b + shape.least
+                for living, n in zip(last[1:], shape.lengths[1:], strict=True):
+                    stop = np.maximum(stop, np.where(living[b] >= a, living[b] + n, 0))
+                stop = np.minimum(stop, o[1:][d])
                 extent = signed(mix(slice_hash(h, a, stop) + (t - a).astype(np.uint64) * _B + (b - a).astype(np.uint64) * _A))
                 lead, width = t - a, (t - a) + (stop - t - shape.core)
                 ends = np.cumsum(width)
@@ -150,35 +176,35 @@ def _runs(shape: Shape):
     return run
 
 
-def suffix_ranks(buf: np.ndarray, depths: list[int]) -> list[np.ndarray]:
-    """For each depth (a multiple of 8) the place of each suffix of buf in the order of their first `depth` bytes; equal
-    ones share it. Built by doubling: ranks of 8 bytes pair up to ranks of 16, 32 and so on."""
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The ranks of tuples of ranks; as many as 63 bits hold are compared at once."""
+    out, bits, each = parts[0], 0, 1 + int(max(int(p.max(initial=0)) for p in parts)).bit_length()
+    bits = each
+    for part in parts[1:]:
+        if bits + each > 63:
+            out = np.unique(out, return_inverse=True)[1]
+            bits = 1 + len(out).bit_length()
+        out = (out << each) | part
+        bits += each
+    return np.unique(out, return_inverse=True)[1]
+
+
+def suffix_ranks(buf: np.ndarray, wanted: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """For each (places, depth) the order of the suffixes of buf at these places by their first `depth` bytes; equal ones share
+    a rank. The suffix array is built by joining ranks of 8 bytes to ranks of 24 and of 72; ranks of the depths that are asked for
+    join these, overlapping at the end."""
     n = len(buf)
     b = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | b[j : n + j]
-    rank = {8: np.unique(key, return_inverse=True)[1]}
-
-    def paired(a: np.ndarray, c: np.ndarray, w: int) -> np.ndarray:
-        then = np.zeros(n, np.int64)
-        then[: max(0, n - w)] = c[w:] + 1
-        return np.unique(a * (n + 1) + then, return_inverse=True)[1]
-
-    w = 8
-    while 2 * w <= max(depths):
-        rank[2 * w] = paired(rank[w], rank[w], w)
-        w *= 2
-    made = []
-    for depth in depths:
-        at = max(x for x in rank if x <= depth)
-        out = rank[at]
-        for w in sorted(rank, reverse=True):
-            if at + w <= depth:
-                out = paired(out, rank[w], at)
-                at += w
-        made.append(out)
-    return made
+    rank, least = {8: np.unique(key, return_inverse=True)[1]}, min(depth for _, depth in wanted)
+    for w in (24, 72):
+        if w <= least:
+            then = lambda by: np.concatenate([rank[w // 3][by:], np.zeros(min(by, n), np.int64)])[:n]  # noqa: B023, E731
+            rank[w] = _joined([rank[w // 3], then(w // 3), then(2 * (w // 3))])
+    top = max(rank)
+    return [_joined([rank[top][at + by] for by in [*range(0, depth - top, top), depth - top]]) if len(at) else at for at, depth in wanted]
 
 
 FOUND = "core long, extent long, nth int, spans array<int>"
@@ -202,38 +228,37 @@ def _found(core, extent, nth, again, of, left):
 
 def _ranked(core, extent, copies, lead, starts, context, common: int, depths: dict[int, int]):
     """For whole cores: the repeated starts of each extent. common: bytes of the core; depths: the lengths by their number."""
-    buf, off = as_bytes(context)
+    _, off = as_bytes(context)
     size = np.diff(off)
     # a core without an extent that occurs once is settled: all starts of its extents are repeated
     which = np.cumsum(np.concatenate(([True], core[1:] != core[:-1]))) - 1
     open_ = (np.bincount(which, copies == 1) > 0)[which]
-    some = np.flatnonzero(open_)
-    ranks = {}
-    if len(some):
-        buf, off = as_bytes(context.take(pa.array(some)))
-        # the suffix array of the dictionary's contexts; with core and split it orders the strings themselves
-        ranks = dict(zip(depths, suffix_ranks(buf, [n - common for n in depths.values()]), strict=True))
-    for nth, length in depths.items():
-        # starts whose string ends within the text
+    some, done = np.flatnonzero(open_), np.flatnonzero(~open_)
+    buf, off = as_bytes(context.take(pa.array(some)))
+    wanted = []
+    for length in depths.values():
+        # starts whose string ends within the context
         fit = np.clip(size - (length - common) + 1, 0, starts)
-        done = np.flatnonzero(~open_)
-        whole = np.repeat(done, fit[done])
-        step = np.arange(len(whole)) - np.repeat(np.cumsum(fit[done]) - fit[done], fit[done])
-        yield _found(core, extent, nth, np.ones(len(whole), bool), whole, lead[whole] - step)
-        if not len(some):
+        of = [np.repeat(x, fit[x]) for x in (done, some)]
+        step = [np.arange(len(o)) - np.repeat(np.cumsum(fit[x]) - fit[x], fit[x]) for o, x in zip(of, (done, some), strict=True)]
+        at = np.repeat(off[:-1], fit[some]) + step[1]
+        wanted.append((at, length - common, of, step))
+    # the suffix array of the dictionary's contexts; with core and split it orders the strings themselves
+    ranks = suffix_ranks(buf, [(at, depth) for at, depth, _, _ in wanted]) if len(some) else [None] * len(wanted)
+    for nth, (_, _, of, step), rank in zip(depths, wanted, ranks, strict=True):
+        left = [lead[o] - x for o, x in zip(of, step, strict=True)]
+        yield _found(core, extent, nth, np.ones(len(of[0]), bool), of[0], left[0])
+        if rank is None or not len(rank):
             continue
-        n = fit[some]
-        of = np.repeat(np.arange(len(some)), n)
-        step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        c, left = core[some], lead[some][of] - step
-        rank = ranks[nth][off[:-1][of] + step]
-        order = np.lexsort((rank, left, c[of]))
+        c, left = which[of[1]], left[1]
+        order = np.lexsort((rank, c * 1024 + left + 512))
+        r, c, place = rank[order], c[order], left[order]
         same = np.zeros(len(order), bool)
-        same[1:] = (rank[order[1:]] == rank[order[:-1]]) & (left[order[1:]] == left[order[:-1]]) & (c[of[order[1:]]] == c[of[order[:-1]]])
+        same[1:] = (r[1:] == r[:-1]) & (place[1:] == place[:-1]) & (c[1:] == c[:-1])
         same[:-1] |= same[1:]
-        again = copies[some][of] > 1
+        again = copies[of[1]] > 1
         again[order] |= same
-        yield _found(c, extent[some], nth, again, of, left)
+        yield _found(core, extent, nth, again, of[1], left)
 
 
 def _order(common: int, depths: dict[int, int]):
@@ -249,7 +274,7 @@ def _order(common: int, depths: dict[int, int]):
             held = (table.slice(cut).combine_chunks().to_batches() or [None])[0]
             at = 0
             while at < cut:  # whole cores of about so many rows at once
-                to = min(at + 4096, cut)
+                to = min(at + 3072, cut)
                 to = cut if to == cut else int(np.searchsorted(core[:cut], core[to], "left"))
                 to = to if to > at else int(np.searchsorted(core[:cut], core[at], "right"))
                 yield from ranked(table.slice(at, to - at))
@@ -396,9 +421,7 @@ def repeated(docs: DataFrame, text: str = "text", id: str | None = None, lengths
     cores = staged(keyed.select("k1", "text").mapInArrow(_cores(shape), "k1 long, core long"), "op3-cores", "zstd")
     # written first, so that the join's two sides are plain exchanges and a very common core can be split
     twice = staged(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "op3-twice")
-    hits = staged(cores.join(twice, "core").groupBy("k1").agg(F.collect_set("core").alias("cores")), "op3-hits", "zstd")
-    if hits.count() <= SMALL_ROWS:  # then other texts needn't be sent
-        keyed = keyed.join(F.broadcast(hits.select("k1")), "k1", "left_semi")
+    hits = cores.join(twice, "core").groupBy("k1").agg(F.collect_set("core").alias("cores"))
     # one row of each text by its least id: with the id in the join's key, copies are dealt out evenly
     one = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("who").alias("who")).join(hits, "k1")
     held = keyed.join(one, ["k1", "k2", "who"]).select("k1", "k2", "text", "cores", "copies")
@@ -411,10 +434,6 @@ def repeated(docs: DataFrame, text: str = "text", id: str | None = None, lengths
 
 def _with_spans(docs: DataFrame, text: str, id: str | None, lengths: tuple[int, ...]) -> DataFrame:
     spans = repeated(docs, text, id, lengths)
-    names = [f"spans_{k}" for k in range(len(lengths))]
-    size = spans.agg(F.coalesce(F.sum(F.lit(64) + sum(4 * F.size(c) for c in names)), F.lit(0))).first()[0]
-    if size <= SMALL_BYTES:
-        spans = F.broadcast(spans)
     k1, k2 = _keys(text)
     return docs.withColumns({"k1": k1, "k2": k2}).join(spans, ["k1", "k2"], "left").drop("k1", "k2")
 

@@ -213,7 +213,7 @@ def test_leaks_equal_full_alignment(spark, data):
                 want[d["doc_id"], it["item_id"]] = s
     df = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], SCHEMA).repartition(3)
     bench = spark.createDataFrame([(i["item_id"], i["text"]) for i in items], "item_id long, text string")
-    for most in (decontaminate.ITEM_WORDS, 1):  # sent to the executors, and joined
+    for most in (decontaminate.ITEM_WORDS, 500):  # in one block, and in some
         assert {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(df, bench, most=most).collect()} == want
     assert all((10_000 + k) in {d for d, _ in want} for k in range(12))
 
@@ -239,10 +239,22 @@ def test_leaks_of_an_item_that_fills_the_corpus(spark):
     assert len(want) > 820
     df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], SCHEMA)
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
-    for most in (decontaminate.ITEM_WORDS, 1):
+    for most in (decontaminate.ITEM_WORDS, 10):
         assert {r.doc_id: r.score for r in decontaminate.leaks(df, bench, most=most).collect()} == want
 
 
+def test_seeds_are_rare_and_everywhere(spark, data):
+    items = decontaminate.Items([1, 2, 3], ["a b c d e f g h i j", "x y", "p q r"])
+    counts = np.arange(len(items.seeds))
+    every = {(int(i), int(p)): int(np.searchsorted(items.seeds, g)) for g, i, p in zip(items.gram, items.item, items.place)}
+    items.rare(counts)
+    kept = {(int(i), int(p)) for i, p in zip(items.item, items.place)}
+    for i, p in every:
+        pair = [(i, q) for q in (p, p + 1) if (i, q) in every]
+        assert min(pair, key=every.get) in kept or len(pair) == 1  # four words in a row hold a seed
+    assert (2, 0) in kept and len(kept) < len(every)
+
+
 def test_smith_waterman():
     a = lambda s: np.array([hash(x) & 0xFFFF for x in s.split()], np.uint64)
     assert decontaminate.smith_waterman(a("b c d"), a("a b c d e")) == (6, 2, 3)
