@@ -1,17 +1,19 @@
 """Byte-level BPE encoding and decoding (operator 5).
 
 1. Pre-tokenisation without a regex. A block of texts becomes arrays of code points and of their
-   classes (letter, number, space, other). Whether a token starts at a code point is the output of an
-   automaton whose transition functions forget their state after a few code points: every class change
-   resets it, a run of spaces passes its state on to its last member, and a contraction ('s 't 're 've
-   'm 'll 'd) looks at three. The composition of these functions is associative and becomes constant
-   within that radius, so it is evaluated for all places at once from shifted copies of the class array.
+   classes (letter, number, space, other). What a code point does by itself is seen from shifted copies of
+   the class array: a class change starts a token, a plain space joins the token after it, the last of a run of spaces
+   is parted from the others. What remains depends on the state of an automaton: whether a contraction ('s 't 're 've
+   'm 'll 'd) has two letters to go, one, or has just ended, when a letter starts a token. Each code point is a
+   transition function of these four states, packed in a byte; composing functions is associative, so a block's
+   states come from a scan: within rows of a matrix, over the rows' totals, and back.
 2. Pair merging. The byte slices are looked up in a bounded cache; a miss merges pairs by rank,
    leftmost lowest first, with a heap for long slices.
 3. Each token's byte offset is retained; decoding joins the vocabulary's bytes of the ids.
 
 Null text counts as empty and gives no tokens. Special tokens are never made. Texts of any length are
-handled whole; repeated rows each get their own result, and other columns pass through.
+handled whole; repeated rows each get their own result, empty tables give empty results, and other columns pass through; one
+with the name of a result comes out as in_<name>.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, workers
+from .common import apart, as_bytes, blocks, workers
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Slices that a worker remembers; the cache starts anew beyond.
@@ -61,6 +63,46 @@ def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cp, at
 
 
+#: States: in a run, two letters of a contraction to go, one to go, just ended. A transition function has two bits for each.
+RUN, TWO, ONE, DONE = range(4)
+
+
+def _packed(to: list[int]) -> int:
+    return sum(t << (2 * s) for s, t in enumerate(to))
+
+
+#: What most code points do; what an apostrophe before a short or a long ending does, where it starts a token; the start of a text.
+PLAIN, SHORT, LONG, FIRST = _packed([RUN, ONE, DONE, RUN]), _packed([ONE, ONE, DONE, ONE]), _packed([TWO, ONE, DONE, TWO]), _packed([RUN] * 4)
+
+
+@lru_cache(1)
+def composition() -> np.ndarray:
+    """after[f << 8 | g]: the function that applies f, then g."""
+    f, g = np.meshgrid(np.arange(256), np.arange(256), indexing="ij")
+    out = np.zeros((256, 256), np.int64)
+    for s in range(4):
+        out |= (g >> (2 * ((f >> (2 * s)) & 3)) & 3) << (2 * s)
+    return out.astype(np.uint8).ravel()
+
+
+def scanned(f: np.ndarray, width: int = 64) -> np.ndarray:
+    """For each place the composition of all functions up to it."""
+    n = len(f)
+    if n <= 1:
+        return f.copy()
+    after = composition()
+    rows = -(-n // width)
+    m = np.full(rows * width, _packed([0, 1, 2, 3]), np.uint8)
+    m[:n] = f
+    m = np.ascontiguousarray(m.reshape(rows, width).T)
+    for j in range(1, width):
+        m[j] = after[m[j - 1].astype(np.uint16) << 8 | m[j]]
+    if rows > 1:
+        before = scanned(m[-1, :-1], width).astype(np.uint16) << 8
+        m[:, 1:] = after[before[None, :] | m[:, 1:]]
+    return np.ascontiguousarray(m.T).ravel()[:n]
+
+
 def token_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each code point whether a token starts there; first marks each text's first code point."""
     n = len(cp)
@@ -68,32 +110,29 @@ def token_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.zeros(0, bool)
     kind = classes()[cp]
     space = kind == SPACE
-    after = np.zeros(n, bool)  # the text goes on after this code point
-    after[:-1] = ~first[1:]
-    before = np.zeros(n, np.uint8)
-    before[1:] = kind[:-1]
-    follows = np.zeros(n, bool)  # a non-space follows in the text
-    follows[:-1] = ~space[1:]
-    follows &= after
-    glued = np.zeros(n, bool)  # a plain space before belongs to this token
+    inner = ~first  # the code point before is of the same text
+    goes_on = np.zeros(n, bool)
+    goes_on[:-1] = inner[1:]
+    last_space = np.zeros(n, bool)  # a space, and a non-space follows in the text
+    last_space[:-1] = space[:-1] & ~space[1:] & inner[1:]
+    change, glued = np.ones(n, bool), np.zeros(n, bool)
+    change[1:] = kind[1:] != kind[:-1]
     glued[1:] = (cp[:-1] == 0x20) & ~space[1:]
-    glued &= ~first
-    start = np.where(space, (before != SPACE) | follows, (kind != before) & ~glued) | first
-    # contractions: an apostrophe that starts a token, and what follows it
-    quote = np.flatnonzero((cp == 0x27) & start & after)
-    if len(quote):
-        one = cp[quote + 1]
-        two = np.where(after[quote + 1], cp[np.minimum(quote + 2, n - 1)], 0)
-        short = np.isin(one, [ord(c) for c in "stmd"])
-        long = ((two == ord("e")) & ((one == ord("r")) | (one == ord("v")))) | ((one == ord("l")) & (two == ord("l")))
-        for which, size in ((short, 2), (long, 3)):
-            q = quote[which]
-            for j in range(1, size):
-                start[q + j] = False
-            q = q[q + size < n]
-            start[q + size] |= kind[q + size] == LETTER
-    start |= first
-    return start
+    own = first | np.where(space, change | last_space, change & ~glued)  # by class alone
+    # an apostrophe that starts a token may open a contraction
+    f = np.full(n, PLAIN, np.uint8)
+    quote = np.flatnonzero((cp == 0x27) & own & goes_on)
+    one = cp[np.minimum(quote + 1, n - 1)]
+    two = np.where(goes_on[np.minimum(quote + 1, n - 1)], cp[np.minimum(quote + 2, n - 1)], 0)
+    e, l, r, v = (ord(c) for c in "elrv")
+    f[quote[((two == e) & ((one == r) | (one == v))) | ((one == l) & (two == l))]] = LONG
+    f[quote[np.isin(one, [ord(c) for c in "stmd"])]] = SHORT
+    f[first] = composition()[FIRST << 8 | f[first].astype(np.uint16)]
+    state = scanned(f) & 3  # from the state RUN
+    before = np.full(n, RUN, np.uint8)
+    before[1:] = state[:-1]
+    before[first] = RUN
+    return np.where((before == TWO) | (before == ONE), False, own | ((before == DONE) & (kind == LETTER)))
 
 
 class Merger(dict):
@@ -233,7 +272,8 @@ def encoded(docs: DataFrame, path: str, keep: list[str], text: str = "text", wha
     workers(docs.sparkSession)
     plain = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
     kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    return plain.mapInArrow(_run(path, what), ", ".join([*kinds, KINDS[what]])).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    names = apart(keep, [x.split()[0] for x in KINDS[what].split(", ")])
+    return plain.mapInArrow(_run(path, what), ", ".join([*kinds, KINDS[what]])).withColumnsRenamed({f"k{i}": c for i, c in enumerate(names)})
 
 
 def _decode_run(path: str):

@@ -5,14 +5,15 @@ words, predicts it. Decoding sums, over the bits, the loss of the classifier's m
 codeword, weighted by how reliable the bit was in training, and takes the nearest codeword. When the
 runner-up is close the row is flagged as ambiguous.
 
-Learning looks at text and language only, of about SAMPLE training rows of each language (those whose
-hash of the id falls in a share SAMPLE / rows of the language): a documented bound, after which more rows
+Learning looks at text and language only, of about SAMPLE training rows of each language and TOTAL in all (those whose
+hash of the id falls in a share SAMPLE / rows of the language): documented bounds, after which more rows
 hardly move the weights of so few features. Predictions read every whole text. n-grams are looked up once per distinct word of a
 block and summed over the words of a text. No exchange of texts is needed.
 
 Null text, and text without a letter: `und` with score 0. Rows with null language or id are predicted but not
 learnt from; without any row to learn from all texts are `und`. With one language, all others are it.
-Ties go to the language that sorts first. Repeated rows each get their own result; other columns pass.
+Ties go to the language that sorts first. Repeated rows each get their own result; other columns pass, one with the name of a
+result as in_<name>.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, lowered, mix, prefix_hash, slice_hash, words, workers
+from .common import apart, as_bytes, blocks, lowered, mix, prefix_hash, slice_hash, words, workers
 
-SAMPLE = 300
+#: Rows that are learnt from: of each language, and in all (each row is FEATURES numbers on the driver, and the solver's matrix
+#: is the square of the rows). With more than TOTAL / SAMPLE languages each gets its share of TOTAL.
+SAMPLE, TOTAL = 300, 3000
 FEATURES = 1 << 13
 SCALE, RIDGE, CLOSE = 60.0, 1.0, 0.2
 NONE = "und"
@@ -132,13 +135,14 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     # hashes are even, so a share of them that depends on the language's count keeps about `sample` rows: nothing is ranked
     size = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     lot = F.col("h") / F.lit(2.0**64) + 0.5
-    got = rows.join(F.broadcast(size), "lang").where(lot * F.col("n") < sample).select("lang", "text").mapInArrow(_vectors, "lang string, x binary").collect()
+    sample = min(sample, max(TOTAL // max(size.count(), 1), 1))
+    got = rows.join(size, "lang").where(lot * F.col("n") < sample).select("lang", "text").mapInArrow(_vectors, "lang string, x binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, bytes(r.x)))
     langs = sorted({r.lang for r in got})
     code = codewords(len(langs))
-    x = np.stack([np.frombuffer(r.x, np.float32) for r in got]).astype(np.float64) * SCALE
+    x = np.stack([np.frombuffer(r.x, np.float32) for r in got]) * np.float32(SCALE)
     which = np.array([langs.index(r.lang) for r in got])
     if not code.shape[1]:
         return Model(langs, code, np.zeros((FEATURES, 0)), np.zeros(0), np.zeros(0))
@@ -179,7 +183,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
     plain = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
     kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
     out = plain.mapInArrow(_predicted(model), ", ".join([*kinds, "lang_pred string, score double, ambiguous boolean"]))
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(apart(keep, ["lang_pred", "score", "ambiguous"]))})
 
 
 def op10_language_codes(spark, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ EM runs as one higher-order expression over that bounded array, and the table of
 again at most 6561 rows, is joined back by broadcast.
 
 Null text counts as no words: such documents, and all under 50 words or with more than half of
-their words in repeated 3-word windows, fail the base rules. Other columns pass through;
-null ids stay null, and repeated rows each get their own result.
+their words in repeated 3-word windows, fail the base rules. Other columns pass through, one with the
+name of a result as in_<name>; null ids stay null, and repeated rows each get their own result.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, text_of
+from .common import WORD, apart, staged, text_of
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -120,7 +120,8 @@ def _judged(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 def judged(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per row: the columns named in `keep` (default: all), the base counts, base_failed, posterior and kept."""
     keep = docs.columns if keep is None else keep
-    return _judged(docs, text, keep).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *BASE, "base_failed", "posterior", "kept")
+    results = [*BASE, "base_failed", "posterior", "kept"]
+    return _judged(docs, text, keep).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(apart(keep, results))], *results)
 
 
 def accepted(docs: DataFrame, text: str = "text") -> DataFrame:

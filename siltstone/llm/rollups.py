@@ -7,7 +7,8 @@ committed by Spark's writer: a batch that is sent again finds itself committed a
 that failed half-way is written anew. Totals are sums over the committed batches and additive over
 every grouping; compaction folds batches into one base without changing any total.
 
-Within a batch a change that occurs twice (same change_id) counts once. Null source, language and
+Within a batch a change that occurs twice (same change_id) counts once: if its rows differ, the least by kind, source, language,
+tokenizer and counts. Texts of any length are counted whole. Other columns are ignored. Null source, language and
 version are groups of their own; null counts are 0; a null change_id can't be told from another and
 counts each time. An empty batch commits as empty.
 """
@@ -26,7 +27,8 @@ KINDS = "source string, lang string, tokenizer string, n_docs long, n_tokens lon
 
 
 class TokenRollup:
-    """Totals kept under a folder that all executors share."""
+    """Totals kept under a folder that all executors share. The driver holds the names of batches since the last compaction only;
+    those folded into a base stay in a table. One writer at a time, and no reader while it compacts."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -51,6 +53,9 @@ class TokenRollup:
             return []
         return sorted(x.getPath().getName() for x in fs.listStatus(at) if self._exists(f"{self.path}/bases/{x.getPath().getName()}/_SUCCESS"))
 
+    def _folded(self) -> DataFrame:
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/bases/{self._bases()[-1]}/folded")
+
     def committed(self, batch: str) -> bool:
         if self._exists(f"{self.path}/batches/{batch}/_SUCCESS"):
             return True
@@ -71,7 +76,8 @@ class TokenRollup:
         parts = []
         if bases:
             parts.append(self.spark.read.schema(KINDS).parquet(f"{self.path}/bases/{bases[-1]}/totals"))
-            folded = {r.batch for r in self.spark.read.parquet(f"{self.path}/bases/{bases[-1]}/folded").collect()}
+            names = self.spark.createDataFrame([(b,) for b in self._batches()], "batch string")
+            folded = {r.batch for r in names.join(self._folded(), "batch", "left_semi").collect()}  # of those whose folders are still there
         live = [f"{self.path}/batches/{b}" for b in self._batches() if b not in folded]
         if live:
             parts.append(self.spark.read.schema(KINDS).parquet(*live))
@@ -83,17 +89,22 @@ class TokenRollup:
     def compact(self) -> None:
         """Folds all committed batches into a new base; readers see the old base until the new one is whole."""
         names, bases = self._batches(), self._bases()
-        old = {r.batch for r in self.spark.read.parquet(f"{self.path}/bases/{bases[-1]}/folded").collect()} if bases else set()
+        now = self.spark.createDataFrame([(b,) for b in names], "batch string")
         at = f"{self.path}/bases/{len(bases):08d}-{uuid.uuid4().hex}"
         self.totals().write.parquet(f"{at}/totals")
-        self.spark.createDataFrame([(b,) for b in sorted({*names, *old})], "batch string").write.parquet(f"{at}/folded")
+        (now.union(self._folded()).distinct() if bases else now).write.parquet(f"{at}/folded")
         fs, done = self._fs(f"{at}/_SUCCESS")
         fs.create(done).close()
+        for b in names:  # the base holds them; their names stay in `folded`
+            fs, old = self._fs(f"{self.path}/batches/{b}")
+            fs.delete(old, True)
 
 
 def deltas(changes: DataFrame) -> DataFrame:
     """Signed sums of a batch per (source, lang, tokenizer)."""
-    once = changes.where("change_id is not null").dropDuplicates(["change_id"]).unionByName(changes.where("change_id is null"))
+    told = changes.select("change_id", F.struct("kind", *KEYS, "tokens", "old_tokens").alias("c"))
+    least = told.where("change_id is not null").groupBy("change_id").agg(F.min("c").alias("c")).select("c")
+    once = least.unionByName(told.where("change_id is null").select("c")).select("c.*")
     new, old = F.coalesce("tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
     docs = F.expr("case kind when 'insert' then 1 when 'delete' then -1 else 0 end")
     tokens = F.when(F.col("kind") == "insert", new).when(F.col("kind") == "delete", -old).when(F.col("kind") == "revise", new - old).otherwise(F.lit(0))

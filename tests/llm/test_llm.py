@@ -701,3 +701,33 @@ def test_pipeline_empty(spark, data):
     for _, stage in p.STAGES:
         out = stage(spark, docs, data)
         assert out.count() == 0
+
+
+# --- names and scans
+
+
+def test_clashing_names_are_told_apart(spark, data):
+    docs = odd(spark).withColumns({"n_tokens": F.lit(7), "score": F.lit("s"), "n_removed": F.lit(1)})
+    keep = docs.columns
+    model = langid.fit(spark.read.parquet(f"{data}/documents.parquet"))
+    for df, name in ((quality.judged(docs), "n_words"), (repeats.digests(docs, keep), "n_removed"), (bytebpe.encoded(docs, bytebpe.multi_path(), keep, what="digests"), "n_tokens"), (langid.predict(docs, model, keep), "score")):
+        assert len(set(df.columns)) == len(df.columns) and {name, f"in_{name}"} <= set(df.columns) and df.count() == len(ODD)
+
+
+def test_scan_equals_step_by_step():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 63, 64, 65, 4097, 20_000):
+        f = rng.integers(0, 256, n).astype(np.uint8)
+        got, state = bytebpe.scanned(f), list(range(4))
+        for i in range(n):
+            state = [int(f[i]) >> (2 * s) & 3 for s in state]
+            assert int(got[i]) == bytebpe._packed(state)
+
+
+def test_many_languages_share_the_sample(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{chr(97 + i % 20)}{rng.choice('xyz')}{chr(97 + i % 20)}" for _ in range(20)), f"l{i % 20:02d}") for i in range(2000)]
+    model = langid.fit(spark.createDataFrame(rows, f"{SCHEMA}, lang string"), sample=300)
+    assert len(model.langs) == 20
+    df = spark.createDataFrame(rows[:200], f"{SCHEMA}, lang string")
+    assert sum(r.lang == r.lang_pred for r in langid.predict(df, model, ["doc_id", "lang"]).collect()) >= 195
