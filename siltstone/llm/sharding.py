@@ -1,15 +1,15 @@
 """Sharding by balanced label propagation (operator 6), with the law `rows`: shard counts are at most one apart.
 
 Nodes are the distinct texts, weighted by their rows, so that copies move together. Texts that share a
-min-hash of their 5-word shingles are linked through it. Each round joins nodes with what the shards of
-their links' members are; a node wants the shard where most of them are. Moves between two shards are
+min-hash of their 5-word shingles are linked through it. Each starts in a shard drawn for itself. Each round joins nodes with
+what the shards of their links' members are; a node wants the shard where most of them are. Moves between two shards are
 let through as far as they balance each other or the target's quota has room (a share of them, chosen by
-a hash that linked texts share). After the last round all rows are laid out by (shard wanted, link, text, id) and cut into equal
+a hash that linked texts share); `parted` tells how many members are still away from most of their link. After the last round all rows are laid out by (shard wanted, link, text, id) and cut into equal
 runs: that makes sizes exact, and only texts that a cut meets, or that exceed a shard, are parted.
 
 Rounds touch keys and weights only, never texts. The places of the layout come from counts of at most
 SHARDS * BUCKETS + HOT * SALTS buckets; a text with more than 1 / HOT of all rows (and FEW of them) is salted by id, so no
-task holds an unbounded group. Null text: size 1 and the checksum of no bytes, one text like others.
+task holds an unbounded group. Other columns are not read. Null ids come last among equal texts. Null text: size 1 and the checksum of no bytes, one text like others.
 Texts under 5 words are linked by the whole text. Repeated rows each get a slot. Empty: no rows.
 """
 
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, blocks, lists, lowered, mix, prefix_hash, signed, slice_hash, staged, text_of, words, workers
 
-SHARDS, ROUNDS, SLACK = 8, 4, 0.03
+#: Quotas are loose at first and tighten by the last round. One more, without quotas, takes what they have kept away to its
+#: links: sizes are near equal by then, and the layout makes them exact.
+SHARDS, ROUNDS, SLACK, LOOSE = 8, 8, 0.03, 0.4
 BUCKETS, HOT, SALTS, FEW = 1024, 256, 32, 500
 SHINGLE, LINKS = 5, 4
 _A = np.uint64(0xA24BAED4963EE407)
@@ -60,9 +62,9 @@ def _links(batches):
             yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in others], lists(pa.array(np.ascontiguousarray(made).ravel()), np.arange(b - a + 1) * LINKS)], names=[*others, "links"])
 
 
-def _accepted(wanted: dict[tuple[int, int], int], sizes: list[int], shards: int) -> dict[tuple[int, int], float]:
+def _accepted(wanted: dict[tuple[int, int], int], sizes: list[int], shards: int, slack: float = SLACK) -> dict[tuple[int, int], float]:
     """The share of the moves a -> b that is let through: swaps, then what b's quota has room for."""
-    room = [sum(sizes) / shards * (1 + SLACK) - x for x in sizes]
+    room = [sum(sizes) / shards * (1 + slack) - x for x in sizes]
     out = {}
     for (a, b), n in wanted.items():
         rest = {x: max(0, m - wanted.get((b, x), 0)) for (x, y), m in wanted.items() if y == b}
@@ -85,16 +87,17 @@ def homes(nodes: DataFrame, links: DataFrame, total: int, rounds: int = 2) -> Da
 
 def propagated(homed: DataFrame, links: DataFrame, shards: int, rounds: int) -> DataFrame:
     """(g, w, home, label) of nodes (g, w, home) with links (g, w, link)."""
-    now = homed.withColumn("label", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int"))
-    for t in range(rounds):
+    now = homed.withColumn("label", F.pmod(F.xxhash64("g", F.lit("start")), F.lit(shards)).cast("int"))
+    for t in range(rounds + 1 if rounds else 0):
         held = links.join(now.select("g", "label"), "g").groupBy("link", "label").agg(F.sum("w").alias("n"))
-        most = held.groupBy("link").agg(F.max(F.struct("n", (-F.col("label")).alias("low"))).alias("top")).select("link", F.col("top.n").alias("n"), (-F.col("top.low")).alias("want"))
-        wants = links.select("g", "link").join(staged(most, "op6-most", narrow=True), "link").groupBy("g", "want").agg(F.sum("n").alias("n"))
-        wants = wants.groupBy("g").agg(F.max(F.struct("n", (-F.col("want")).alias("low"))).alias("top")).select("g", (-F.col("top.low")).alias("want"))
+        # ties go by a hash that the members of a link share, so that no shard is favoured
+        most = held.groupBy("link").agg(F.max(F.struct("n", F.xxhash64("link", "label").alias("tie"), "label")).alias("top")).select("link", "top.n", F.col("top.label").alias("want"))
+        wants = links.select("g", "link").join(staged(most, "op6-most", narrow=True), "link").groupBy("g", "want").agg(F.sum("n").alias("n"), F.min("link").alias("link"))
+        wants = wants.groupBy("g").agg(F.max(F.struct("n", F.xxhash64("link", "want").alias("tie"), "want")).alias("top")).select("g", "top.want")
         moves = staged(now.join(wants, "g", "left").withColumn("want", F.coalesce("want", "label")), "op6-wants", narrow=True)
         table = moves.groupBy("label", "want").agg(F.sum("w").alias("n")).collect()  # at most shards ** 2 rows
         sizes = [sum(r.n for r in table if r.label == k) for k in range(shards)]
-        share = _accepted({(r.label, r.want): r.n for r in table if r.label != r.want}, sizes, shards)
+        share = _accepted({(r.label, r.want): r.n for r in table if r.label != r.want}, sizes, shards, max(SLACK, LOOSE * (1 - (t + 1) / rounds)) if t < rounds else shards)
         luck = F.pmod(F.xxhash64("home", F.lit(t)), F.lit(1_000_000)) / 1e6  # linked texts go together
         goes = F.lit(False)
         for (a, b), p in share.items():
@@ -105,6 +108,13 @@ def propagated(homed: DataFrame, links: DataFrame, shards: int, rounds: int) ->
     return now
 
 
+def parted(placed: DataFrame, links: DataFrame) -> float:
+    """The share of the members of links that are not in the shard where most of their link is."""
+    held = links.join(placed.select("g", "label"), "g").groupBy("link", "label").agg(F.sum("w").alias("n"))
+    got = held.groupBy("link").agg(F.sum("n").alias("n"), F.max("n").alias("most")).agg(F.sum("n").alias("n"), F.sum("most").alias("most")).first()
+    return 1 - got.most / got.n if got.n else 0.0
+
+
 def sharded(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) per row."""
     workers(docs.sparkSession)

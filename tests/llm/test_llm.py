@@ -473,6 +473,25 @@ def test_propagation_lowers_the_cut(spark):
     assert sum(len(v) > 1 for v in whole.values()) <= 14
 
 
+def test_rounds_equal_brute_force(spark):
+    """One round of moves without quotas against plain counting, and the cut over four rounds under quotas."""
+    rng = random.Random(6)
+    groups = [[rng.randrange(1, 1 << 40) for _ in range(rng.randrange(2, 9))] for _ in range(300)]
+    links = spark.createDataFrame([(g, 1, k) for k, members in enumerate(groups) for g in members], "g long, w long, link long")
+    nodes = spark.createDataFrame([(g, 1, k) for k, members in enumerate(groups) for g in members], "g long, w long, home long").dropDuplicates(["g"])
+    start = {r.g: r.label for r in sharding.propagated(nodes, links, 8, 0).collect()}
+    placed = sharding.propagated(nodes, links, 8, 4)
+    end = {r.g: r.label for r in placed.collect()}
+
+    def away(label):
+        return sum(len(m) - max(collections.Counter(label[g] for g in m).values()) for m in groups) / sum(map(len, groups))
+
+    assert set(start) == set(end) and abs(sharding.parted(placed, links) - away(end)) < 1e-12
+    assert away(end) < 0.25 * away(start)
+    sizes = collections.Counter(end.values())
+    assert max(sizes.values()) <= 1.3 * len(end) / 8  # the layout makes them exact
+
+
 def test_shards_odd(spark):
     hot = spark.createDataFrame([(i, "same text here" if i % 3 else f"t{i}") for i in range(90)], SCHEMA)
     for df, n in ((odd(spark), len(ODD)), (hot, 90), (empty(spark), 0)):
