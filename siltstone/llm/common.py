@@ -8,6 +8,7 @@ offsets, so that word boundaries and hashes of a whole batch take a few numpy ca
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import shutil
@@ -79,7 +80,24 @@ def staged(df: DataFrame, name: str, codec: str = "snappy", narrow: bool = False
     place = spark._jvm.org.apache.hadoop.fs.Path(at)
     df.write.option("compression", codec).parquet(at)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # what no one has swept goes with the session
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.staged_at = at
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what `staged` wrote for these; nothing that is still to be computed may read them."""
+    for df in frames:
+        _STAGED.remove(df.staged_at)
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps whose results are staged: Spark deletes them when the driver's heap is collected, which
+    may otherwise be late."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def text_of(column: str = "text") -> F.Column:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, BLOCK_BYTES, _powers, apart, as_bytes, blocks, lists, mix, prefix_hash, signed, slice_hash, staged, text_of, workers
+from .common import _INVERSE, BLOCK_BYTES, _powers, apart, as_bytes, blocks, discard, lists, mix, prefix_hash, release, signed, slice_hash, staged, text_of, workers
 
 LENGTH, PASSAGE, ROLL, SPAN = 400, 200, 16, 128
 #: Extents of a core that are ordered in one place; widths of the bands that a larger one is split into.
@@ -207,27 +207,23 @@ def suffix_ranks(buf: np.ndarray, wanted: list[tuple[np.ndarray, int]]) -> list[
     return [_joined([rank[top][at + by] for by in [*range(0, depth - top, top), depth - top]]) if len(at) else at for at, depth in wanted]
 
 
-FOUND = "core long, extent long, nth int, spans array<int>"
+def _found_schema(n: int) -> str:
+    return ", ".join(["core long, extent long", *[f"spans_{k} array<int>" for k in range(n)]])
 
 
-def _found(core, extent, nth, again, of, left):
-    """Rows of extents with the runs of their repeated starts of the nth length, as pairs (first, last) counted from the trigger."""
+def _runs_of(again: np.ndarray, of: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(extent, first and last start counted from the trigger) of each run of repeated starts."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], (again * (of + 1)).astype(np.int64), [0]))) != 0)
     lo = edge[edge < len(again)]
     lo = lo[again[lo]]
     hi = edge[edge > 0] - 1
     hi = hi[again[hi]]
-    pairs = np.stack([-left[lo], -left[hi]], 1).astype(np.int32).ravel()
-    counts = np.bincount(of[lo], minlength=len(core)) * 2
-    keep = counts > 0
-    return pa.RecordBatch.from_arrays(
-        [pa.array(core[keep]), pa.array(extent[keep]), pa.array(np.full(int(keep.sum()), nth, np.int32)), lists(pa.array(pairs), np.concatenate(([0], np.cumsum(counts[keep]))))],
-        names=_names(FOUND),
-    )
+    return of[lo], np.stack([-left[lo], -left[hi]], 1).astype(np.int32)
 
 
-def _ranked(core, extent, copies, lead, starts, context, common: int, depths: dict[int, int]):
-    """For whole cores: the repeated starts of each extent. common: bytes of the core; depths: the lengths by their number."""
+def _ranked(core, extent, copies, lead, starts, context, common: int, depths: dict[int, int], n: int) -> pa.RecordBatch:
+    """For whole cores: the repeated starts of each extent. common: bytes of the core; depths: of the n lengths those asked for, by
+    their number."""
     _, off = as_bytes(context)
     size = np.diff(off)
     # a core without an extent that occurs once is settled: all starts of its extents are repeated
@@ -245,28 +241,32 @@ def _ranked(core, extent, copies, lead, starts, context, common: int, depths: di
         wanted.append((at, length - common, of, step))
     # the suffix array of the dictionary's contexts; with core and split it orders the strings themselves
     ranks = suffix_ranks(buf, [(at, depth) for at, depth, _, _ in wanted]) if len(some) else [None] * len(wanted)
+    spans, any_ = {}, np.zeros(len(core), bool)
     for nth, (_, _, of, step), rank in zip(depths, wanted, ranks, strict=True):
         left = [lead[o] - x for o, x in zip(of, step, strict=True)]
-        yield _found(core, extent, nth, np.ones(len(of[0]), bool), of[0], left[0])
-        if rank is None or not len(rank):
-            continue
-        c, left = which[of[1]], left[1]
-        order = np.lexsort((rank, c * 1024 + left + 512))
-        r, c, place = rank[order], c[order], left[order]
-        same = np.zeros(len(order), bool)
-        same[1:] = (r[1:] == r[:-1]) & (place[1:] == place[:-1]) & (c[1:] == c[:-1])
-        same[:-1] |= same[1:]
-        again = copies[of[1]] > 1
-        again[order] |= same
-        yield _found(core, extent, nth, again, of[1], left)
-
-
-def _order(common: int, depths: dict[int, int]):
+        got = [_runs_of(np.ones(len(of[0]), bool), of[0], left[0])]
+        if rank is not None and len(rank):
+            order = np.lexsort((rank, which[of[1]] * 1024 + left[1] + 512))
+            same, r, c, place = np.zeros(len(order), bool), rank[order], which[of[1]][order], left[1][order]
+            same[1:] = (r[1:] == r[:-1]) & (place[1:] == place[:-1]) & (c[1:] == c[:-1])
+            same[:-1] |= same[1:]
+            again = copies[of[1]] > 1
+            again[order] |= same
+            got.append(_runs_of(again, of[1], left[1]))
+        extents, pairs = (np.concatenate(x) for x in zip(*got, strict=True))
+        spans[nth] = np.bincount(extents, minlength=len(core)) * 2, pairs[np.argsort(extents, kind="stable")].ravel()
+        any_ |= spans[nth][0] > 0
+    none = np.zeros(len(core), np.int64), np.zeros(0, np.int32)
+    columns = [lists(pa.array(v), np.concatenate(([0], np.cumsum(k[any_])))) for k, v in (spans.get(k, none) for k in range(n))]
+    return pa.RecordBatch.from_arrays([pa.array(core[any_]), pa.array(extent[any_]), *columns], names=_names(_found_schema(n)))
+
+
+def _order(common: int, depths: dict[int, int], n: int):
     def run(batches):
         """Rows come sorted by core; the last core of a batch waits for the next one. A core has FEW extents at most."""
         held = None
         names = ("core", "extent", "copies", "lead", "starts")
-        ranked = lambda t: _ranked(*(t[c].to_numpy() for c in names), t["context"], common, depths)
+        ranked = lambda t: _ranked(*(t[c].to_numpy() for c in names), t["context"], common, depths, n)
         for batch in batches:
             table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
             core = table["core"].to_numpy()
@@ -277,10 +277,10 @@ def _order(common: int, depths: dict[int, int]):
                 to = min(at + 3072, cut)
                 to = cut if to == cut else int(np.searchsorted(core[:cut], core[to], "left"))
                 to = to if to > at else int(np.searchsorted(core[:cut], core[at], "right"))
-                yield from ranked(table.slice(at, to - at))
+                yield ranked(table.slice(at, to - at))
                 at = to
         if held is not None and held.num_rows:
-            yield from ranked(pa.Table.from_batches([held]))
+            yield ranked(pa.Table.from_batches([held]))
 
     return run
 
@@ -381,18 +381,20 @@ def _counted(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def _ordered(runs: DataFrame, shape: Shape) -> DataFrame:
-    """(core, extent, nth, spans) of the extents with repeated starts, nth telling the length."""
-    depths = dict(enumerate(shape.lengths))
+    """(core, extent, spans_0, ...) of the extents with repeated starts; an extent of a split core has several rows."""
+    depths, n = dict(enumerate(shape.lengths)), len(shape.lengths)
     level, links, out = staged(_counted(runs).withColumn("nth", F.lit(None).cast("int")), "op3-extents", "zstd"), [], None
+    release(runs.sparkSession)
+    spans = [f"spans_{k}" for k in range(n)]
 
     def settle(rows: DataFrame) -> DataFrame:
         got = None
-        for some in [{k: n} for k, n in depths.items()] if links else [depths]:
+        for some in [{k: x} for k, x in depths.items()] if links else [depths]:
             part = rows.where(F.col("nth").isin(*some)) if links else rows
-            part = part.select(*_names(EXTENT)).repartition("core").sortWithinPartitions("core").mapInArrow(_order(shape.core, some), FOUND)
+            part = part.select(*_names(EXTENT)).repartition("core").sortWithinPartitions("core").mapInArrow(_order(shape.core, some, n), _found_schema(n))
             got = part if got is None else got.unionByName(part)
         for link in reversed(links):
-            got = got.join(link, ["core", "extent", "nth"]).select(F.col("from_core").alias("core"), F.col("from_extent").alias("extent"), "nth", "spans")
+            got = got.join(link, ["core", "extent"]).select(F.col("from_core").alias("core"), F.col("from_extent").alias("extent"), *spans)
         return got if out is None else out.unionByName(got)
 
     for width in WIDTHS:
@@ -404,7 +406,7 @@ def _ordered(runs: DataFrame, shape: Shape) -> DataFrame:
         out = settle(level.join(side, "core", "left_anti"))
         bands = level.join(side, "core", "left_semi").mapInArrow(_banded(shape, shape.core, width), BANDED)
         bands = staged(bands, "op3-bands", "zstd")
-        links.append(bands.select("core", "extent", "nth", "from_core", "from_extent"))
+        links.append(bands.select("core", "extent", "from_core", "from_extent"))
         level = staged(_counted(bands, "nth"), "op3-extents", "zstd")
     return settle(level)
 
@@ -426,10 +428,12 @@ def repeated(docs: DataFrame, text: str = "text", id: str | None = None, lengths
     one = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("who").alias("who")).join(hits, "k1")
     held = keyed.join(one, ["k1", "k2", "who"]).select("k1", "k2", "text", "cores", "copies")
     runs = staged(held.mapInArrow(_runs(shape), RUNS), "op3-phrases", "zstd")
+    discard(cores, twice)
+    release(spark)
     found = runs.select("k1", "k2", "at", "core", "extent").join(_ordered(runs, shape), ["core", "extent"])
-    placed = found.select("k1", "k2", "nth", F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
-    each = [F.flatten(F.collect_list(F.when(F.col("nth") == k, F.col("spans")))).alias(f"spans_{k}") for k in range(len(shape.lengths))]
-    return staged(placed.groupBy("k1", "k2").agg(*each), "op3-spans", narrow=True)
+    names = [f"spans_{k}" for k in range(len(shape.lengths))]
+    placed = found.select("k1", "k2", *[F.transform(c, lambda x: x + F.col("at")).alias(c) for c in names])
+    return staged(placed.groupBy("k1", "k2").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names]), "op3-spans", narrow=True)
 
 
 def _with_spans(docs: DataFrame, text: str, id: str | None, lengths: tuple[int, ...]) -> DataFrame:

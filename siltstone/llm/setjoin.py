@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, as_bytes, blocks, lists, lowered, mix, prefix_hash, signed, slice_hash, staged, words, workers
+from .common import WORD, as_bytes, blocks, lists, lowered, mix, prefix_hash, release, signed, slice_hash, staged, words, workers
 from .graph import components
 
 CHUNK = 512
@@ -233,6 +233,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     parts = classes.select("rep", "h1", F.explode("sigs").alias("sig"))
     shared = parts.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("sig", "low")
     tied = staged(parts.join(shared, "sig").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"), "h1").distinct(), "op7-ties")
+    release(spark)
     near = components(tied.select("u", "v"), "op7-groups")
     # members of each group with the chunk that each is in
     width = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
