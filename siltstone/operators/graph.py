@@ -96,21 +96,28 @@ def usable(edges: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
 def paths(edges: DataFrame, starts: DataFrame, hops: int = 2, limit: int | None = 50) -> DataFrame:
     """(start, hops, node, edge_ids, directions): undirected paths of 1 to `hops` edges (1 to 5) from each start; an edge is used
     once per path, nodes may come again. Each step is a join of the frontier with the two-way edge table; with a limit,
-    each start keeps its first paths by (hops, edge_ids), and the frontier of a step is pruned to what can still be kept."""
+    each start keeps its first paths by (hops, edge_ids). Shorter paths come first, so a start that has its paths goes no further, and
+    one that goes on has fewer than `limit`: no frontier is larger. Without a limit all paths are made, however many."""
     hops = max(1, min(5, hops))
     e = edges.select(F.col("edge_id"), F.col("subject").alias("a"), F.col("object").alias("b"))
     both = e.withColumn("direction", F.lit("forward")).unionByName(e.select("edge_id", F.col("b").alias("a"), F.col("a").alias("b")).withColumn("direction", F.lit("reverse")))
-    frontier = starts.select(F.col("name").alias("start")).distinct().withColumn("node", F.col("start")).withColumn("edge_ids", F.array().cast(f"array<{edges.schema['edge_id'].dataType.simpleString()}>")).withColumn("directions", F.array().cast("array<string>"))
-    out = None
+    kind = edges.schema["edge_id"].dataType.simpleString()
+    none = [F.array().cast(f"array<{kind}>").alias("edge_ids"), F.array().cast("array<string>").alias("directions")]
+    frontier = starts.select(F.col("name").alias("start")).distinct().select("start", F.col("start").alias("node"), *none, F.lit(limit).cast("long").alias("room"))
+    per, out = Window.partitionBy("start"), None
     for n in range(1, hops + 1):
-        frontier = frontier.join(both, (frontier.node == both.a) & ~F.array_contains(frontier.edge_ids, both.edge_id)).select(
-            "start", F.col("b").alias("node"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.concat("directions", F.array("direction")).alias("directions")
-        )
-        step = frontier.select("start", F.lit(n).alias("hops"), "node", "edge_ids", "directions")
+        longer = [F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.concat("directions", F.array("direction")).alias("directions")]
+        frontier = frontier.join(both, (frontier.node == both.a) & ~F.array_contains(frontier.edge_ids, both.edge_id)).select("start", F.col("b").alias("node"), *longer, "room")
+        if limit is not None:
+            # row_number first, so that each task keeps no more than a start can have
+            frontier = frontier.withColumn("nth", F.row_number().over(per.orderBy("edge_ids", "directions"))).where(F.col("nth") <= limit)
+            frontier = frontier.withColumn("found", F.max("nth").over(per))
+            step = frontier.where(F.col("nth") <= F.col("room"))
+            frontier = frontier.where(F.col("found") < F.col("room")).withColumn("room", F.col("room") - F.col("found")).drop("nth", "found")
+        else:
+            step = frontier
+        step = step.select("start", F.lit(n).alias("hops"), "node", "edge_ids", "directions")
         out = step if out is None else out.unionByName(step)
-    if limit is not None:
-        w = Window.partitionBy("start").orderBy("hops", "edge_ids", "directions")
-        out = out.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit).drop("nth")
     return out
 
 

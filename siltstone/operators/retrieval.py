@@ -34,19 +34,23 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, query: str = "query_id",
     """(query, *chunk, score, rank): the k best chunks of each query.
 
     A query term counts as often as it occurs in the query. Statistics are over all chunks; the scope comes
-    after. Chunks are tokenised once; only occurrences of query terms leave the scan, as term counts."""
+    after. Chunks are tokenised once and their terms counted within the row; only counts of query terms, and each chunk's length,
+    leave the scan, in one exchange that statistics and scores share."""
     chunk = chunk or ["doc_id", "chunk_index"]
     asked = queries.select(F.col(query).alias("q"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times"))
     few = asked.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     near = F.broadcast if few else (lambda x: x)  # nothing of these has more rows than the queries have terms
-    asked, terms = near(asked), near(asked.select("term").distinct())
-    tokenised = chunks.select(*chunk, tokens(F.col(text)).alias("tokens")).select(*chunk, F.size("tokens").alias("len"), "tokens")
-    whole = tokenised.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avgdl"))
-    # one exchange by chunk serves the counts, the document frequencies and the sums of a query's terms;
-    # explode_outer, since explode would have the tokens made again for a filter on their number
-    told = tokenised.select(*chunk, "len", F.explode_outer("tokens").alias("term")).join(terms, "term", "left_semi").repartition(*chunk)
-    tf = told.groupBy(*chunk, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = near(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    asked = near(asked)
+    whole = F.lit("").alias("term")  # no term is empty: this one stands for the length of a chunk
+    terms = near(asked.select("term").distinct().unionByName(queries.sparkSession.range(1).select(whole)))
+    tokenised = chunks.select(*chunk, tokens(F.col(text)).alias("tokens")).withColumn("kinds", F.array_distinct("tokens"))
+    count = F.transform("kinds", lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).cast("long").alias("tf")))
+    length = F.array(F.struct(whole, F.size("tokens").cast("long").alias("tf")))
+    each = tokenised.select(*chunk, F.size("tokens").alias("len"), F.explode(F.concat(length, count)).alias("c"))
+    tf = each.select(*chunk, "len", "c.term", "c.tf").join(terms, "term", "left_semi").repartition(*chunk)
+    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    whole = stats.where("term = ''").select(F.col("df").alias("n"), F.greatest(F.col("cf") / F.col("df"), F.lit(1.0)).alias("avgdl"))
+    df = near(stats.where("term <> ''").select("term", "df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     hits = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(whole))  # whole is one row
@@ -111,14 +115,14 @@ def _nearest(names: list, vectors: list, k: int, skip_self: bool):
     def run(batches):
         q = np.array(vectors, np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        kind = pa.array(names).type
+        kind, mine = pa.array(names).type, np.array(names, object)
         best = np.zeros((len(names), 0))
         kept = np.zeros((len(names), 0), object)
         for batch in batches:
             own = np.array(batch.column("id").to_pylist(), object)
             score = np.round(q @ _unit(batch.column("v")).T, 12)
             if skip_self:
-                score[np.array([[n == i for i in own] for n in names], bool)] = -np.inf
+                score[np.equal.outer(mine, own)] = -np.inf
             best, kept = np.concatenate([best, score], 1), np.concatenate([kept, np.broadcast_to(own, score.shape)], 1)
             if best.shape[1] > k:
                 order = np.stack([np.lexsort((kept[r].astype(object).astype(str) if kept[r].dtype == object and isinstance(kept[r][0], str) else kept[r].astype(np.int64), -np.round(best[r], 9)))[:k] for r in range(len(names))])

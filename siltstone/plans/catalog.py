@@ -586,11 +586,12 @@ def cdc_stream_session(spark, d):
     return stream.sessions(load(spark, d, "events"))
 
 
-@query("""WITH u AS (SELECT source, doc_id, sha256(text) AS h, lag(sha256(text)) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents)
-SELECT source AS logical_key, doc_id AS arrival, h AS content_hash, CAST(sum(CASE WHEN p = h THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS version, CASE WHEN p = h THEN 'unchanged' ELSE 'reserved' END AS outcome FROM u""")
+@query("""WITH u AS (SELECT source, doc_id, sha256(text) AS h FROM documents), f AS (SELECT source, h, min(doc_id) AS first FROM u GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY first) AS version FROM f)
+SELECT u.source AS logical_key, doc_id AS arrival, h AS content_hash, version, CASE WHEN doc_id = first THEN 'reserved' ELSE 'unchanged' END AS outcome FROM u JOIN n USING (source, h)""")
 def version_reserve(spark, d):
     up = load(spark, d, "documents").select(F.lit("default").alias("namespace"), F.col("source").alias("logical_key"), F.col("doc_id").alias("arrival"), versions.content_hash(F.col("text")).alias("content_hash"))
-    none = spark.createDataFrame([], "namespace string, logical_key string, version int, content_hash string, is_current boolean")
+    none = spark.createDataFrame([], "namespace string, logical_key string, version int, content_hash string")
     return versions.reserve(none, up).drop("namespace")
 
 

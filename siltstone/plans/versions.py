@@ -16,15 +16,18 @@ def content_hash(text: Column) -> Column:
 
 
 def reserve(registry: DataFrame, uploads: DataFrame) -> DataFrame:
-    """(namespace, logical_key, content_hash, version, outcome) of uploads in order of `arrival`: content equal to a version in
-    force is `unchanged`, other content gets the next number. registry: namespace, logical_key, version, content_hash, is_current."""
+    """(namespace, logical_key, arrival, content_hash, version, outcome) of uploads in order of `arrival`: content that any version of the
+    document has, whatever its state, is `unchanged` and gets that version; other content gets the next number when it first arrives.
+    registry: namespace, logical_key, version, content_hash."""
     keys = ["namespace", "logical_key"]
-    top = registry.groupBy(*keys).agg(F.max("version").alias("top"), F.max_by("content_hash", F.when(F.col("is_current"), F.col("version"))).alias("now"))
-    w = Window.partitionBy(*keys).orderBy("arrival")
-    u = uploads.join(top, keys, "left").withColumn("before", F.coalesce(F.lag("content_hash").over(w), F.col("now")))
-    u = u.withColumn("is_new", ~F.coalesce(F.col("before") == F.col("content_hash"), F.lit(False)))
-    number = F.coalesce("top", F.lit(0)) + F.sum(F.col("is_new").cast("int")).over(w)
-    return u.select(*keys, "arrival", "content_hash", number.cast("long").alias("version"), F.when(F.col("is_new"), "reserved").otherwise("unchanged").alias("outcome"))
+    known = registry.groupBy(*keys, "content_hash").agg(F.min("version").cast("long").alias("version"))
+    top = registry.groupBy(*keys).agg(F.max("version").alias("top"))
+    first = uploads.groupBy(*keys, "content_hash").agg(F.min("arrival").alias("first"))
+    new = first.join(known, [*keys, "content_hash"], "left_anti").join(top, keys, "left")
+    number = F.coalesce("top", F.lit(0)) + F.row_number().over(Window.partitionBy(*keys).orderBy("first"))
+    named = new.select(*keys, "content_hash", number.cast("long").alias("version"), "first").unionByName(known.withColumn("first", F.lit(None)))
+    outcome = F.when(F.col("arrival") == F.col("first"), "reserved").otherwise("unchanged")
+    return uploads.join(named, [*keys, "content_hash"]).select(*keys, "arrival", "content_hash", "version", outcome.alias("outcome"))
 
 
 def current(versions: DataFrame, key: str = "document_id") -> DataFrame:

@@ -15,12 +15,14 @@ def operation(c: Column) -> Column:
 
 
 def decoded(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Events from JSON bytes with op, ts_ms, source and before/after."""
-    schema = "op string, ts_ms long, source struct<connector:string,table:string>, before map<string,string>, after map<string,string>"
+    """Events from JSON bytes with id, op, ts_ms, source and before/after. Without an id the message's hash stands for it, without
+    an operation it is an update, without a table `unknown`, and without a time that of decoding."""
+    schema = "id string, op string, ts_ms double, source struct<table:string>, before map<string,string>, after map<string,string>"
     e = raw.select(F.col(value).cast("string").alias("raw")).withColumn("e", F.from_json("raw", schema))
     return e.select(
-        F.substr(F.sha2("raw", 256), F.lit(1), F.lit(32)).alias("event_id"), F.col("e.source.connector").alias("source_type"), operation(F.col("e.op")).alias("operation"),
-        F.coalesce(F.col("e.source.table"), F.lit("")).alias("resource_path"), (F.col("e.ts_ms") / 1000).alias("timestamp"), F.col("e.before").alias("before"), F.col("e.after").alias("after"),
+        F.coalesce(F.col("e.id"), F.substr(F.sha2("raw", 256), F.lit(1), F.lit(16))).alias("event_id"), F.lit("database").alias("source_type"),
+        operation(F.coalesce(F.col("e.op"), F.lit("UPDATE"))).alias("operation"), F.coalesce(F.col("e.source.table"), F.lit("unknown")).alias("resource_path"),
+        F.coalesce(F.col("e.ts_ms") / 1000, F.unix_millis(F.current_timestamp()) / 1000).alias("timestamp"), F.col("e.before").alias("before"), F.col("e.after").alias("after"),
     )
 
 
@@ -30,8 +32,12 @@ def from_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return decoded(raw)
 
 
+#: Fixed value: what ends a line.
+LINE_END = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])"
+
+
 def lines(c: Column) -> Column:
-    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, r"\n\z", ""), "\n", -1))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, LINE_END + r"\z", ""), LINE_END, -1))
 
 
 def line_diff(df: DataFrame, before: str = "before", after: str = "after") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from siltstone.plans import catalog, more  # noqa: F401
+from siltstone.plans import catalog, more, store  # noqa: F401
 
 from .conftest import rows_of
 

@@ -106,6 +106,16 @@ def test_paths_use_an_edge_once(spark):
     assert [(r.length, r.edge_ids) for r in s] == [(1, ["3"]), (2, ["1", "2"])]
 
 
+def test_paths_through_a_hub(spark):
+    """A hub of 400 neighbours: a start stops as soon as it has its paths, and the first are kept."""
+    e = spark.createDataFrame([(f"{k:04d}", f"n{k}", "USES", "hub") for k in range(400)], "edge_id string, subject string, predicate string, object string")
+    got = graph.paths(e, spark.createDataFrame([("n7",), ("hub",), ("alone",)], "name string"), 5, 50).collect()
+    assert sorted(r.edge_ids for r in got if r.start == "hub") == [[f"{k:04d}"] for k in range(50)]
+    assert sorted(r.edge_ids for r in got if r.start == "n7") == [["0007"], *[["0007", f"{k:04d}"] for k in range(50) if k != 7]]
+    every = graph.paths(e, spark.createDataFrame([("n7",)], "name string"), 3, None).collect()
+    assert len(every) == 400
+
+
 def test_entities(spark):
     ent = spark.createDataFrame([("a", "org", "", 1), ("a", "person", "first", 2), ("a", "x", None, 3)], "name string, type string, description string, arrival int")
     r = graph.upserted(ent).first()
@@ -164,6 +174,9 @@ def test_versions(spark):
     up = spark.createDataFrame([("n", "k", 1, "h1"), ("n", "k", 2, "h2"), ("n", "k", 3, "h2"), ("n", "new", 1, "h1")], "namespace string, logical_key string, arrival int, content_hash string")
     got = [(r.logical_key, r.arrival, r.version, r.outcome) for r in versions.reserve(reg, up).orderBy("logical_key", "arrival").collect()]
     assert got == [("k", 1, 1, "unchanged"), ("k", 2, 2, "reserved"), ("k", 3, 2, "unchanged"), ("new", 1, 1, "reserved")]
+    back = spark.createDataFrame([("n", "k", i, h) for i, h in enumerate("ABACB")], "namespace string, logical_key string, arrival int, content_hash string")
+    got = [(r.version, r.outcome) for r in versions.reserve(reg.limit(0), back).orderBy("arrival").collect()]
+    assert got == [(1, "reserved"), (2, "reserved"), (1, "unchanged"), (3, "reserved"), (2, "unchanged")]  # content of any version counts
     ptr = spark.createDataFrame([("d1", 1), ("d2", 1)], "document_id string, version int")
     ch = spark.createDataFrame([("d1", 2, 1), ("d1", 3, 2), ("d2", None, 3), ("d3", 1, 4)], "document_id string, version int, seq int")
     assert sorted((r.document_id, r.version) for r in versions.activated(ptr, ch).collect()) == [("d1", 3), ("d3", 1)]
@@ -186,6 +199,10 @@ def test_change_events(spark):
     raw = spark.createDataFrame([('{"op":"u","ts_ms":1000,"source":{"connector":"pg","table":"t"},"before":{"content":"a"},"after":{"content":"b"}}',), ('{"op":"d","ts_ms":2000}',)], "value string")
     got = cdc.decoded(raw).orderBy("timestamp").collect()
     assert [r.operation for r in got] == ["UPDATE", "DELETE"] and got[0].after == {"content": "b"}
+    raw = spark.createDataFrame([('{"id":"e1","ts_ms":1500,"source":{}}',), ('{"id":"e1","ts_ms":1501}',)], "value string")
+    assert [(r.event_id, r.operation, r.resource_path, r.timestamp) for r in cdc.decoded(raw).orderBy("timestamp").collect()] == [("e1", "UPDATE", "unknown", 1.5), ("e1", "UPDATE", "unknown", 1.501)]
+    r = cdc.line_diff(spark.createDataFrame([("a\rb\x0bc", "a\nb\u2028d\r\n")], "before string, after string")).first()
+    assert (r.added_count, r.removed_count) == (1, 1)
     d = cdc.line_diff(spark.createDataFrame([("a\nb", "a\nc\nc"), (None, "x"), ("", "")], "before string, after string")).collect()
     assert [(r.added_count, r.removed_count, r.change_ratio) for r in d] == [(1, 1, 0.4), (1, 0, 1.0), (0, 0, 0.0)]
 
