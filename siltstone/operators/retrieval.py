@@ -34,8 +34,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, query: str = "query_id",
     """(query, *chunk, score, rank): the k best chunks of each query.
 
     A query term counts as often as it occurs in the query. Statistics are over all chunks; the scope comes
-    after. Chunks are tokenised once and their terms counted within the row; only counts of query terms, and each chunk's length,
-    leave the scan, in one exchange that statistics and scores share."""
+    after. Chunks are tokenised once; query terms are counted before anything is sent, and only counts and each chunk's length leave
+    the scan, in one exchange that statistics and scores share."""
     chunk = chunk or ["doc_id", "chunk_index"]
     asked = queries.select(F.col(query).alias("q"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times"))
     few = asked.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
@@ -43,13 +43,11 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, query: str = "query_id",
     asked = near(asked)
     whole = F.lit("").alias("term")  # no term is empty: this one stands for the length of a chunk
     terms = near(asked.select("term").distinct().unionByName(queries.sparkSession.range(1).select(whole)))
-    tokenised = chunks.select(*chunk, tokens(F.col(text)).alias("tokens")).withColumn("kinds", F.array_distinct("tokens"))
-    count = F.transform("kinds", lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).cast("long").alias("tf")))
-    length = F.array(F.struct(whole, F.size("tokens").cast("long").alias("tf")))
-    each = tokenised.select(*chunk, F.size("tokens").alias("len"), F.explode(F.concat(length, count)).alias("c"))
-    tf = each.select(*chunk, "len", "c.term", "c.tf").join(terms, "term", "left_semi").repartition(*chunk)
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    whole = stats.where("term = ''").select(F.col("df").alias("n"), F.greatest(F.col("cf") / F.col("df"), F.lit(1.0)).alias("avgdl"))
+    tokenised = chunks.select(*chunk, tokens(F.col(text)).alias("tokens"))
+    each = tokenised.select(*chunk, F.size("tokens").alias("len"), F.explode(F.concat(F.array(whole), "tokens")).alias("term"))
+    tf = each.join(terms, "term", "left_semi").groupBy(*chunk, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("len"))
+    whole = stats.where("term = ''").select(F.col("df").alias("n"), F.greatest(F.col("len") / F.col("df"), F.lit(1.0)).alias("avgdl"))
     df = near(stats.where("term <> ''").select("term", "df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -30,4 +33,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; column pruning and filters reach the scan."""
     if name not in TABLES:
         raise KeyError(name)
+    env = spark.sparkContext.environment  # Python workers import this package wherever the session was started
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
