@@ -380,10 +380,11 @@ def _counted(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy("core", "extent", *by).agg(F.sum("copies").alias("copies"), *first)
 
 
-def _ordered(runs: DataFrame, shape: Shape) -> DataFrame:
-    """(core, extent, spans_0, ...) of the extents with repeated starts; an extent of a split core has several rows."""
+def _ordered(runs: DataFrame, shape: Shape, made: list[DataFrame]) -> DataFrame:
+    """(core, extent, spans_0, ...) of the extents with repeated starts; made: gets the tables that were staged for it."""
     depths, n = dict(enumerate(shape.lengths)), len(shape.lengths)
-    level, links, out = staged(_counted(runs).withColumn("nth", F.lit(None).cast("int")), "op3-extents", "zstd"), [], None
+    level, links = staged(_counted(runs).withColumn("nth", F.lit(None).cast("int")), "op3-extents", "zstd"), []
+    made.append(level)
     release(runs.sparkSession)
     spans = [f"spans_{k}" for k in range(n)]
 
@@ -395,20 +396,27 @@ def _ordered(runs: DataFrame, shape: Shape) -> DataFrame:
             got = part if got is None else got.unionByName(part)
         for link in reversed(links):
             got = got.join(link, ["core", "extent"]).select(F.col("from_core").alias("core"), F.col("from_extent").alias("extent"), *spans)
-        return got if out is None else out.unionByName(got)
+        return got
 
+    parts = []
     for width in WIDTHS:
         wide = staged(level.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("core"), "op3-wide", narrow=True)
         many = wide.count()
         if not many:
             break
         side = F.broadcast(wide) if many <= SMALL_ROWS else wide
-        out = settle(level.join(side, "core", "left_anti"))
+        parts.append(settle(level.join(side, "core", "left_anti")))
         bands = level.join(side, "core", "left_semi").mapInArrow(_banded(shape, shape.core, width), BANDED)
         bands = staged(bands, "op3-bands", "zstd")
         links.append(bands.select("core", "extent", "from_core", "from_extent"))
         level = staged(_counted(bands, "nth"), "op3-extents", "zstd")
-    return settle(level)
+        made += [bands, level]
+    parts.append(settle(level))
+    if len(parts) == 1:
+        return parts[0]
+    # bands of one extent come together again, so that the texts' phrases meet a row each
+    split = parts[1] if len(parts) == 2 else parts[1].unionByName(parts[2])
+    return parts[0].unionByName(split.groupBy("core", "extent").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in spans]))
 
 
 def repeated(docs: DataFrame, text: str = "text", id: str | None = None, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
@@ -430,10 +438,14 @@ def repeated(docs: DataFrame, text: str = "text", id: str | None = None, lengths
     runs = staged(held.mapInArrow(_runs(shape), RUNS), "op3-phrases", "zstd")
     discard(cores, twice)
     release(spark)
-    found = runs.select("k1", "k2", "at", "core", "extent").join(_ordered(runs, shape), ["core", "extent"])
+    made = [runs]
+    found = runs.select("k1", "k2", "at", "core", "extent").join(_ordered(runs, shape, made), ["core", "extent"])
     names = [f"spans_{k}" for k in range(len(shape.lengths))]
     placed = found.select("k1", "k2", *[F.transform(c, lambda x: x + F.col("at")).alias(c) for c in names])
-    return staged(placed.groupBy("k1", "k2").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names]), "op3-spans", narrow=True)
+    spans = staged(placed.groupBy("k1", "k2").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names]), "op3-spans", narrow=True)
+    discard(*made)
+    release(spark)
+    return spans
 
 
 def _with_spans(docs: DataFrame, text: str, id: str | None, lengths: tuple[int, ...]) -> DataFrame:
