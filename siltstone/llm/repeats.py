@@ -120,10 +120,11 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _living(a, b, t, begin, once, length: int, n: int, shape: Shape) -> np.ndarray:
-    """For each place of n the last start up to it (-1: none) whose string of `length` may be repeated. It can't be if it holds the
-    core of a phrase that occurs once, and one of the windows that make this phrase's trigger, as copies would hold both."""
-    lo = np.maximum(begin, np.maximum(a - (length - shape.span - ROLL), t - (length - shape.core)))[once]
+def _living(a, b, begin, once, length: int, n: int, shape: Shape) -> np.ndarray:
+    """For each place of n the last start up to it (-1: none) whose string of `length` may be repeated. It can't be if a string of
+    the shortest length inside it has a core that occurs once: a copy of the whole holds a copy of that one. (It must be a string
+    inside: a window that reaches over its end may make no phrase in the copy, whose text may end there.)"""
+    lo = np.maximum(begin, a - (length - shape.least))[once]
     hi = b[once]
     some = lo <= hi
     dead = np.cumsum(np.bincount(lo[some], minlength=n + 1) - np.bincount(hi[some] + 1, minlength=n + 1))[:n] > 0
@@ -149,7 +150,7 @@ def _runs(shape: Shape):
                 a, b, t, d, h = phrases(part, o, shape)
                 core = signed(slice_hash(h, t, t + shape.core))
                 twice = np.isin(core, flat[at[x] : at[y]])
-                last = [_living(a, b, t, o[:-1][d], ~twice, n, len(part), shape) for n in shape.lengths]
+                last = [_living(a, b, o[:-1][d], ~twice, n, len(part), shape) for n in shape.lengths]
                 b = np.minimum(b, begin - 1)
                 keep = twice & (a <= b)
                 a, b, t, d, core = a[keep], b[keep], t[keep], d[keep], core[keep]

@@ -320,6 +320,17 @@ def test_repeats_of_two_lengths_and_split_cores(spark, few, monkeypatch):
     assert passages(spark.createDataFrame(rows, SCHEMA).repartition(5)) == brute_passages(rows)
 
 
+def test_repeats_at_the_end_of_a_text(spark):
+    """A copy that ends with its text has fewer windows, and so fewer phrases, than one that goes on."""
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = []
+    for k, n in enumerate((200, 201, 263, 330, 399, 400, 401, 470, 599, 640)):
+        x = some(n)
+        rows += [(2 * k, some(300) + x), (2 * k + 1, some(77) + x + some(500))]
+    assert passages(spark.createDataFrame(rows, SCHEMA).repartition(3)) == brute_passages(rows)
+
+
 def test_passages_of_51_to_120_words_are_caught(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9)))
