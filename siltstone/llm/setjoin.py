@@ -231,7 +231,10 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     told = staged(plain.mapInArrow(_describe(n, num, den), "id long, n_shingles long, h1 long, h2 long, sigs array<long>"), "op7-sets")
     classes = told.where("n_shingles > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("sigs").alias("sigs"))
     parts = classes.select("rep", "h1", F.explode("sigs").alias("sig"))
-    shared = parts.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("sig", "low")
+    # written first, so that the parts of all sets are sent once at a time, and only once where few are shared
+    shared = staged(parts.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("sig", "low"), "op7-shared")
+    release(spark)
+    shared = F.broadcast(shared) if shared.count() <= SMALL_ROWS else shared
     tied = staged(parts.join(shared, "sig").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"), "h1").distinct(), "op7-ties")
     release(spark)
     near = components(tied.select("u", "v"), "op7-groups")

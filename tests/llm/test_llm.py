@@ -515,7 +515,7 @@ def test_shards_odd(spark):
 # --- 7
 
 
-def brute_components(rows, n=3):
+def brute_components(rows, n=3, num=9, den=10):
     sets = {}
     for i, t in rows:
         w = split(t)
@@ -530,7 +530,7 @@ def brute_components(rows, n=3):
 
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 p, q = sorted((root(a), root(b)))
                 up[q] = p
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -558,6 +558,8 @@ def test_jaccard_equals_brute_force(spark, seed, monkeypatch):
         monkeypatch.setattr(setjoin, "CHUNK", 5)  # large components are cut into chunks
     got = setjoin.jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    got = setjoin.jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(4), n=5, num=4, den=5).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, 4, 5)
 
 
 def test_link_block_equals_pairs():
@@ -701,7 +703,7 @@ def test_pipeline_stages(spark, data):
     verdict = {r.doc_id: r.kept for r in quality.op9_quality_rules(spark, data).collect()}
     assert {r.doc_id for r in kept.collect()} == {i for i, ok in verdict.items() if ok}
     one = p.near_copies(spark, kept, data).collect()
-    comps = brute_components([(i, rows[i]["text"]) for i, ok in verdict.items() if ok])
+    comps = brute_components([(i, rows[i]["text"]) for i, ok in verdict.items() if ok], 5, 4, 5)
     assert {r.doc_id for r in one} == {i for i, (_, c) in comps.items() if i == c}
     df = spark.createDataFrame(one, docs.schema)
     cut = p.repeated_passages(spark, df, data).collect()
@@ -718,6 +720,23 @@ def test_pipeline_stages(spark, data):
         assert done[r.doc_id].n_tokens == len(ids) and done[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_pipeline_near_copies_take_five_words_and_four_fifths(spark):
+    import corpus_pipeline as p
+
+    base, more = [f"w{i}" for i in range(104)], [f"x{i}" for i in range(60)]
+    texts = {1: base, 2: base + more[:24], 3: base + more[:26], 4: base[:50] + ["y"] + base[51:], 5: more, 6: more + base[:20]}
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in texts.items()] + [(7, None, "en", "s", 0), (8, " ", "en", "s", 0), (None, "a b", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    comps = brute_components([(i, " ".join(w)) for i, w in texts.items()], 5, 4, 5)
+    assert {i for i, (_, c) in comps.items() if i == c} == {1, 5, 6}  # 3 is linked by way of 2: 120 of 126 shingles
+    got = p.near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 5, 6, 7, 8, None]
+    apart = p.near_copies(spark, docs.where("doc_id in (1, 3)"), "")
+    assert {r.doc_id for r in apart.collect()} == {1, 3}  # 100 of 126
+    assert {r.doc_id for r in p.near_copies(spark, docs.where("doc_id in (1, 2)"), "").collect()} == {1}  # 100 of 124
+
+
 def test_pipeline_run(spark, data):
     import corpus_pipeline as p
 
