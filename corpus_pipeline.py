@@ -19,8 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of those that links of 0.9 connect; a document without words stays."""
-    found = setjoin.jaccard_components(docs)
+    """Keeps one document, the one with the smallest id, of those that links connect: 0.8 of their distinct five-word shingles in
+    common. A document without words stays."""
+    found = setjoin.jaccard_components(docs, n=5, num=4, den=5)
     out = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
     return docs.join(F.broadcast(out) if out.count() <= setjoin.SMALL_ROWS else out, "doc_id", "left_anti").select(*docs.columns)
 
