@@ -8,11 +8,13 @@ offsets, so that word boundaries and hashes of a whole batch take a few numpy ca
 from __future__ import annotations
 
 import atexit
+import contextvars
 import gc
 import os
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -55,16 +57,55 @@ def workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-_STAGED: list[str] = []
+class Run:
+    """The staged folders of one run. Inside `with Run(spark) as run:` what this thread stages belongs to the run, which alone may
+    delete it: other runs, and frames made outside of any, keep theirs until the session ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def __enter__(self) -> Run:
+        self._before = _RUN.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _RUN.reset(self._before)
+
+    def sweep(self, keep: int = 0) -> int:
+        """Deletes the folders staged so far but for the last `keep`; call it when the results made from them are stored. Returns how many."""
+        gone = self.folders[: len(self.folders) - keep]
+        del self.folders[: len(gone)]
+        return sum(_delete(self.spark, x) for x in gone)
+
+
+_RUN: contextvars.ContextVar[Run | None] = contextvars.ContextVar("run", default=None)
+_OUTSIDE: dict[int, Run] = {}
+
+
+def _run(spark: SparkSession) -> Run:
+    """The run that this thread is in; outside of any, one that holds what the thread has staged so."""
+    return _RUN.get() or _OUTSIDE.setdefault(threading.get_ident(), Run(spark))
 
 
 def sweep(spark: SparkSession, keep: int = 0) -> int:
-    """Deletes what this process has staged so far but for the last `keep` folders; call it when the results made from it are
-    stored. Returns how many folders."""
-    gone = _STAGED[: len(_STAGED) - keep]
-    del _STAGED[: len(gone)]
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(x) for x in gone]
-    return sum(bool(x.getFileSystem(spark._jsc.hadoopConfiguration()).delete(x, True)) for x in paths)
+    """`Run.sweep` of the run that this thread is in."""
+    run = _run(spark)
+    run.spark = spark
+    return run.sweep(keep)
+
+
+def _delete(spark: SparkSession, at: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, of the run that this thread is in; what no one has deleted goes with the session."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _run(spark).folders.append(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
 
 
 def staged(df: DataFrame, name: str, codec: str = "snappy", narrow: bool = False) -> DataFrame:
@@ -75,11 +116,8 @@ def staged(df: DataFrame, name: str, codec: str = "snappy", narrow: bool = False
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _STAGED.append(at)
-    place = spark._jvm.org.apache.hadoop.fs.Path(at)
+    at = folder(spark, name)
     df.write.option("compression", codec).parquet(at)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # what no one has swept goes with the session
     out = spark.read.schema(df.schema).parquet(at)
     out.staged_at = at
     return out
@@ -88,9 +126,10 @@ def staged(df: DataFrame, name: str, codec: str = "snappy", narrow: bool = False
 def discard(*frames: DataFrame) -> None:
     """Deletes what `staged` wrote for these; nothing that is still to be computed may read them."""
     for df in frames:
-        _STAGED.remove(df.staged_at)
-        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        run = _run(df.sparkSession)
+        if df.staged_at in run.folders:
+            run.folders.remove(df.staged_at)
+        _delete(df.sparkSession, df.staged_at)
 
 
 def release(spark: SparkSession) -> None:

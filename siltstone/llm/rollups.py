@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, shared_dir, staged, text_of
+from .common import WORD, folder, staged, text_of
 
 KEYS = ["source", "lang", "tokenizer"]
 KINDS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -136,7 +136,7 @@ def op4_token_rollups(spark, sf_dir: str) -> DataFrame:
         "3": gone.unionByName(gone),
         "4": change(counted.where("words >= 50"), "4", "insert", "letters-2", F.col("letters"), none),
     }
-    store = TokenRollup(spark, f"{shared_dir(spark)}/op4-{uuid.uuid4().hex}")
+    store = TokenRollup(spark, folder(spark, "op4"))
     for name, changes in batches.items():
         store.commit(name, changes)
         store.commit(name, changes)
