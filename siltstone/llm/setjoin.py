@@ -107,13 +107,13 @@ def _describe(n: int, num: int, den: int):
                 sig = [signatures(x, low, num, den) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(a, b - a),
+                        *[batch.column(c).slice(a, b - a) for c in ("id", "of")],
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([x for x, _ in both], pa.int64()),
                         pa.array([x for _, x in both], pa.int64()),
                         lists(pa.array(signed(np.concatenate(sig))), np.cumsum([0, *map(len, sig)])),
                     ],
-                    names=["id", "n_shingles", "h1", "h2", "sigs"],
+                    names=["id", "of", "n_shingles", "h1", "h2", "sigs"],
                 )
 
     return run
@@ -223,12 +223,12 @@ def _edges(rows):
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.int64())], names=["u", "v"])
 
 
-def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """(id, n_shingles, component_id) per row of docs. Links: Jaccard >= num / den of distinct n-word shingles, A-Z in lower case."""
+def _named(docs: DataFrame, id: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """(id, of, n_shingles, component) of each row: `of` is the text's digest, component the smallest id that links reach, null without words or id."""
     spark = docs.sparkSession
     workers(spark)
-    plain = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    told = staged(plain.mapInArrow(_describe(n, num, den), "id long, n_shingles long, h1 long, h2 long, sigs array<long>"), "op7-sets")
+    plain = docs.select(F.col(id).cast("long").alias("id"), digest(F.col(text)).alias("of"), F.col(text).alias("text"))
+    told = staged(plain.mapInArrow(_describe(n, num, den), "id long, of binary, n_shingles long, h1 long, h2 long, sigs array<long>"), "op7-sets")
     classes = told.where("n_shingles > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("sigs").alias("sigs"))
     parts = classes.select("rep", "h1", F.explode("sigs").alias("sig"))
     # written first, so that the parts of all sets are sent once at a time, and only once where few are shared
@@ -257,8 +257,36 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     found = components(links, "op7-linked").withColumnRenamed("node", "rep")
     names = names.withColumnRenamed("node", "rep").join(found, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     names = staged(names, "op7-names", narrow=True)  # so that the last join can split a set that very many rows have
-    rows = told.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("h1")).alias("h1"), "h2")
-    return rows.join(names, ["h1", "h2"], "left").select(F.col("id").alias(id), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    rows = told.select("id", "of", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("h1")).alias("h1"), "h2")
+    return rows.join(names, ["h1", "h2"], "left").select("id", "of", "n_shingles", F.col("component_id").alias("component"))
+
+
+def digest(text: F.Column) -> F.Column:
+    """16 bytes that tell texts apart; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """(id, n_shingles, component_id) per row of docs. Links: Jaccard >= num / den of distinct n-word shingles, A-Z in lower case."""
+    return _named(docs, id, text, n, num, den).select(F.col("id").alias(id), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs without near copies: of the rows that links connect the one with the smallest id stays, of equal ids the one with the
+    smallest digest of its text; of rows with that id and that text the one whose columns come first. Rows without words or without
+    id link with nothing and stay, all of them. A row is known by id and text, so another text under the id of a dropped one stays.
+
+    Copies are found among ids and digests; texts are joined by their digest only where one is dropped or repeated."""
+    named = staged(_named(docs, id, text, n, num, den).where("component is not null").groupBy("component", "id", "of").agg(F.count(F.lit(1)).alias("n")), "op7-rows")
+    first = named.groupBy("component").agg(F.min(F.struct("id", "of")).alias("first"))
+    first = staged(first, "op7-first", narrow=True)
+    fate = named.join(first, "component").select(F.col("id").alias("_id"), F.col("of").alias("_of"), "n", (F.struct("id", "of") == F.col("first")).alias("_stays")).where("not _stays or n > 1").drop("n")
+    fate = staged(fate, "op7-fate", narrow=True)
+    side = F.broadcast(fate) if fate.count() <= SMALL_ROWS else fate
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id).cast("long").alias("_id"), digest(F.col(text)).alias("_of"))
+    told = own.join(side, ["_id", "_of"], "left").where("_stays is null or _stays")
+    once = told.where("_stays").groupBy("_id", "_of").agg(F.min("_row").alias("_row")).select("_row.*")
+    return told.where("_stays is null").select("_row.*").unionByName(once)
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

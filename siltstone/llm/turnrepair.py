@@ -16,7 +16,7 @@ all windows and the collection share that exchange.
 
 Nulls count as one space in role and text, also in the damage; null conversation ids are one conversation; null turns come
 first and count for no gap. Equal turns are ordered by role, then text, so repeated rows are duplicates whatever their
-order in the table. `turn` is a whole number. A conversation without turns gets zeros and empty results; an empty table gives
+order in the table. A role of no characters has no initial, so its turn is not kept as it is. `turn` is a whole number. A conversation without turns gets zeros and empty results; an empty table gives
 no rows. Other columns are not read.
 """
 
@@ -138,7 +138,7 @@ def repaired(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     there = F.coalesce(F.col("kept"), F.lit(False)) if "kept" in turns.columns else F.lit(True)
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     df = turns.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), space(role).alias("role"), space(text).alias("text"), there.alias("kept"))
-    df = _flagged(df.withColumn("initial", F.substring("role", 1, 1)))
+    df = _flagged(df.withColumn("initial", F.substring("role", 1, 1)).repartition("conv"))
     count = lambda c: F.sum(F.when(F.col("kept") & F.col(c), 1).otherwise(0)).cast("long").alias(c)
     one = F.struct("n", "initial", (F.col("blank") | F.col("duplicate")).alias("must_go"), F.col("truncated").alias("cut"), "role", "text")
     ends = F.max(F.when(F.col("kept"), F.col("turn"))) - F.min(F.when(F.col("kept"), F.col("turn"))) + 1

@@ -185,7 +185,8 @@ def compressed(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding"
         return rows.withColumns({"code": F.lit(b""), "error": F.lit(0).cast("long")}).drop("ints"), []
     dimension, base = len(first[0].ints) // 4, rows
     rows = rows.where(F.length("ints") == 4 * dimension)
-    seeds = np.array([np.frombuffer(r.ints, np.int32) for r in rows.orderBy(*by_id).limit(entries).collect()], np.int64).reshape(-1, dimension)
+    smallest = rows.orderBy(*by_id).limit(entries).collect()
+    seeds = np.array([np.frombuffer(r.ints, np.int32) for r in smallest], np.int64).reshape(len(smallest), dimension)
     at = cuts(dimension, parts)
     books = [seeds[:, at[k] : at[k + 1]] for k in range(parts)]
     schema = f"id {kinds['id']}, label {kinds['label']}, ints binary, code binary, error long"
