@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import bytebpe, decontaminate, quality, repeats, setjoin
-from siltstone.llm.common import staged, sweep
+from siltstone.llm.common import Run, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of those that links of 0.9 connect; a document without words stays."""
-    found = setjoin.jaccard_components(docs)
-    out = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(F.broadcast(out) if out.count() <= setjoin.SMALL_ROWS else out, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document, the one with the smallest id, of those that links connect: 0.9 of the distinct three-word shingles. A document is a row:
+    another text under the same id is a document of its own, rows with the same id and text are one. Rows without words or without id all stay."""
+    return setjoin.representatives(docs, n=3, num=9, den=10)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +32,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a test item of the table benchmark, whole or edited."""
-    found = staged(decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
-    return docs.join(F.broadcast(found) if found.count() <= setjoin.SMALL_ROWS else found, "doc_id", "left_anti").select(*docs.columns)
+    """Rejects documents that hold a test item of the table benchmark, whole or edited. Each row's own text decides, whatever its id."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. What the stages have staged belongs to this run: it is deleted as soon as the next stage's rows are stored,
+    and nothing else is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, f"stage-{name}", "zstd")
-            sweep(spark, keep=1)  # what the stage was made from
+    with Run(spark) as own:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = staged(docs, f"stage-{name}", "zstd")
+                own.sweep(keep=1)  # what the stage was made from
     return docs
