@@ -32,12 +32,15 @@ def from_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return decoded(raw)
 
 
-#: Fixed value: what ends a line.
-LINE_END = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])"
+#: Fixed value: what ends a line, besides the two characters of a carriage return and a line feed, which are one end.
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def lines(c: Column) -> Column:
-    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, LINE_END + r"\z", ""), LINE_END, -1))
+    """All ends are made line feeds first, by replacing plain strings, so that one split is left; a feed at the very end ends the last line."""
+    plain = F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS))
+    whole = F.when(plain.endswith("\n"), F.substr(plain, F.lit(1), F.char_length(plain) - 1)).otherwise(plain)
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(whole, "\n", -1))
 
 
 def line_diff(df: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
@@ -54,6 +57,11 @@ def impact(operation: Column, added: Column, major: Column, has_both: Column) ->
     return F.when(operation == "DELETE", F.lit(-1)).when(operation == "INSERT", F.lit(1)).when(operation == "UPDATE", update).otherwise(F.lit(0)).cast("long")
 
 
+def entities(operation: Column) -> Column:
+    """Entities affected: one gone, one come, none."""
+    return F.when(operation == "DELETE", -1).when(operation == "INSERT", 1).otherwise(0).cast("long")
+
+
 def versions(events: DataFrame, resource: str = "resource_path", at: str = "timestamp", id: str = "event_id") -> DataFrame:
     """Each event with the version that it brings its resource to: every event counts."""
     return events.withColumn("version", F.row_number().over(Window.partitionBy(resource).orderBy(at, id)).cast("long"))
