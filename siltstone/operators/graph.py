@@ -6,27 +6,57 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import evidence_key
-from .retrieval import small
+from ..storage import staged
+from .contain import containing
 
 RELATED = "RELATED_TO"
-#: Reviewed spellings of each predicate, besides its own name in lower case.
+#: Reviewed spellings and what each means.
 ALIASES = {
-    "PROVIDES_INDEX": ["provides index to", "提供索引", "提供检索索引", "为其提供检索索引", "为天枢提供检索索引"],
-    "DEPENDS_ON": ["依赖", "依赖于"],
-    "NOT_DEPENDS_ON": ["不依赖", "不依赖于", "并不依赖", "未依赖"],
-    "MONITORS": ["监控", "监测", "负责监控"],
-    "RESPONSIBLE_FOR": ["负责"],
-    "CO_RESPONSIBLE_FOR": ["共同负责"],
-    "WORKS_AT": ["任职于"],
-    "MEMBER_OF": ["隶属", "belongs to"],
-    "USES": ["使用"],
-    "CO_DELIVERS": ["共同交付"],
-    "RELATED_TO": ["相关"],
-    "OWNS": ["拥有"],
-    "DEVELOPED_BY": [], "PART_OF": [], "LOCATED_IN": [], "AFFECTED": [], "AUTHENTICATES_VIA": [], "CALLS": [], "CO_LEADS": [],
-    "CURRENTLY_USES": [], "DISTINCT_FROM": [], "EVALUATES": [], "HAS_ROLE": [], "HEAD_OF": [], "NOT_DIRECTLY_CALLS": [],
-    "NOT_RESPONSIBLE_FOR": [], "NOT_USES": [], "NOT_YET_MIGRATED_TO": [], "PROVIDES_AUTH_TO": [], "PROVIDES_DATA_TO": [],
+    "provides index": "PROVIDES_INDEX",
+    "provides index to": "PROVIDES_INDEX",
+    "提供索引": "PROVIDES_INDEX",
+    "提供检索索引": "PROVIDES_INDEX",
+    "为其提供检索索引": "PROVIDES_INDEX",
+    "为天枢提供检索索引": "PROVIDES_INDEX",
+    "depends on": "DEPENDS_ON",
+    "依赖": "DEPENDS_ON",
+    "依赖于": "DEPENDS_ON",
+    "not depends on": "NOT_DEPENDS_ON",
+    "不依赖": "NOT_DEPENDS_ON",
+    "不依赖于": "NOT_DEPENDS_ON",
+    "并不依赖": "NOT_DEPENDS_ON",
+    "未依赖": "NOT_DEPENDS_ON",
+    "monitors": "MONITORS",
+    "监控": "MONITORS",
+    "监测": "MONITORS",
+    "负责监控": "MONITORS",
+    "responsible for": "RESPONSIBLE_FOR",
+    "负责": "RESPONSIBLE_FOR",
+    "共同负责": "CO_RESPONSIBLE_FOR",
+    "co responsible for": "CO_RESPONSIBLE_FOR",
+    "works at": "WORKS_AT",
+    "任职于": "WORKS_AT",
+    "隶属": "MEMBER_OF",
+    "belongs to": "MEMBER_OF",
+    "member of": "MEMBER_OF",
+    "uses": "USES",
+    "使用": "USES",
+    "共同交付": "CO_DELIVERS",
+    "co delivers": "CO_DELIVERS",
+    "related to": "RELATED_TO",
+    "相关": "RELATED_TO",
+    "owns": "OWNS",
+    "拥有": "OWNS",
+    "developed by": "DEVELOPED_BY",
+    "part of": "PART_OF",
+    "located in": "LOCATED_IN",
 }
+#: Predicates that have no other spelling than their own name.
+NAMED = (
+    "AFFECTED", "AUTHENTICATES_VIA", "CALLS", "CO_LEADS", "CURRENTLY_USES", "DISTINCT_FROM", "EVALUATES", "HAS_ROLE", "HEAD_OF", "NOT_DIRECTLY_CALLS",
+    "NOT_RESPONSIBLE_FOR", "NOT_USES", "NOT_YET_MIGRATED_TO", "PROVIDES_AUTH_TO", "PROVIDES_DATA_TO",
+)
+PREDICATES = (*dict.fromkeys(ALIASES.values()), *NAMED)
 #: Raw labels that are read anew where the stored predicate is the unspecific one.
 REINTERPRETED = {"监控": "MONITORS", "监测": "MONITORS", "负责监控": "MONITORS", "不依赖": "NOT_DEPENDS_ON", "并不依赖": "NOT_DEPENDS_ON", "未依赖": "NOT_DEPENDS_ON"}
 
@@ -37,7 +67,7 @@ def alias_key(c: Column) -> Column:
 
 def alias_table(spark: SparkSession) -> DataFrame:
     """(alias, predicate): under a hundred rows."""
-    rows = {(p.lower().replace("_", " "), p) for p in ALIASES} | {(a, p) for p, names in ALIASES.items() for a in names}
+    rows = {*ALIASES.items(), *((p.lower().replace("_", " "), p) for p in PREDICATES)}
     return spark.createDataFrame(sorted(rows), "alias string, canonical string")
 
 
@@ -53,7 +83,7 @@ def canonical(df: DataFrame, predicate: str = "predicate", raw: str | None = Non
 
 
 def is_canonical(c: Column) -> Column:
-    return c.isin(*ALIASES)
+    return c.isin(*PREDICATES)
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -121,13 +151,56 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int = 2, limit: int | None
     return out
 
 
+def _ball(both: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
+    """(target, node, dist): every node within `radius` steps of each target, once, at its least distance."""
+    seen = centres.select("target", F.col("target").alias("node"), F.lit(0).alias("dist"))
+    last = seen
+    steps = both.select("a", "b").distinct()
+    for n in range(1, radius + 1):
+        near = last.join(steps, last.node == steps.a).select("target", F.col("b").alias("node")).distinct()
+        last = near.join(seen.select("target", "node"), ["target", "node"], "left_anti").withColumn("dist", F.lit(n))
+        seen = staged(seen.unionByName(last), "ball")
+        last = seen.where(F.col("dist") == n)
+    return seen
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 5, limit: int = 1) -> DataFrame:
-    """(source, target, length, edge_ids): the `limit` (1 to 10) shortest paths of each pair; ties by edge ids."""
-    limit = max(1, min(10, limit))
-    found = paths(edges, pairs.select(F.col("source").alias("name")), hops, None)
-    both = found.join(pairs.select(F.col("source").alias("start"), F.col("target").alias("node")).distinct(), ["start", "node"], "left_semi")
-    w = Window.partitionBy("start", "node").orderBy("hops", "edge_ids")
-    return both.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit).select(F.col("start").alias("source"), F.col("node").alias("target"), F.col("hops").alias("length"), "edge_ids")
+    """(source, target, length, edge_ids): the `limit` (1 to 10) shortest paths of 1 to `hops` (1 to 5) undirected edges of each pair; ties by edge ids. An
+    edge is used once per path, nodes may come again.
+
+    Lengths are tried one after the other, and a pair that has its paths leaves. Both ends are searched: of a path's last two steps only nodes within
+    that distance of the target are kept, from balls around the targets that hold each node once, so a hub's edges are followed only where they can lead
+    to the target. Until a pair has a path, the paths of the length at hand are shortest ones, which never meet an edge twice, so of those that come to a
+    node the first `limit` will do. Each length is written, which cuts lineage."""
+    limit, hops = max(1, min(10, limit)), max(1, min(5, hops))
+    e = edges.select("edge_id", F.col("subject").alias("a"), F.col("object").alias("b"))
+    both = e.unionByName(e.select("edge_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").unionByName(e.where("a = b"))
+    wanted = staged(pairs.select("source", "target").where("source is not null and target is not null").distinct(), "pairs")
+    reach = min(2, hops - 1)
+    ball = _ball(both, wanted.select("target").distinct(), reach)
+    kind = edges.schema["edge_id"].dataType.simpleString()
+    open_, out = wanted.withColumn("found", F.lit(0).cast("long")), None
+    for length in range(1, hops + 1):
+        now = open_.select("source", "target", "found", F.col("source").alias("node"), F.array().cast(f"array<{kind}>").alias("edge_ids"))
+        for n in range(1, length + 1):
+            left = length - n
+            now = now.join(both, (now.node == both.a) & ~F.array_contains(now.edge_ids, both.edge_id)).select("source", "target", "found", F.col("b").alias("node"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"))
+            if not left:
+                now = now.where("node = target")
+            elif left <= reach:
+                now = now.join(ball.where(F.col("dist") <= left).select("target", "node"), ["target", "node"], "left_semi")
+            if left:
+                nth = F.row_number().over(Window.partitionBy("source", "target", "node", F.col("found") > 0).orderBy("edge_ids"))
+                now = now.withColumn("nth", nth).where((F.col("nth") <= limit) | (F.col("found") > 0)).drop("nth")
+        w = Window.partitionBy("source", "target").orderBy("edge_ids")
+        made = now.withColumn("nth", F.row_number().over(w)).where(F.col("nth") + F.col("found") <= limit)
+        made = staged(made.select("source", "target", F.lit(length).alias("length"), "edge_ids"), "paths")
+        out = made if out is None else out.unionByName(made)
+        more = made.groupBy("source", "target").agg(F.count(F.lit(1)).alias("more"))
+        open_ = staged(open_.join(more, ["source", "target"], "left").select("source", "target", (F.col("found") + F.coalesce("more", F.lit(0))).alias("found")).where(F.col("found") < limit), "open")
+        if not open_.limit(1).count():
+            break
+    return out
 
 
 def orphans(entities: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -137,9 +210,9 @@ def orphans(entities: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataF
 
 
 def search_entities(entities: DataFrame, words: DataFrame, limit: int = 20) -> DataFrame:
-    """(query_id, name): entities whose name or description holds the query's word; the first by name."""
-    hit = F.col("name").contains(F.col("word")) | F.coalesce(F.col("description").contains(F.col("word")), F.lit(False))
-    both = entities.join(small(words), hit)
+    """(query_id, name, rank): entities whose name or description holds the query's word; the first by name."""
+    held = entities.select("name", F.col("name").alias("text")).unionByName(entities.select("name", F.col("description").alias("text")))
+    both = containing(held, words, "name", "text", "query_id", "word")
     w = Window.partitionBy("query_id").orderBy("name")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "name", "rank")
 

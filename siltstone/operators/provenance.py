@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 #: States of operations that hold a document, and of those that recovery has to look at.
 ACTIVE = ("pending", "running", "compensating")
 INCOMPLETE = ("running", "compensating", "cleanup_pending", "needs_reconciliation")
@@ -49,40 +51,62 @@ def scoped_snapshot(versions: DataFrame, mentions: DataFrame, edges: DataFrame,
     return out.select("document_id", "version", "evidence_key", "subject", "predicate", raw, "object", F.lit("forward").alias("direction"))
 
 
+def summary_category(c: Column) -> Column:
+    """The category of the summary that a label belongs to; a label that is none stays, folded."""
+    name = F.lower(F.trim(c))
+    return F.when(name.isin("unanswerable", "abstention"), "abstention").when(name.startswith("distractor"), "distractor").when(name.startswith("constraint"), "constraint").otherwise(name)
+
+
 def rag_summary(results: DataFrame) -> DataFrame:
-    """(mode, category, questions, ...) of answers (mode, category, success, correct, correct_v2, source_hit, graph_calls, latency_ms) per
-    mode (category null) and per mode and category. Rates are over all questions but those of latencies, which are of successful ones."""
-    done = F.col("success")
-    rate = lambda c: F.round(F.sum(F.coalesce(c.cast("int"), F.lit(0))) / F.count(F.lit(1)), 3)
-    took = F.when(done, F.col("latency_ms"))
-    out = results.groupingSets([("mode",), ("mode", "category")], "mode", "category").agg(
-        F.grouping("category").alias("whole"), F.count(F.lit(1)).alias("questions"), rate(done).alias("success_rate"), rate(done & F.col("correct")).alias("question_accuracy"),
-        rate(done & F.col("correct_v2")).alias("question_accuracy_v2"), rate(done & F.col("source_hit")).alias("source_hit_rate"),
-        F.when(F.col("mode") == "graph_rag", rate(done & (F.col("graph_calls") > 0))).alias("graph_participation_rate"),
-        F.round(F.avg(took), 3).alias("latency_avg_ms"),
-    )
-    return out.select("mode", F.when(F.col("whole") == 0, F.col("category")).alias("category"), *out.columns[3:])
+    """The summary of answers per mode, and how many of each category are right; one row per mode with `category` null, and one per mode and
+    category of CATEGORIES, also those without any question.
+
+    results: mode, question_id, category, success, correct, correct_v2, source_hit, abstention_correct, forbidden (booleans), semantic_v2, keyword, coverage,
+    fidelity (scores, fidelity may be null), graph_calls, graph_contexts, plan_calls, answer_calls, embedding_calls, latency_ms. Rates are over all questions
+    and count successful answers; means, and percentiles by nearest rank, are of successful answers. A question's plan is made once for
+    a mode, so its calls count once. Graph rates are those of graph_rag alone."""
+    done = F.coalesce(F.col("success"), F.lit(False))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    n = F.count(F.lit(1))
+    over = lambda c: F.sum(c.cast("int"))
+    rate = lambda c: F.round(over(done & c) / n, 3)
+    mean = lambda c: F.coalesce(F.round(F.avg(F.when(done, F.col(c))), 3), F.lit(0.0))
+    among = lambda some, c: F.round(over(done & some & c) / F.nullif(over(done & some), F.lit(0)), 3)
+    graph = lambda c: F.when(F.col("mode") == "graph_rag", c)
+    calls = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long")
+    rank = lambda p: F.round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY IF(success, latency_ms, NULL))"), 3)
+    hops, none = F.contains(F.col("category"), F.lit("multi_hop")), F.col("category").isin("unanswerable", "abstention")
+    plans = results.groupBy("mode", "question_id").agg(F.max(F.coalesce("plan_calls", F.lit(0))).alias("plan")).groupBy("mode").agg(F.sum("plan").cast("long").alias("plans"))
+    whole = results.groupBy("mode").agg(
+        n.alias("questions"), rate(F.lit(True)).alias("success_rate"), rate(yes("correct")).alias("question_accuracy"), rate(yes("correct_v2")).alias("question_accuracy_v2"),
+        mean("semantic_v2").alias("answer_semantic_score_v2"), mean("keyword").alias("keyword_fact_hit_rate"), mean("keyword").alias("required_fact_hit_rate"), rate(yes("source_hit")).alias("source_hit_rate"),
+        mean("coverage").alias("source_coverage"), among(hops, yes("correct")).alias("multi_hop_accuracy"), among(none, yes("abstention_correct")).alias("abstention_accuracy"),
+        F.round(F.avg(F.when(done, F.col("fidelity"))), 3).alias("relation_fidelity"), rate(yes("forbidden")).alias("forbidden_fact_violation_rate"),
+        graph(rate(F.col("graph_calls") > 0)).alias("graph_participation_rate"), graph(rate(F.col("graph_contexts") > 0)).alias("graph_evidence_entering_top_k_rate"),
+        F.round(F.avg(F.when(done, F.col("latency_ms"))), 3).alias("latency_avg_ms"), rank(0.5).alias("latency_p50_ms"), rank(0.95).alias("latency_p95_ms"),
+        calls("answer_calls").alias("answers"), calls("embedding_calls").alias("embedding_logical_calls"), calls("graph_calls").alias("neo4j_logical_calls"),
+    )
+    whole = whole.join(plans, "mode").withColumn("chat_logical_calls", F.col("plans") + F.col("answers")).drop("plans", "answers")
+    told = results.withColumn("of", summary_category(F.col("category"))).groupBy("mode", "of").agg(over(yes("correct_v2")).alias("right"), n.alias("all"))
+    every = results.select("mode").distinct().select("mode", F.explode(F.array(*[F.lit(c) for c in CATEGORIES])).alias("of"))
+    per = every.join(told, ["mode", "of"], "left").select("mode", F.col("of").alias("category"), F.coalesce("right", F.lit(0)).cast("long").alias("correct"), F.coalesce("all", F.lit(0)).alias("questions"), F.round(F.col("right") / F.col("all"), 3).alias("accuracy"))
+    return whole.unionByName(per, allowMissingColumns=True)
 
 
 def operations_in(operations: DataFrame, states: tuple[str, ...]) -> DataFrame:
     return operations.where(F.col("status").isin(*states))
 
 
-def recovery_actions(operations: DataFrame) -> DataFrame:
-    """(operation_id, action) of operations (operation_id, operation_type, status, hidden, n_left): what recovery does with those that are
-    not finished. A delete first hides a document from search and then removes its data; once hidden it may only go forward."""
-    gone = (F.col("operation_type") == "delete") & F.col("hidden")
-    action = (
-        F.when(F.col("status") == "needs_reconciliation", "report").when(gone & (F.col("n_left") > 0), "resume_cleanup").when(gone, "finish")
-        .when(F.col("status") == "cleanup_pending", "resume_cleanup").otherwise("compensate")
-    )
-    return operations_in(operations, INCOMPLETE).select("operation_id", action.alias("action"))
+def version_list(versions: DataFrame) -> DataFrame:
+    """All versions of each document, from the first on, with their place."""
+    w = Window.partitionBy("document_id").orderBy("version")
+    return versions.withColumn("nth", F.row_number().over(w))
 
 
-def version_list(versions: DataFrame, n: int = 20) -> DataFrame:
-    """The newest n versions of each document, newest first."""
-    w = Window.partitionBy("document_id").orderBy(F.col("version").desc())
-    return versions.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
+def document_list(documents: DataFrame, namespace: str | None = None) -> DataFrame:
+    """Documents (document_id, namespace, updated_at, ...), of one namespace if it is given, latest first; sorted over all partitions."""
+    own = documents if namespace is None else documents.where(F.col("namespace") == namespace)
+    return own.orderBy(F.col("updated_at").desc(), "document_id")
 
 
 def subset(documents: DataFrame, questions: DataFrame, document_ids: DataFrame, question_ids: DataFrame) -> DataFrame:
@@ -98,20 +122,66 @@ def subset(documents: DataFrame, questions: DataFrame, document_ids: DataFrame,
     return a.union(b).union(c).union(empty(docs, "no_documents")).union(empty(asked, "no_questions")).distinct()
 
 
-def frozen_vectors(queries: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """(query_id, status, vector) of queries (query_id, text) against a snapshot (text_sha256, vector, vector_sha256): `missing`, `ambiguous`
-    or `corrupt` unless exactly one entry has the text's hash and the hash of its vector; only `ok` has a vector."""
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    entry = F.struct(F.col("vector"), (vector_hash(F.col("vector")) == F.col("vector_sha256")).alias("ok"))
-    held = snapshot.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n"), F.first(entry).alias("e"))
-    both = queries.select("query_id", key.alias("text_sha256")).join(held, "text_sha256", "left")
-    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").when(F.col("e.ok"), "ok").otherwise("corrupt")
-    return both.select("query_id", status.alias("status"), F.when(status == "ok", F.col("e.vector")).alias("vector"))
+def selected(documents: DataFrame, questions: DataFrame, document_ids: DataFrame, question_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents and the questions of a selection, in the fixture's order (column `position`), whatever the order asked for; nothing if `subset` finds
+    any error, so that no part of a selection passes for the whole."""
+    good = subset(documents, questions, document_ids, question_ids).agg((F.count(F.lit(1)) == 0).alias("good")).where("good").select()
+    own = lambda df, ids, id: df.join(ids.select(id).distinct(), id, "left_semi").join(F.broadcast(good), F.lit(True), "left_semi").orderBy("position")
+    return own(documents, document_ids, "document_id"), own(questions, question_ids, "question_id")
+
+
+def planned_queries(plans: DataFrame) -> DataFrame:
+    """(question_id, query_ordinal, query_text_sha256, plan_hash, valid) of plans (question_id, plan_hash, queries): ordinals from 0. Not valid: a plan without
+    question or hash, a blank query, a question's ordinal that comes twice."""
+    each = plans.select(F.coalesce("question_id", F.lit("")).alias("question_id"), F.coalesce("plan_hash", F.lit("")).alias("plan_hash"), F.posexplode_outer("queries").alias("query_ordinal", "query"))
+    query = strip(F.coalesce("query", F.lit("")))
+    alone = F.count(F.lit(1)).over(Window.partitionBy("question_id", "query_ordinal")) == 1
+    return each.select("question_id", "query_ordinal", F.sha2(query, 256).alias("query_text_sha256"), "plan_hash", ((F.col("question_id") != "") & (F.col("plan_hash") != "") & (query != "") & alone).alias("valid"))
 
 
 def vector_hash(v: Column) -> Column:
-    """SHA-256 of a vector's numbers in millionths."""
-    return F.sha2(F.array_join(F.transform(v, lambda x: F.floor(x * 1_000_000).cast("long").cast("string")), ","), 256)
+    """SHA-256 of a vector as a JSON array of numbers."""
+    return F.sha2(F.to_json(F.transform(v, lambda x: x.cast("double"))), 256)
+
+
+RECORD = ("run_id", "question_id", "query_ordinal", "query_text_sha256", "plan_hash", "embedding", "vector_dimension", "vector_sha256")
+
+
+def record_hash(prefix: str = "") -> Column:
+    """SHA-256 of a record's identity: all but the vector itself and this hash."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in RECORD])), 256)
+
+
+def frozen(planned: DataFrame, vectors: DataFrame, run_id: str, embedding: Column) -> DataFrame:
+    """Snapshot records of planned queries with their vectors (question_id, query_ordinal, vector)."""
+    rows = planned.where("valid").join(vectors.select("question_id", "query_ordinal", "vector"), ["question_id", "query_ordinal"]).select(
+        F.lit(run_id).alias("run_id"), "question_id", "query_ordinal", "query_text_sha256", "plan_hash", embedding.alias("embedding"), F.size("vector").alias("vector_dimension"), vector_hash(F.col("vector")).alias("vector_sha256"), "vector")
+    return rows.withColumn("snapshot_hash", record_hash())
+
+
+def root_hash(records: DataFrame) -> DataFrame:
+    """(n, root): how many records a snapshot has, and a hash of all that doesn't depend on their order."""
+    return records.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.coalesce(F.sum(F.conv(F.substr("snapshot_hash", F.lit(1), F.lit(15)), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string"), 256).alias("root"))
+
+
+def frozen_vectors(planned: DataFrame, records: DataFrame, run_id: str, embedding: Column, dimension: int, root: str | None) -> DataFrame:
+    """(question_id, query_ordinal, status, vector) of planned queries against a snapshot's records. root: what `root_hash` gave when it was complete.
+
+    `incomplete` without a root, `root_mismatch` if records came, went or changed since; `invalid_plan`; `missing` or `ambiguous` unless one record is of
+    the question and ordinal; `mismatch` unless run, plan, text, embedding, dimension, finite numbers and both hashes are right. Only `ok` has a vector."""
+    right = (
+        (F.col("r.run_id") == run_id) & (F.col("r.plan_hash") == F.col("plan_hash")) & (F.col("r.query_text_sha256") == F.col("query_text_sha256")) & (F.col("r.embedding") == embedding)
+        & (F.col("r.vector_dimension") == dimension) & (F.size("r.vector") == dimension) & F.forall("r.vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        & (F.col("r.vector_sha256") == vector_hash(F.col("r.vector"))) & (F.col("r.snapshot_hash") == record_hash("r."))
+    )
+    now = root_hash(records).select("root")
+    held = records.select("question_id", "query_ordinal", F.struct(*records.columns).alias("r")).groupBy("question_id", "query_ordinal").agg(F.count(F.lit(1)).alias("n"), F.first("r").alias("r"))
+    both = planned.join(held, ["question_id", "query_ordinal"], "left").crossJoin(F.broadcast(now))  # one row
+    status = (
+        F.when(F.lit(root is None), "incomplete").when(F.col("root") != F.lit(root), "root_mismatch").when(~F.col("valid"), "invalid_plan").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous")
+        .when(F.coalesce(right, F.lit(False)), "ok").otherwise("mismatch")
+    )
+    return both.select("question_id", "query_ordinal", status.alias("status"), F.when(status == "ok", F.col("r.vector")).alias("vector"))
 
 
 def same_results(plain: DataFrame, traced: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions.text import lexical_tokens
+from ..storage import staged
 
 K1, B = 1.5, 0.75
 #: Queries of one pass over the vectors: what a task holds besides a batch.
@@ -30,31 +36,125 @@ def eligible(df: DataFrame) -> DataFrame:
     return df.where((F.col("status") == "ready") & F.col("is_current"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, query: str = "query_id", query_text: str = "query", chunk: list[str] | None = None, text: str = "content", allowed: DataFrame | None = None, tokens=lexical_tokens) -> DataFrame:
+def bm25_index(chunks: DataFrame, chunk: list[str] | None = None, text: str = "content") -> DataFrame:
+    """(*chunk, len, terms, counts) of each chunk, staged: its tokens by the exact folding, counted within the row. Nothing is exchanged."""
+    chunk = chunk or ["doc_id", "chunk_index"]
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in chunk)
+    return staged(chunks.select(*chunk, F.col(text).alias("_text")).mapInArrow(_counted(chunk), f"{kinds}, len int, terms array<string>, counts array<int>"), "bm25")
+
+
+def _counted(chunk: list[str]):
+    def run(batches):
+        for batch in batches:
+            held = [exact.tokens(x) for x in batch.column("_text").to_pylist()]
+            each = [Counter(x) for x in held]
+            at = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
+            terms = pa.array([t for x in each for t in x], pa.string())
+            counts = pa.array([n for x in each for n in x.values()], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in chunk], pa.array([len(x) for x in held], pa.int32()), pa.ListArray.from_arrays(pa.array(at), terms), pa.ListArray.from_arrays(pa.array(at), counts)],
+                names=[*chunk, "len", "terms", "counts"],
+            )
+
+    return run
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, query: str = "query_id", query_text: str = "query", chunk: list[str] | None = None, text: str = "content", allowed: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """(query, *chunk, score, rank): the k best chunks of each query.
 
-    A query term counts as often as it occurs in the query. Statistics are over all chunks; the scope comes
-    after. Chunks are tokenised once; query terms are counted before anything is sent, and only counts and each chunk's length leave
-    the scan, in one exchange that statistics and scores share."""
+    A query term counts as often as it occurs in the query. Statistics are over all chunks; the scope comes after, and before ranking. Chunks are
+    read and tokenised once, into an index (given, or made here) of terms with their counts; it is read once for the statistics, of which one
+    row for each query term comes back, and once for each QUERY_BLOCK queries for the scores. A task keeps the k best chunks of each query, so only those are exchanged."""
     chunk = chunk or ["doc_id", "chunk_index"]
-    asked = queries.select(F.col(query).alias("q"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times"))
-    few = asked.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    near = F.broadcast if few else (lambda x: x)  # nothing of these has more rows than the queries have terms
-    asked = near(asked)
-    whole = F.lit("").alias("term")  # no term is empty: this one stands for the length of a chunk
-    terms = near(asked.select("term").distinct().unionByName(queries.sparkSession.range(1).select(whole)))
-    tokenised = chunks.select(*chunk, tokens(F.col(text)).alias("tokens"))
-    each = tokenised.select(*chunk, F.size("tokens").alias("len"), F.explode(F.concat(F.array(whole), "tokens")).alias("term"))
-    tf = each.join(terms, "term", "left_semi").groupBy(*chunk, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("len"))
-    whole = stats.where("term = ''").select(F.col("df").alias("n"), F.greatest(F.col("len") / F.col("df"), F.lit(1.0)).alias("avgdl"))
-    df = near(stats.where("term <> ''").select("term", "df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    hits = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(whole))  # whole is one row
-    scores = scoped(hits.groupBy("q", *chunk).agg(F.sum(part).alias("raw")), allowed, chunk[0]).where("raw > 0")
-    w = Window.partitionBy("q").orderBy(F.round("raw", 8).desc(), *chunk)
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query), *chunk, F.round("raw", 8).alias("score"), "rank")
+    index = bm25_index(chunks, chunk, text) if index is None else index
+    whole = index.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avgdl")).first()
+    asked = queries.select(F.col(query).alias("q"), F.col(query_text).alias("text"))
+    kinds = ", ".join(f"{c} {index.schema[c].dataType.simpleString()}" for c in chunk)
+    schema = f"q {queries.schema[query].dataType.simpleString()}, {kinds}, score double"
+    pool, out = scoped(index, allowed, chunk[0]), None
+    for rows in blocks_of(asked, "q"):
+        found = _Block([r.q for r in rows], [r.text for r in rows])
+        if not found.terms:
+            continue
+        names = asked.sparkSession.createDataFrame([(t,) for t in found.terms], "term string")
+        df = index.select(F.explode("terms").alias("term")).join(F.broadcast(names), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # of one block's queries
+        found.weigh({r.term: r.df for r in df.collect()}, whole.n)
+        part = pool.mapInArrow(_best(found, chunk, whole.avgdl, k), schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = asked.sparkSession.createDataFrame([], schema)
+    w = Window.partitionBy("q").orderBy(F.col("score").desc(), *chunk)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query), *chunk, "score", "rank")
+
+
+class _Block:
+    """The queries of a block, by term: which of them ask for it, and its weight for each."""
+
+    def __init__(self, names: list, texts: list[str | None]):
+        self.names = names
+        asked: dict[str, list[tuple[int, int]]] = {}
+        for q, text in enumerate(texts):
+            for term, times in Counter(exact.tokens(text)).items():
+                asked.setdefault(term, []).append((q, times))
+        self.terms = {t: i for i, t in enumerate(asked)}
+        self.at = np.concatenate(([0], np.cumsum([len(x) for x in asked.values()]))).astype(np.int64)
+        self.query = np.array([q for x in asked.values() for q, _ in x], np.int64)
+        self.weight = np.array([n for x in asked.values() for _, n in x], np.float64)
+
+    def weigh(self, df: dict[str, int], n: int) -> None:
+        held = np.array([df.get(t, 0) for t in self.terms], np.float64)
+        self.weight *= np.repeat(np.log(1 + (n - held + 0.5) / (held + 0.5)), np.diff(self.at))
+
+    def scores(self, row: np.ndarray, term: np.ndarray, part: np.ndarray, rows: int) -> np.ndarray:
+        """rows x queries, from postings (row, term, part)."""
+        n = self.at[term + 1] - self.at[term]
+        place = np.repeat(self.at[term], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        flat = np.bincount(np.repeat(row, n) * len(self.names) + self.query[place], np.repeat(part, n) * self.weight[place], rows * len(self.names))
+        return flat.reshape(rows, len(self.names))
+
+
+def _best(found: _Block, chunk: list[str], avgdl: float, k: int):
+    """Each task's k best chunks of each query, ties by the chunk's columns."""
+    def run(batches):
+        held: list[pd.DataFrame] = []
+
+        def kept() -> pd.DataFrame:
+            whole = pd.concat(held).sort_values(["_q", "score", *chunk], ascending=[True, False, *[True] * len(chunk)], kind="stable")
+            return whole.groupby("_q", sort=False).head(k)
+
+        kind = pa.array(found.names).type
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch, [(c, "ascending") for c in chunk]))
+            terms = batch.column("terms")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
+            term = np.fromiter((found.terms.get(t, -1) for t in terms.flatten().to_pylist()), np.int64, len(row))
+            tf, size = batch.column("counts").flatten().to_numpy().astype(np.float64), batch.column("len").to_numpy()
+            some = term >= 0
+            row, term, tf = row[some], term[some], tf[some]
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / avgdl))
+            score = np.round(found.scores(row, term, part, batch.num_rows), 8)
+            top = np.argsort(-score, axis=0, kind="stable")[:k]
+            best = np.take_along_axis(score, top, 0)
+            at, q = np.nonzero(best > 0)
+            own = batch.select(chunk).take(pa.array(top[at, q])).to_pandas()
+            held.append(own.assign(_q=q, score=best[at, q]))
+            if sum(map(len, held)) > 4 * k * len(found.names) + 10_000:
+                held[:] = [kept()]
+        if held:
+            last = kept()
+            yield pa.RecordBatch.from_arrays([pa.array([found.names[i] for i in last["_q"]], kind), *[pa.array(last[c]) for c in chunk], pa.array(last["score"])], names=["q", *chunk, "score"])
+
+    return run
+
+
+def blocks_of(queries: DataFrame, by: str, size: int | None = None):
+    """The rows of queries in blocks that a task can hold, in order."""
+    size = size or QUERY_BLOCK
+    held = staged(queries.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(by), F.lit(64))).orderBy(by)) - 1) / max(1, size // 64))), "queries")
+    for n in range((held.agg(F.max("_block")).first()[0] or 0) + 1):
+        rows = held.where(F.col("_block") == n).drop("_block").orderBy(by).collect()
+        if rows:
+            yield rows
 
 
 def term_statistics(chunks: DataFrame, text: str = "content", tokens=lexical_tokens) -> DataFrame:
@@ -92,13 +192,10 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query: str = "qu
     pool = pool.where(finite(F.col(vector))).select(F.col(id).alias("id"), F.col(vector).alias("v"))
     kind = vectors.schema[id].dataType.simpleString()
     asked = queries.where(finite(F.col(vector))).select(F.col(query).alias("q"), F.col(vector).alias("v"))
-    blocks = asked.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("q"), F.lit(64))).orderBy("q")) - 1) / (QUERY_BLOCK // 64)))
     out = None
-    for n in range((blocks.agg(F.max("block")).first()[0] or 0) + 1):
-        rows = blocks.where(F.col("block") == n).orderBy("q").collect()
-        if rows:
-            part = pool.mapInArrow(_nearest([r.q for r in rows], [list(r.v) for r in rows], fetch, skip_self), f"q {queries.schema[query].dataType.simpleString()}, id {kind}, score double")
-            out = part if out is None else out.unionByName(part)
+    for rows in blocks_of(asked, "q"):
+        part = pool.mapInArrow(_nearest([r.q for r in rows], [list(r.v) for r in rows], fetch, skip_self), f"q {queries.schema[query].dataType.simpleString()}, id {kind}, score double")
+        out = part if out is None else out.unionByName(part)
     if out is None:
         out = asked.sparkSession.createDataFrame([], f"q {queries.schema[query].dataType.simpleString()}, id {kind}, score double")
     w = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import load
 from ..storage import folder
-from . import docstore
+from . import docstore, versions
 from .catalog import query
 
 #: Of 41 documents in a row, those whose update can't take a step, and the step.
@@ -92,3 +92,111 @@ def document_operations(spark, d):
         F.concat(F.array_join("completed", ","), F.lit("|"), F.array_join("compensated", ",")).alias("steps"),
     )
     return held.unionByName(told)
+
+
+_STATUSES = ("pending", "running", "compensating", "cleanup_pending", "needs_reconciliation", "succeeded", "failed")
+_NOW = "2026-01-01 00:00:00"
+
+
+
+@query(f"""WITH o0 AS (SELECT CAST(event_id AS VARCHAR) AS id, event_id // 2 AS doc, event_id % 2 AS half, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'update' END AS kind, {list(_STATUSES)}[event_id % 7 + 1] AS status,
+  user_id % 4 > 0 AS has_previous, {_STEPS_SQL}[1:1 + user_id % 10] AS steps, CASE WHEN event_id % 3 = 0 THEN ['graph_deactivated'] ELSE [] END AS undone FROM events),
+o AS (SELECT *, doc % 6 = 0 AS leased, CASE WHEN kind = 'delete' THEN ['mongo_reserved', 'mongo_deleting'] ELSE steps END AS done FROM o0 WHERE status IN ('running', 'compensating', 'cleanup_pending', 'needs_reconciliation')),
+a AS (SELECT *, CASE WHEN leased AND status = 'running' THEN 'skip' WHEN leased AND half = 1 THEN 'busy' WHEN kind = 'delete' AND status = 'cleanup_pending' THEN 'resume_cleanup' ELSE 'compensate' END AS action FROM o),
+w AS (SELECT *, list_filter(CASE action WHEN 'resume_cleanup' THEN ['vector_cleaned', 'graph_cleaned', CASE WHEN doc % 5 > 0 THEN 'chunk_cleaned' END] WHEN 'compensate' THEN list_filter([
+    CASE WHEN 'chunk_activated' IN done THEN 'chunk_deactivated' END, CASE WHEN 'graph_activated' IN done THEN 'graph_deactivated' END, CASE WHEN 'vector_activated' IN done THEN 'vector_deactivated' END,
+    CASE WHEN 'graph_stage_committed' IN done OR 'graph_staged' IN done THEN 'graph_stage_deleted' END, CASE WHEN 'vector_staged' IN done THEN 'vector_stage_deleted' END, CASE WHEN 'chunk_staged' IN done THEN 'chunk_stage_deleted' END,
+    CASE WHEN has_previous AND 'vector_activated' IN done THEN 'previous_vector_restored' END, CASE WHEN has_previous AND 'graph_activated' IN done THEN 'previous_graph_restored' END, CASE WHEN has_previous AND 'chunk_activated' IN done THEN 'previous_chunk_restored' END],
+    lambda x: x NOT IN undone) ELSE [] END, lambda x: x IS NOT NULL) AS wanted FROM a),
+u AS (SELECT *, list_filter(wanted, lambda x: (x = 'vector_stage_deleted' AND doc % 11 = 0) OR (x = 'graph_cleaned' AND doc % 13 = 0) OR (x IN ('previous_vector_restored', 'previous_chunk_restored') AND doc % 3 = 0)) AS unable FROM w)
+SELECT id AS operation_id, action, array_to_string(CASE WHEN action = 'resume_cleanup' AND len(unable) > 0 THEN wanted[1:list_position(wanted, unable[1]) - 1]
+    WHEN action = 'compensate' AND len(unable) = 0 AND doc % 4 < 2 THEN wanted || ['mongo_failed'] ELSE list_filter(wanted, lambda x: x NOT IN unable) END, ',') AS steps,
+  CASE action WHEN 'resume_cleanup' THEN CASE WHEN len(unable) = 0 THEN 'succeeded' ELSE 'cleanup_pending' END WHEN 'compensate' THEN CASE WHEN len(unable) = 0 THEN 'failed' ELSE 'needs_reconciliation' END ELSE status END AS new_status FROM u""")
+def recovery_actions(spark, d):
+    """Events stand for operations, two for each document; every sixth document is leased by its first one, and stores hold or lack versions by document."""
+    e = load(spark, d, "events").withColumn("document_id", F.floor(F.col("event_id") / 2).cast("long"))
+    doc, user, none = F.col("document_id"), F.col("user_id"), F.array().cast("array<string>")
+    words = lambda xs: F.array(*[F.lit(x) for x in xs])
+    delete = F.col("event_type") == "error"
+    operations = e.select(
+        F.col("event_id").cast("string").alias("operation_id"), F.when(delete, "delete").otherwise("update").alias("operation_type"), "document_id", F.lit(2).cast("long").alias("version"), F.when(user % 4 > 0, F.lit(1).cast("long")).alias("previous_version"),
+        F.element_at(words(_STATUSES), (F.col("event_id") % 7 + 1).cast("int")).alias("status"), F.when(delete, words(("mongo_reserved", "mongo_deleting"))).otherwise(F.slice(words(docstore.UPDATE), F.lit(1), (1 + user % 10).cast("int"))).alias("completed"),
+        F.when(F.col("event_id") % 3 == 0, words(("graph_deactivated",))).otherwise(none).alias("compensated"),
+    )
+    docs = e.select("document_id").distinct()
+    now = F.lit(_NOW).cast("timestamp")
+    locks = docs.where(doc % 3 == 0).select("document_id", (doc * 2).cast("string").alias("operation_id"), F.when(doc % 6 == 0, now + F.expr("interval 1 minute")).otherwise(now).alias("expires_at"))
+    held = lambda store, version, status, where: docs.where(where).select(F.lit(store).alias("store"), "document_id", F.lit(version).cast("long").alias("version"), status.alias("status"))
+    ready = F.lit("ready")
+    now_in = held("registry", 2, F.when(doc % 4 == 0, "processing").when(doc % 4 == 1, "deleting").when(doc % 4 == 2, "deleted").otherwise("ready"), "true").unionByName(held("catalog", 2, ready, "document_id % 5 > 0"))
+    for store in docstore.NEEDS_ROWS:
+        now_in = now_in.unionByName(held(store, 1, ready, "document_id % 3 > 0"))
+    broken = docs.where("document_id % 11 = 0").select("document_id", F.lit("vector_stage_deleted").alias("step")).unionByName(docs.where("document_id % 13 = 0").select("document_id", F.lit("graph_cleaned").alias("step")))
+    return docstore.recovery(operations, now_in, locks, now, broken).select("operation_id", "action", F.array_join("steps", ",").alias("steps"), "new_status")
+
+
+# --- streams
+
+@query("""WITH e AS (SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS resource_path, ts, CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS operation,
+  user_id % 12 AS m, event_id % 4 AS k, event_id % 4 + CAST(floor(value) AS BIGINT) % 12 AS n, event_id % 7 = 0 AS bare FROM events),
+c AS (SELECT *, CASE WHEN bare THEN n - k + 1 ELSE greatest(0, n - greatest(k, m + 1) + 1) END AS added, CASE WHEN bare THEN 0 ELSE m + 1 - greatest(0, least(n, m) - k + 1) END AS gone, n - k + 1 + CASE WHEN bare THEN 0 ELSE m + 1 END AS lines FROM e)
+SELECT event_id, resource_path, operation, row_number() OVER (PARTITION BY resource_path ORDER BY ts, event_id) AS version,
+  CASE operation WHEN 'DELETE' THEN -1 WHEN 'INSERT' THEN 1 ELSE CASE WHEN bare THEN 0 WHEN (added + gone) / lines > 0.3 THEN added ELSE greatest(1, added // 10) END END AS chunks_affected,
+  CASE operation WHEN 'DELETE' THEN -1 WHEN 'INSERT' THEN 1 ELSE 0 END AS entities_affected FROM c""")
+def cdc_consumer(spark, d):
+    """Events as changes of users' texts, taken by the consumer from a stream over the file. Every seventh has no text before."""
+    from ..streaming import cdc as stream
+    from ..streaming.consumer import ChangeConsumer
+
+    at = folder(spark, "changes")
+    events = stream.event_stream(spark, f"{d}/event[s].parquet", load(spark, d, "events").schema)
+    consumer = ChangeConsumer(spark, f"{at}/tables")
+    consumer.start(changes_of(events), f"{at}/checkpoint").awaitTermination()
+    return consumer.results().select("event_id", "resource_path", "operation", "version", "chunks_affected", "entities_affected")
+
+
+def changes_of(events):
+    id, user = F.col("event_id"), F.col("user_id")
+    text = lambda a, b: F.array_join(F.transform(F.sequence(a, b), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n")
+    first = id % 4
+    content = lambda c: F.map_from_arrays(F.array(F.lit("content")), F.array(c))
+    op = F.when(F.col("event_type") == "signup", "INSERT").when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
+    return events.select(
+        id.cast("string").alias("event_id"), op.alias("operation"), user.cast("string").alias("resource_path"), (F.unix_micros("ts") / 1e6).alias("timestamp"),
+        F.when(id % 7 != 0, content(text(F.lit(0).cast("long"), user % 12))).alias("before"), content(text(first, first + F.floor("value").cast("long") % 12)).alias("after"),
+    )
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id AS doc, 'w' || (event_id % 3) AS op, CASE WHEN event_type = 'error' THEN 'release' ELSE 'acquire' END AS kind, ts, 3600 * (1 + event_id % 24) AS secs,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, 'w' || (event_id % 3), CASE WHEN event_type = 'error' THEN 'release' ELSE 'acquire' END) AS n FROM events),
+f(doc, n, holder, ends, lost, lost_at, op, asked, outcome) AS (SELECT DISTINCT doc, 0, CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR) FROM r
+  UNION ALL SELECT r.doc, r.n,
+    CASE WHEN kind = 'release' THEN CASE WHEN h = r.op THEN NULL ELSE h END WHEN h IS NOT NULL AND h <> r.op THEN h ELSE r.op END,
+    CASE WHEN kind = 'release' THEN CASE WHEN h = r.op THEN NULL ELSE f.ends END WHEN h IS NOT NULL AND h <> r.op THEN f.ends ELSE r.ts + to_seconds(secs) END,
+    CASE WHEN f.ends <= r.ts THEN f.holder END, CASE WHEN f.ends <= r.ts THEN f.ends END, r.op, r.ts,
+    CASE WHEN kind = 'release' THEN CASE WHEN h = r.op THEN 'released' ELSE 'not_held' END WHEN h IS NULL THEN 'granted' WHEN h = r.op THEN 'renewed' ELSE 'busy' END
+  FROM (SELECT *, CASE WHEN ends <= (SELECT ts FROM r x WHERE x.doc = f0.doc AND x.n = f0.n + 1) THEN NULL ELSE holder END AS h FROM f f0) f JOIN r ON r.doc = f.doc AND r.n = f.n + 1)
+SELECT doc AS document_id, op AS operation_id, asked AS "at", outcome FROM f WHERE n > 0 UNION ALL SELECT doc, lost, lost_at, 'expired' FROM f WHERE lost IS NOT NULL
+UNION ALL SELECT doc, holder, ends, 'expired' FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC) AS l FROM f) WHERE l = 1 AND holder IS NOT NULL""")
+def lease_timers(spark, d):
+    """Events as requests of three workers for the leases of users; all leases have ended by the end."""
+    from ..streaming import timers
+
+    e = load(spark, d, "events")
+    wants = e.select(
+        F.col("user_id").alias("document_id"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("operation_id"), F.when(F.col("event_type") == "error", "release").otherwise("acquire").alias("kind"),
+        F.col("ts").cast("timestamp").alias("at"), (3600 * (1 + F.col("event_id") % 24)).cast("int").alias("seconds"),
+    )
+    return timers.lease_outcomes(wants, "2100-01-01 00:00:00")
+
+
+@query("SELECT doc_id AS id, lang, source, n_chars, sha256(coalesce(text, '')) AS content_hash FROM documents")
+def migration_run(spark, d):
+    """Documents' identities copied in eight batches by a run that is stopped after three and then resumed; the rows are those of the source."""
+    source = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars", "text")
+    at = folder(spark, "migration")
+    change = lambda rows: rows.withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
+    versions.Migration(spark, at).run(source, 8, change=change, most=3)
+    again = versions.Migration(spark, at)
+    again.run(source, 8, change=change)
+    return again.rows().select("id", "lang", "source", "n_chars", "content_hash")

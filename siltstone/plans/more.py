@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, evaluation, graph, hybrid, memory
+from ..operators import contain, context, evaluation, graph, hybrid, memory
 from ..session import load
 from ..sources import files, journal
 from . import versions
@@ -147,11 +147,22 @@ def failure_categories(spark, d):
     return load(spark, d, "orders").select("o_orderkey", T.failure_category(status, F.when(m == 3, "ReadTimeout").otherwise("Other")).alias("category"))
 
 
-@query("SELECT a.n_name AS one, b.n_name AS two FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND (contains(lower(replace(replace(replace(a.n_name, ' ', ''), '-', ''), '_', '')), lower(replace(replace(replace(b.n_name, ' ', ''), '-', ''), '_', ''))) OR contains(lower(replace(replace(replace(b.n_name, ' ', ''), '-', ''), '_', '')), lower(replace(replace(replace(a.n_name, ' ', ''), '-', ''), '_', ''))))")
+_KEY_SQL = "lower(replace(replace(replace({}, ' ', ''), '-', ''), '_', ''))"
+
+
+@query(f"""WITH one AS (SELECT DISTINCT c_name AS one FROM customer UNION SELECT p_name FROM part UNION SELECT n_name FROM nation),
+two AS (SELECT replace(p_name, ' ', '-') AS two FROM part UNION SELECT split_part(p_name, ' ', 2) FROM part UNION SELECT upper(p_name) || '_' || p_size FROM part WHERE p_partkey % 50 = 0 UNION SELECT substr(c_name, 1, 17) FROM customer WHERE c_custkey % 50 = 0 UNION SELECT 'N'),
+k AS (SELECT one, {_KEY_SQL.format('one')} AS x FROM one), l AS (SELECT two, {_KEY_SQL.format('two')} AS y FROM two)
+SELECT one, two FROM k JOIN l ON length(x) >= 2 AND length(y) >= 2 AND (contains(x, y) OR contains(y, x))""")
 def alias_endpoints(spark, d):
-    n = load(spark, d, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("one")), n.select(F.col("n_nationkey").alias("j"), F.col("n_name").alias("two"))
-    return a.join(F.broadcast(b), (F.col("i") < F.col("j")) & T.alias_match(F.col("one"), F.col("two"))).select("one", "two")
+    """Names of customers, parts and nations against other spellings: with hyphens, in part, longer ones, cut ones."""
+    c, p = load(spark, d, "customer"), load(spark, d, "part")
+    name = lambda df, column, as_: df.select(column.alias(as_))
+    one = name(c, F.col("c_name"), "one").union(name(p, F.col("p_name"), "one")).union(name(load(spark, d, "nation"), F.col("n_name"), "one"))
+    some = p.where("p_partkey % 50 = 0")
+    two = name(p, F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), "two").union(name(p, F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)), "two"))
+    two = two.union(name(some, F.concat(F.upper("p_name"), F.lit("_"), F.col("p_size").cast("string")), "two")).union(name(c.where("c_custkey % 50 = 0"), F.substr("c_name", F.lit(1), F.lit(17)), "two")).union(spark.range(1).select(F.lit("N")))
+    return contain.aliases(one.distinct(), two.distinct())
 
 
 @query("SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY conv_id")

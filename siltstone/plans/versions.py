@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import safe_key
+from ..storage import Log
+
 #: States and the steps that are allowed between them.
 TRANSITIONS = {"processing": ("ready", "failed"), "ready": ("processing", "deleting"), "failed": ("processing",), "deleting": ("deleted", "failed"), "deleted": ()}
 #: Steps of an update in order; compensation undoes the completed ones backwards.
@@ -18,8 +22,10 @@ def content_hash(text: Column) -> Column:
 def reserve(registry: DataFrame, uploads: DataFrame) -> DataFrame:
     """(namespace, logical_key, arrival, content_hash, version, outcome) of uploads in order of `arrival`: content that any version of the
     document has, whatever its state, is `unchanged` and gets that version; other content gets the next number when it first arrives.
-    registry: namespace, logical_key, version, content_hash."""
+    Names are made safe, so that those without one share `unnamed`. registry: namespace, logical_key, version, content_hash."""
     keys = ["namespace", "logical_key"]
+    safe = {k: safe_key(F.coalesce(F.col(k), F.lit(""))) for k in keys}
+    registry, uploads = registry.withColumns(safe), uploads.withColumns(safe)
     known = registry.groupBy(*keys, "content_hash").agg(F.min("version").cast("long").alias("version"))
     top = registry.groupBy(*keys).agg(F.max("version").alias("top"))
     first = uploads.groupBy(*keys, "content_hash").agg(F.min("arrival").alias("first"))
@@ -42,13 +48,23 @@ def allowed(before: Column, after: Column) -> Column:
 
 
 def replay(events: DataFrame, key: str = "document_id", order: str = "seq") -> DataFrame:
-    """(key, seq, status, before, ok) of status events: each against the state that the document is in. A refused step changes nothing."""
-    steps = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "status"))).alias("e"))
-    rules = " or ".join(f"(s.now = '{a}' and x.status in ({', '.join(repr(b) for b in bs)}))" for a, bs in TRANSITIONS.items() if bs)
-    fold = f"""aggregate(e, cast(named_struct('now', null, 'out', array()) as struct<now:string,out:array<struct<seq:bigint,status:string,was:string,ok:boolean>>>),
-      (s, x) -> named_struct('now', if((s.now is null and x.status = 'processing') or coalesce({rules}, false), x.status, s.now),
-        'out', concat(s.out, array(named_struct('seq', cast(x.{order} as bigint), 'status', x.status, 'was', s.now, 'ok', (s.now is null and x.status = 'processing') or coalesce({rules}, false))))), s -> s.out)"""
-    return steps.select(key, F.explode(F.expr(fold)).alias("o")).select(key, F.col("o.seq").alias(order), "o.status", F.col("o.was").alias("before"), "o.ok")
+    """(key, seq, status, before, ok) of status events: each against the state that the document is in. A refused step changes nothing. Events come
+    sorted by document, so a task keeps the state of one at a time, however many events it has."""
+    def run(batches):
+        of, now = object(), None
+        for batch in batches:
+            before, ok = [], []
+            for k, status in zip(batch.column(key).to_pylist(), batch.column("status").to_pylist(), strict=True):
+                if k != of:
+                    of, now = k, None
+                good = status == "processing" if now is None else status in TRANSITIONS.get(now, ())
+                before.append(now)
+                ok.append(good)
+                now = status if good else now
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (key, order, "status")], pa.array(before, pa.string()), pa.array(ok, pa.bool_())], names=[key, order, "status", "before", "ok"])
+
+    rows = events.select(key, F.col(order).cast("long").alias(order), "status").repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInArrow(run, f"{key} {events.schema[key].dataType.simpleString()}, {order} long, status string, before string, ok boolean")
 
 
 def activated(pointers: DataFrame, changes: DataFrame) -> DataFrame:
@@ -110,3 +126,47 @@ def migration_plan(source: DataFrame, target: DataFrame, size: int = 10) -> Data
     left = source.join(target.select("id"), "id", "left_anti")
     w = Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(256))).orderBy("id")
     return left.withColumn("batch", F.concat(F.pmod(F.xxhash64("id"), F.lit(256)).cast("string"), F.lit("-"), F.floor((F.row_number().over(w) - 1) / size).cast("string")))
+
+
+class Migration:
+    """Copies rows of a source that is only read into a table of files, in batches, with a manifest: a batch that the manifest has isn't
+    made again, so a run that was stopped goes on where it ended, and the result is that of one run.
+
+    The manifest's first entry is the plan: the number of batches and the digest of the source's rows. If the source has changed since, the run
+    stops, as parts of both would be mixed. A batch is rows whose hash falls to it, so that it can be made from one filtered read; its entry
+    holds how many rows it has and their digest, and `verify` compares them with what is stored."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+        self.manifest = Log(spark, f"{path}/manifest", "batch int, n long, digest string")
+
+    @staticmethod
+    def digest(rows: DataFrame) -> DataFrame:
+        """(n, digest) of rows in any order: the sum of their hashes."""
+        return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+    def run(self, source: DataFrame, batches: int, id: str = "id", change=lambda rows: rows, most: int | None = None) -> int:
+        """Makes what is missing, at most `most` batches, and returns how many were made. change: what becomes of the rows."""
+        whole = self.digest(source).withColumn("batch", F.lit(-batches))
+        if not self.manifest.commit("plan", whole):
+            old, new = self.manifest.read().where("batch < 0").first(), whole.first()
+            if (old.batch, old.n, old.digest) != (-batches, new.n, new.digest):
+                raise ValueError("the source or the number of batches isn't that of the plan")
+        todo = [b for b in range(batches) if not self.manifest.has(f"batch-{b}")][:most]
+        for b in todo:
+            rows = change(source.where(F.pmod(F.xxhash64(id), F.lit(batches)) == b))
+            rows.write.mode("overwrite").parquet(f"{self.path}/data/batch={b}")
+            self.manifest.commit(f"batch-{b}", self.digest(self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/batch={b}")).withColumn("batch", F.lit(b)))
+        return len(todo)
+
+    def rows(self) -> DataFrame:
+        """The rows of batches that the manifest has."""
+        done = [b.removeprefix("batch-") for b in self.manifest.commits() if b.startswith("batch-")]
+        return self.spark.read.option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/batch={b}" for b in done]).drop("batch")
+
+    def verify(self, columns: list[str]) -> DataFrame:
+        """(batch, n, stored, same) of the manifest's batches against what is stored."""
+        held = self.spark.read.parquet(f"{self.path}/data")
+        found = held.groupBy("batch").agg(F.count(F.lit(1)).alias("stored"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("found"))
+        told = self.manifest.read().where("batch >= 0").join(found, "batch", "left")
+        return told.select("batch", "n", F.coalesce("stored", F.lit(0)).alias("stored"), (F.col("digest") == F.coalesce("found", F.lit("0"))).alias("same"))

@@ -36,6 +36,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return at
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes to the shared folder and reads again: what is read more than once is made once, and lineage ends there."""
+    at = folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def _fs(spark: SparkSession, at: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path

@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import names
+
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of the files of a folder, or of a pattern; a single file is named by a pattern that fits it."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -58,3 +61,16 @@ def into_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "appen
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def complete_table(windows: DataFrame, at: str) -> DataFrame:
+    """Runs a stream of windows over what is there, keeping all of them, and returns the table that its last micro-batch left in folder `at`. A
+    micro-batch that is sent again replaces what it had written."""
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/batches/{batch_id:012d}")
+
+    q = windows.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark = windows.sparkSession
+    done = names(spark, f"{at}/batches")
+    return spark.read.schema(windows.schema).parquet(f"{at}/batches/{done[-1]}") if done else spark.createDataFrame([], windows.schema)

@@ -13,8 +13,12 @@ WANTS = "document_id long, operation_id string, kind string, at timestamp, secon
 OUTCOME = "document_id long, operation_id string, at timestamp, outcome string"
 
 
-def _step(held: tuple[str, float] | None, operation: str, kind: str, at: float, seconds: int) -> tuple[tuple[str, float] | None, list[tuple[str, float, str]]]:
-    """The lease after a request, and what came of it. held: (operation, end)."""
+def _micros(at: pd.Timestamp) -> int:
+    return at.value // 1000
+
+
+def _step(held: tuple[str, int] | None, operation: str, kind: str, at: int, seconds: int) -> tuple[tuple[str, int] | None, list[tuple[str, int, str]]]:
+    """The lease after a request, and what came of it. held: (operation, end); times in microseconds."""
     out = []
     if held and held[1] <= at:
         out.append((held[0], held[1], "expired"))
@@ -24,11 +28,11 @@ def _step(held: tuple[str, float] | None, operation: str, kind: str, at: float,
         return (None if ok else held), [*out, (operation, at, "released" if ok else "not_held")]
     if held and held[0] != operation:
         return held, [*out, (operation, at, "busy")]
-    return (operation, at + seconds), [*out, (operation, at, "renewed" if held else "granted")]
+    return (operation, at + seconds * 1_000_000), [*out, (operation, at, "renewed" if held else "granted")]
 
 
-def _told(key: int, rows: list[tuple[str, float, str]]) -> pd.DataFrame:
-    return pd.DataFrame({"document_id": pd.Series([key] * len(rows), dtype="int64"), "operation_id": [r[0] for r in rows], "at": pd.to_datetime([r[1] for r in rows], unit="s"), "outcome": [r[2] for r in rows]})
+def _told(key: int, rows: list[tuple[str, int, str]]) -> pd.DataFrame:
+    return pd.DataFrame({"document_id": pd.Series([key] * len(rows), dtype="int64"), "operation_id": [r[0] for r in rows], "at": pd.to_datetime([r[1] for r in rows], unit="us"), "outcome": [r[2] for r in rows]})
 
 
 class Leases(StatefulProcessor):
@@ -36,26 +40,26 @@ class Leases(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "operation string, ends double")
+        self.held = handle.getValueState("held", "operation string, ends long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.held.get() if self.held.exists() else None
         held, out = (tuple(held) if held else None), []
         for r in pd.concat(list(rows)).sort_values(["at", "operation_id", "kind"]).itertuples():
             before = held
-            held, told = _step(held, r.operation_id, r.kind, r.at.timestamp(), int(r.seconds))
+            held, told = _step(held, r.operation_id, r.kind, _micros(r.at), int(r.seconds))
             out += told
             if before and before != held:
-                self.handle.deleteTimer(int(before[1] * 1000))
+                self.handle.deleteTimer(before[1] // 1000)
             if held and held != before:
-                self.handle.registerTimer(int(held[1] * 1000))
+                self.handle.registerTimer(held[1] // 1000)
         self.held.update(held) if held else self.held.clear()
         yield _told(key[0], out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.held.exists():
             operation, ends = self.held.get()
-            if int(ends * 1000) <= expiredTimerInfo.getExpiryTimeInMs():
+            if ends // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
                 self.held.clear()
                 yield _told(key[0], [(operation, ends, "expired")])
 
@@ -87,12 +91,12 @@ def lease_outcomes(wants: DataFrame, until) -> DataFrame:
                 if r.document_id != key:
                     key, held = r.document_id, None
                 if r.kind == "end":
-                    if held and held[1] <= r.at.timestamp():
+                    if held and held[1] <= _micros(r.at):
                         say(key, [(held[0], held[1], "expired")])
                     continue
-                held, told = _step(held, r.operation_id, r.kind, r.at.timestamp(), int(r.seconds))
+                held, told = _step(held, r.operation_id, r.kind, _micros(r.at), int(r.seconds))
                 say(key, told)
-            yield pd.DataFrame(out).assign(at=lambda x: pd.to_datetime(x["at"], unit="s"))
+            yield pd.DataFrame(out).assign(at=lambda x: pd.to_datetime(x["at"], unit="us"))
 
     ends = wants.select("document_id").distinct().select("document_id", F.lit("").alias("operation_id"), F.lit("end").alias("kind"), F.lit(until).cast("timestamp").alias("at"), F.lit(0).alias("seconds"))
     both = wants.select("document_id", "operation_id", "kind", "at", "seconds").withColumn("last", F.lit(0)).unionByName(ends.withColumn("last", F.lit(1)))
@@ -103,23 +107,23 @@ class Entries(StatefulProcessor):
     """Entries of a trace by key: a new value replaces the one before; what has not been set again for the time to live ends."""
 
     def __init__(self, seconds: int):
-        self.seconds = seconds
+        self.micros = seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at double, n long")
+        self.last = handle.getValueState("last", "at long, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         at, n, out = (*self.last.get(),) if self.last.exists() else (None, 0)
         out = []
-        for r in sorted(x.timestamp() for f in rows for x in f["at"]):
-            if at is not None and at + self.seconds <= r:
+        for r in sorted(_micros(x) for f in rows for x in f["at"]):
+            if at is not None and at + self.micros <= r:
                 out.append((at, n))
                 n = 0
             if at is not None:
-                self.handle.deleteTimer(int((at + self.seconds) * 1000))
+                self.handle.deleteTimer((at + self.micros) // 1000)
             at, n = r, n + 1
-            self.handle.registerTimer(int((at + self.seconds) * 1000))
+            self.handle.registerTimer((at + self.micros) // 1000)
         self.last.update((at, n))
         yield self._told(key[0], out)
 
@@ -130,7 +134,7 @@ class Entries(StatefulProcessor):
             yield self._told(key[0], [(at, n)])
 
     def _told(self, key, rows) -> pd.DataFrame:
-        return pd.DataFrame({"key": pd.Series([key] * len(rows), dtype="int64"), "ended": pd.to_datetime([a + self.seconds for a, _ in rows], unit="s"), "n": pd.Series([n for _, n in rows], dtype="int64")})
+        return pd.DataFrame({"key": pd.Series([key] * len(rows), dtype="int64"), "ended": pd.to_datetime([a + self.micros for a, _ in rows], unit="us"), "n": pd.Series([n for _, n in rows], dtype="int64")})
 
     def close(self) -> None:
         pass
