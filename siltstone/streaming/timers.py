@@ -114,8 +114,7 @@ class Entries(StatefulProcessor):
         self.last = handle.getValueState("last", "at long, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, n, out = (*self.last.get(),) if self.last.exists() else (None, 0)
-        out = []
+        (at, n), out = self.last.get() if self.last.exists() else (None, 0), []
         for r in sorted(_micros(x) for f in rows for x in f["at"]):
             if at is not None and at + self.micros <= r:
                 out.append((at, n))
