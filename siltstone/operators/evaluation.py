@@ -208,6 +208,21 @@ def diagnose(expected: DataFrame, observed: DataFrame, rows: DataFrame) -> DataF
     return both.select("query_id", "mode", F.size("e").alias("n_expected"), F.size("o").alias("n_observed"), F.size("exact").alias("n_exact"), found.alias("failures"))
 
 
+#: What a failure of a graph row says about predicates and ends.
+CONFUSION = {
+    "predicate_mismatch": "expected_predicate_vs_observed_same_endpoint",
+    "direction_reversed": "same_predicate_endpoint_direction_reversed",
+    "subject_object_mismatch": "same_predicate_subject_object_mismatch",
+}
+
+
+def confusion(diagnosed: DataFrame) -> DataFrame:
+    """(confusion, count) over graph rows that expect edges: one for each row and failure."""
+    named = F.create_map(*[F.lit(x) for kv in CONFUSION.items() for x in kv])
+    rows = diagnosed.where("mode = 'graph_rag' and n_expected > 0").select(F.explode("failures").alias("failure")).select(named[F.col("failure")].alias("confusion")).where("confusion is not null")
+    return rows.groupBy("confusion").agg(F.count(F.lit(1)).alias("count"))
+
+
 def _all(*terms: Column) -> Column:
     out = terms[0]
     for t in terms[1:]:

@@ -209,6 +209,11 @@ def orphans(entities: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataF
     return entities.join(mentions.select("name").distinct(), "name", "left_anti").join(ends, "name", "left_anti")
 
 
+def legacy_deletes(entities: DataFrame, mentions: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """Entities (name, source) of the given sources that maintenance may delete: no document mentions them and no edge touches them."""
+    return orphans(entities.join(sources.select("source").distinct(), "source", "left_semi"), mentions, edges)
+
+
 def search_entities(entities: DataFrame, words: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, name, rank): entities whose name or description holds the query's word; the first by name."""
     held = entities.select("name", F.col("name").alias("text")).unionByName(entities.select("name", F.col("description").alias("text")))

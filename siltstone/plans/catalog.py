@@ -101,12 +101,12 @@ def _queries(spark, d):
 
 
 def _ranked(sql: str, k: int) -> str:
-    return f"SELECT query_id, doc_id, chunk_index, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM {sql}) WHERE rank <= {k}"
+    return f"SELECT query_id, doc_id, chunk_index, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM {sql}) WHERE rank <= {k}"
 
 
 @query(f"WITH {BM25} {_ranked('sc', 10)}")
 def bm25_topk(spark, d):
-    return retrieval.bm25(_queries(spark, d), _chunks(spark, d), 10).withColumn("score", F.round("score", 6))
+    return retrieval.bm25(_queries(spark, d), _chunks(spark, d), 10)
 
 
 @query(f"WITH {BM25} {_ranked('(SELECT sc.* FROM sc JOIN documents USING (doc_id) WHERE source IN (SELECT max(source) FROM documents UNION SELECT min(source) FROM documents))', 5)}")
@@ -114,7 +114,7 @@ def bm25_scoped_topk(spark, d):
     docs = load(spark, d, "documents")
     ends = docs.agg(F.max("source").alias("a"), F.min("source").alias("b")).select(F.explode(F.array("a", "b")).alias("source"))
     allowed = docs.join(F.broadcast(ends), "source", "left_semi").select("doc_id")
-    return retrieval.bm25(_queries(spark, d), _chunks(spark, d), 5, allowed=allowed).withColumn("score", F.round("score", 6))
+    return retrieval.bm25(_queries(spark, d), _chunks(spark, d), 5, allowed=allowed)
 
 
 @query(rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term""")

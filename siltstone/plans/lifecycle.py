@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..session import load
 from ..storage import folder
 from . import docstore, versions
-from .catalog import query
+from .catalog import CHUNKS, _chunks, query
 
 #: Of 41 documents in a row, those whose update can't take a step, and the step.
 REFUSED = {1: "vector_activated", 2: "graph_activated", 3: "chunk_activated", 4: "mongo_ready", 5: "prepared", 6: "chunk_staged", 7: "mongo_reserved"}
@@ -200,3 +201,58 @@ def migration_run(spark, d):
     again = versions.Migration(spark, at)
     again.run(source, 8, change=change)
     return again.rows().select("id", "lang", "source", "n_chars", "content_hash")
+
+
+# --- strict joins, hash trees, point reads
+
+@query("""WITH l AS (SELECT CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_id % 300 END AS k FROM events WHERE event_type <> 'view'), r AS (SELECT item_id AS k FROM benchmark UNION ALL SELECT item_id FROM benchmark WHERE item_id % 9 = 0 UNION ALL SELECT 1000 + item_id FROM benchmark),
+n AS (SELECT k, sum(a) AS a, sum(b) AS b, max(odd) AS odd FROM (SELECT k, 1 AS a, 0 AS b, CASE WHEN k IS NULL THEN 1 ELSE 0 END AS odd FROM l UNION ALL SELECT k, 0, 1, CASE WHEN k IS NULL THEN 2 ELSE 0 END FROM r) GROUP BY k, odd),
+s AS (SELECT *, CASE WHEN odd > 0 THEN 'no_key' WHEN a > 1 OR b > 1 THEN 'repeated' WHEN b = 0 THEN 'missing_right' WHEN a = 0 THEN 'missing_left' ELSE 'matched' END AS status FROM n)
+SELECT status, count(*) AS n_keys, CAST(sum(a) AS BIGINT) AS n_left, CAST(sum(b) AS BIGINT) AS n_right FROM s GROUP BY status""")
+def strict_join_report(spark, d):
+    """Events as results and items as cases, some without, some with several of the other: where all rows have gone."""
+    from ..operators import strict
+
+    id = F.col("event_id")
+    results = load(spark, d, "events").where("event_type <> 'view'").select(F.when(id % 97 != 0, id % 300).alias("k"), "value")
+    item = load(spark, d, "benchmark").select(F.col("item_id").alias("k"), "text")
+    cases = item.unionByName(item.where("k % 9 = 0")).unionByName(item.withColumn("k", F.col("k") + 1000))
+    return strict.accounted(strict.one_to_one(results, cases, ["k"]))
+
+
+@query("""WITH f AS (SELECT source AS tree, CAST(doc_id AS VARCHAR) AS path, sha256(coalesce(text, '')) AS h FROM documents),
+g AS (SELECT tree, sha256(path)[1:3] AS g, sha256(string_agg(path || chr(31) || h, chr(10) ORDER BY path)) AS h, count(*) AS n FROM f GROUP BY ALL),
+t AS (SELECT tree, g[1:1] AS d, sha256(string_agg(g || chr(31) || h, chr(10) ORDER BY g)) AS h, sum(n) AS n FROM g GROUP BY ALL)
+SELECT tree, CAST(sum(n) AS BIGINT) AS n_files, sha256(string_agg(d || chr(31) || h, chr(10) ORDER BY d)) AS root FROM t GROUP BY tree""")
+def tree_roots(spark, d):
+    """Sources as trees of documents."""
+    from ..sources import files
+
+    docs = load(spark, d, "documents").select(F.col("source").alias("tree"), F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return files.tree_roots(docs)
+
+
+@query(f"""WITH {CHUNKS}, c AS (SELECT *, 'p' || (chunk_index // 4) AS parent_id FROM chunks)
+SELECT doc_id AS document_id, parent_id, 'c' || chunk_index AS chunk_id, chunk_index, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY chunk_index) AS nth, sha256(content) AS content_hash FROM c WHERE doc_id % 50 = 0""")
+def children_by_parent(spark, d):
+    """Windows of all documents laid out by document, four to a parent; the children of all parents of every fiftieth document."""
+    from .points import ChunkTable
+
+    at = folder(spark, "chunks")
+    rows = _chunks(spark, d).select(
+        F.col("doc_id").alias("document_id"), F.lit(1).cast("long").alias("version"), F.concat(F.lit("p"), F.floor(F.col("chunk_index") / 4).cast("string")).alias("parent_id"),
+        F.concat(F.lit("c"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", F.lit("ready").alias("status"), F.lit(True).alias("is_current"), F.sha2("content", 256).alias("content_hash"),
+    )
+    table = ChunkTable(spark, f"chunks_{at.rsplit('-', 1)[1]}", at)
+    table.write(rows)
+    return table.of(rows.where("document_id % 50 = 0")).select("document_id", "parent_id", "chunk_id", "chunk_index", "nth", "content_hash")
+
+
+@query("""SELECT 'customer:' || c_custkey AS name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0) AND c_acctbal < 0""")
+def legacy_entity_deletes(spark, d):
+    """Customers of two sources; accounts in credit are mentioned, every twentieth order is an edge."""
+    name = lambda c: F.concat(F.lit("customer:"), F.col(c).cast("string"))
+    c = load(spark, d, "customer").select(name("c_custkey").alias("name"), F.col("c_mktsegment").alias("source"), "c_acctbal")
+    edges = load(spark, d, "orders").where("o_orderkey % 20 = 0").select(name("o_custkey").alias("subject"), F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("object"))
+    sources = spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "source string")
+    return graph.legacy_deletes(c.select("name", "source"), c.where("c_acctbal >= 0").select("name"), edges, sources).select("name")

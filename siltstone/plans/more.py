@@ -74,6 +74,11 @@ def failure_priorities(spark, d):
     return evaluation.priorities(_diagnosed(spark, d))
 
 
+@query()
+def predicate_confusion(spark, d):
+    return evaluation.confusion(_diagnosed(spark, d))
+
+
 @query("SELECT o_orderpriority AS stage, o_custkey AS fingerprint, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS sources FROM orders GROUP BY ALL")
 def merged_traces(spark, d):
     t = load(spark, d, "orders").select(F.col("o_orderpriority").alias("stage"), F.col("o_custkey").alias("fingerprint"), F.col("o_orderstatus").alias("source"))

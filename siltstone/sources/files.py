@@ -62,6 +62,34 @@ def tree_hash(files: DataFrame) -> DataFrame:
     return files.agg(F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r["path"], F.lit("\x1f"), r["sha256"])), "\n"), 256).alias("tree_sha256"))
 
 
+#: Digits of a name's hash by which a tree's leaves are grouped: 4096 groups.
+FAN = 3
+
+
+def tree_roots(files: DataFrame, tree: str = "tree") -> DataFrame:
+    """(tree, n_files, root) of files (tree, path, sha256): a hash tree of three levels. Files are grouped by the first digits of the hash of their path, a
+    group's hash is of its files in order of paths, the root's of the 16 hashes of the groups that share their first digit. The grouping depends on
+    paths alone, so equal trees have equal roots however they are stored, two trees can be compared group by group, and no task holds more than a group."""
+    line = F.struct(F.col("path"), F.col("sha256"))
+    joined = lambda rows, *f: F.sha2(F.array_join(F.transform(F.array_sort(rows), lambda r: F.concat_ws("\x1f", *[r[x] for x in f])), "\n"), 256)
+    groups = files.groupBy(tree, F.substr(F.sha2("path", 256), F.lit(1), F.lit(FAN)).alias("g")).agg(joined(F.collect_list(line), "path", "sha256").alias("h"), F.count(F.lit(1)).alias("n"))
+    heads = groups.groupBy(tree, F.substr("g", F.lit(1), F.lit(1)).alias("d")).agg(joined(F.collect_list(F.struct("g", "h")), "g", "h").alias("h"), F.sum("n").alias("n"))
+    return heads.groupBy(tree).agg(F.sum("n").alias("n_files"), joined(F.collect_list(F.struct("d", "h")), "d", "h").alias("root"))
+
+
+def tree_changes(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(path, change) of two versions of a tree (path, sha256): added, removed, changed. Only groups whose hashes differ are looked at."""
+    def group(df):
+        return df.withColumn("g", F.substr(F.sha2("path", 256), F.lit(1), F.lit(FAN)))
+
+    a, b = group(one), group(two)
+    hashed = lambda df: df.groupBy("g").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda r: F.concat_ws("\x1f", r["path"], r["sha256"])), "\n"), 256).alias("h"))
+    differ = hashed(a).join(hashed(b).withColumnRenamed("h", "k"), "g", "full").where("not (h <=> k)").select("g")
+    near = lambda df, name: df.join(differ, "g", "left_semi").select("path", F.col("sha256").alias(name))
+    both = near(a, "x").join(near(b, "y"), "path", "full").where("not (x <=> y)")
+    return both.select("path", F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").otherwise("changed").alias("change"))
+
+
 def write_report(df: DataFrame, path: str, form: str = "json") -> None:
     """JSON, CSV or text; Spark's commit protocol makes the folder appear whole or not at all."""
     writer = df.coalesce(1).write.mode("overwrite")

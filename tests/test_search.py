@@ -184,3 +184,53 @@ def test_uploads_without_a_name_share_one(spark):
     up = spark.createDataFrame([("n", None, 1, "a"), ("n", None, 2, "b"), ("n", "", 3, "a"), (None, "k", 4, "c")], "namespace string, logical_key string, arrival long, content_hash string")
     got = {r.arrival: (r.namespace, r.logical_key, r.version, r.outcome) for r in versions.reserve(none, up).collect()}
     assert got == {1: ("n", "unnamed", 1, "reserved"), 2: ("n", "unnamed", 2, "reserved"), 3: ("n", "unnamed", 1, "unchanged"), 4: ("unnamed", "k", 1, "reserved")}
+
+
+def test_strict_join_accounts_for_all(spark):
+    from siltstone.operators import strict
+
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (3, "w"), (None, "n"), (5, "v")], "k int, a string")
+    b = spark.createDataFrame([(1, "X"), (2, "Y"), (4, "Q"), (None, "N"), (5, "V"), (5, "U")], "k int, b string")
+    got = {(r.k, r.status, r.n_left, r.n_right): (r.left and r.left.a, r.right and r.right.b) for r in strict.one_to_one(a, b, ["k"]).collect()}
+    assert got == {(1, "matched", 1, 1): ("x", "X"), (2, "repeated", 2, 1): (None, None), (3, "missing_right", 1, 0): (None, None), (4, "missing_left", 0, 1): (None, None),
+                   (5, "repeated", 1, 2): (None, None), (None, "no_key", 1, 0): (None, None), (None, "no_key", 0, 1): (None, None)}
+    assert strict.whole(strict.one_to_one(a, b, ["k"])).count() == 0 and strict.whole(strict.one_to_one(a.where("k = 1"), b.where("k = 1"), ["k"])).count() == 1
+    plan = strict.accounted(strict.one_to_one(a, b, ["k"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # one of the keys, one of the four statuses
+
+
+def test_hash_trees(spark):
+    from siltstone.sources import files
+
+    one = spark.createDataFrame([(f"f{i}", f"h{i}") for i in range(300)], "path string, sha256 string")
+    two = one.where("path <> 'f7'").withColumn("sha256", F.when(F.col("path") == "f9", "other").otherwise(F.col("sha256"))).union(spark.createDataFrame([("g", "h")], one.schema))
+    root = lambda df: files.tree_roots(df.withColumn("tree", F.lit(1))).first().root
+    assert root(one) == root(one.repartition(7)) != root(two)
+    assert {tuple(r) for r in files.tree_changes(one, two).collect()} == {("f7", "removed"), ("f9", "changed"), ("g", "added")} and files.tree_changes(one, one).count() == 0
+
+
+def test_point_reads_open_one_bucket(spark, tmp_path):
+    from siltstone.plans.points import ChunkTable
+
+    rows = spark.range(4000).select(
+        (F.col("id") % 200).alias("document_id"), F.lit(1).cast("long").alias("version"), F.concat(F.lit("p"), (F.floor(F.col("id") / 200) % 4).cast("string")).alias("parent_id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"),
+        F.floor(F.col("id") / 200).cast("int").alias("chunk_index"), F.lit("ready").alias("status"), (F.col("id") % 200 != 3).alias("is_current"))
+    t = ChunkTable(spark, "points_test", f"file://{tmp_path}/t", 8)
+    t.write(rows)
+    assert [r.chunk_index for r in t.children(5, 1, "p1").collect()] == [1, 5, 9, 13, 17]
+    assert t.get(5, 1, "c205").count() == 1 and t.get(5, 1, "c206").count() == 0
+    parts = lambda df: df._jdf.queryExecution().toRdd().getNumPartitions()
+    assert parts(t.get(5, 1, "c205")) == 1 == parts(t.rows().where("document_id = 5 and parent_id = 'p1'")) < parts(t.rows())  # of eight files one is opened
+    assert t.current(3).count() == 0 and [(r.document_id, r.chunk_index) for r in t.current().limit(2).collect()] == [(0, 0), (0, 1)]
+    wants = rows.where("document_id % 50 = 0").select("document_id", "version", "parent_id")
+    got = t.of(wants)
+    assert got.count() == 80 and {r.nth for r in got.collect()} == {1, 2, 3, 4, 5}
+    t.drop()
+
+
+def test_confusion_counts_graph_rows(spark):
+    from siltstone.operators import evaluation
+
+    rows = [("a", "graph_rag", 1, ["predicate_mismatch", "direction_reversed"]), ("b", "graph_rag", 2, ["predicate_mismatch"]), ("c", "graph_rag", 0, ["predicate_mismatch"]), ("d", "vector_only", 1, ["predicate_mismatch"])]
+    got = evaluation.confusion(spark.createDataFrame(rows, "query_id string, mode string, n_expected int, failures array<string>"))
+    assert {tuple(r) for r in got.collect()} == {("expected_predicate_vs_observed_same_endpoint", 2), ("same_predicate_endpoint_direction_reversed", 1)}
