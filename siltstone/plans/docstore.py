@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.provenance import INCOMPLETE
-from ..storage import Log, delete, names
+from ..storage import Log, delete, names, staged
 from .versions import allowed
 
 #: The steps of operations, in order.
@@ -184,11 +184,10 @@ class DocumentStore:
         """The rows of a batch; sent again they replace what that batch has written, and nothing else."""
         rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/data/{store}")
 
-    def _alive(self, batch: str, kind: str) -> DataFrame:
-        """The batch's operations that go on."""
-        own = self.log.read().where(F.col("operation_id").startswith(f"{batch}/"))
-        own = own.where("operation_type = 'delete'" if kind == "delete" else "operation_type <> 'delete'")
-        return operations_of(own).where("status = 'running' and not stopped").select(*OPERATION)
+    def _passed(self, name: str) -> DataFrame:
+        """The operations that a commit says go on."""
+        number = self.log.commits()[name]
+        return self.spark.read.schema(STEP).parquet(f"{self.log.path}/{number:08d}-{name}").where("step = 'passed'").select(*OPERATION)
 
     def run(self, batch: str, operations: DataFrame, content: dict[str, DataFrame], now: Column, checks: dict[str, Check] | None = None) -> DataFrame:
         """Runs operations (operation_id, operation_type, document_id, version, previous_version, n_chunks, n_vectors) with the rows of their versions in
@@ -201,19 +200,23 @@ class DocumentStore:
         if not self.log.has(f"{batch}-locked"):
             held = leases(self.log.read()).where(F.col("expires_at") > now)
             free = named.join(held.select("document_id"), "document_id", "left_anti").withColumn("_nth", F.row_number().over(Window.partitionBy("document_id").orderBy("operation_id"))).where("_nth = 1")
-            self.log.commit(f"{batch}-locked", free.select(
-                *OPERATION, F.lit("locked").alias("step"), F.lit(0).alias("nth"), F.lit("running").alias("status"), (now + F.make_dt_interval(secs=F.lit(self.lease_seconds))).alias("expires_at")))
+            first = F.array(*[F.struct(F.lit(k).alias("nth"), F.lit(step).alias("step")) for k, step in enumerate(("locked", "passed"))])
+            self.log.commit(f"{batch}-locked", free.select(*OPERATION, F.explode(first).alias("t")).select(
+                *OPERATION, "t.step", "t.nth", F.lit("running").alias("status"), (now + F.make_dt_interval(secs=F.lit(self.lease_seconds))).alias("expires_at")))
         wants = named.select("operation_id", "n_chunks", "n_vectors")
         tests = {step: [check] for step, check in (checks or {}).items()}
         for step, own in (("chunk_staged", self._counted("catalog", batch, wants, "n_chunks")), ("vector_staged", self._counted("vectors", batch, wants, "n_vectors")), ("graph_staged", self._evidence(batch))):
             tests[step] = [own, *tests.get(step, [])]
-        kinds = {r[0] == "delete" for r in self.log.read().where(F.col("operation_id").startswith(f"{batch}/") & (F.col("step") == "locked")).select("operation_type").distinct().collect()}
+        begun = self._passed(f"{batch}-locked")
+        kinds = {r[0] == "delete" for r in begun.select("operation_type").distinct().collect()}
+        last = f"{batch}-locked"
         if False in kinds:
             for group in _groups(UPDATE, lambda step: step in tests or EFFECTS.get(step, ("", ""))[1] == "stage"):
-                if self.log.has(f"{batch}-{group[0]}"):
+                before, last = last, f"{batch}-{group[0]}"
+                if self.log.has(last):
                     continue
                 store, change = EFFECTS.get(group[0], ("", ""))
-                alive = self._alive(batch, "update")
+                alive = self._passed(before).where("operation_type <> 'delete'")
                 if change == "stage" and store in content:
                     rows = content[store].join(alive.select("document_id", "version"), ["document_id", "version"], "left_semi")
                     self._stage(store, batch, rows.dropDuplicates(["document_id", "version", "evidence_key"]) if store == "graph" else rows)
@@ -221,9 +224,11 @@ class DocumentStore:
             if not self.log.has(f"{batch}-undone"):
                 self._undo(f"{batch}-undone", self.operations().where(F.col("operation_id").startswith(f"{batch}/") & (F.col("status") == "compensating")), now)
         if True in kinds:  # a delete that stops before it is hidden stays running, and its lease is not given up: recovery is for it
+            last = f"{batch}-locked"
             for group in _groups((*HIDE, *CLEAN), lambda step: step in tests or step == CLEAN[0]):
-                if not self.log.has(f"{batch}-{group[0]}"):
-                    self._take(batch, group, self._alive(batch, "delete"), "cleanup_pending" if group[0] in CLEAN else "running", tests.get(group[0], []), group[-1] == CLEAN[-1], group[0] in CLEAN)
+                before, last = last, f"{batch}-{group[0]}"
+                if not self.log.has(last):
+                    self._take(batch, group, self._passed(before).where("operation_type = 'delete'"), "cleanup_pending" if group[0] in CLEAN else "running", tests.get(group[0], []), group[-1] == CLEAN[-1], group[0] in CLEAN)
         told = self.operations().where(F.col("operation_id").startswith(f"{batch}/")).select("operation_id", "status")
         return told.select(F.substr("operation_id", F.lit(len(batch) + 2)).alias("operation_id"), "status")
 
@@ -236,8 +241,7 @@ class DocumentStore:
             there = self.states().where("store = 'catalog'").select("document_id", "version", F.lit(True).alias("in_catalog"))
             alive = alive.join(there, ["document_id", "version"], "left")
         steps = [one(s, k, None, F.col("in_catalog").isNotNull() if s in needs else F.lit(True)) for k, s in enumerate(group)]
-        if ends:
-            steps += [one("finished", len(group), "succeeded"), one("released", len(group) + 1)]
+        steps += [one("finished", len(group), "succeeded"), one("released", len(group) + 1)] if ends else [one("passed", len(group))]
         rows = alive.select(*alive.columns, F.array(*steps).alias("todo"))
         if tests:
             bad = None
@@ -275,11 +279,10 @@ class DocumentStore:
         """Commits what recovery decides for these operations. Nothing is committed under a name that is there."""
         if self.log.has(name):
             return
-        told = recovery(operations, self.states(), leases(self.log.read()), now, broken).where("action in ('resume_cleanup', 'compensate')")
-        steps = told.select(*OPERATION, F.posexplode("steps").alias("nth", "step"), F.lit(None).cast("string").alias("status"))
-        ends = told.select(*OPERATION, F.lit(1000).alias("nth"), F.lit("recovered").alias("step"), F.col("new_status").alias("status"))
-        freed = told.select(*OPERATION, F.lit(1001).alias("nth"), F.lit("released").alias("step"), F.lit(None).cast("string").alias("status"))
-        self.log.commit(name, steps.unionByName(ends).unionByName(freed).withColumn("expires_at", F.lit(None).cast("timestamp")))
+        told = recovery(operations, staged(self.states(), "states"), leases(self.log.read()), now, broken).where("action in ('resume_cleanup', 'compensate')")
+        told = told.select(*OPERATION, "new_status", F.posexplode(F.concat("steps", F.array(F.lit("recovered"), F.lit("released")))).alias("nth", "step"))
+        status = F.when(F.col("step") == "recovered", F.col("new_status"))
+        self.log.commit(name, told.select(*OPERATION, "step", "nth", status.alias("status"), F.lit(None).cast("timestamp").alias("expires_at")))
 
     def recover(self, name: str, now: Column, broken: DataFrame | None = None) -> DataFrame:
         """Recovers all unfinished operations under a name, and returns (operation_id, status) of all. Run again it only looks at those that are
