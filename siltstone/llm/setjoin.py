@@ -6,7 +6,8 @@ threshold; the result gives each document the smallest id that links reach from
 1. Every text becomes a sorted array of shingle hashes. Equal sets are one class from here on, so
    copies are never expanded.
 2. Similar classes are brought together: within a band of set sizes at most D tokens can differ
-   between linked sets, so of D + 1 parts of the token space at least one is the same in both. Classes
+   between linked sets, so of D + 1 parts of the token space at least one is the same in both; some more parts are made,
+   so that empty ones, which very many sets share, need not count. Classes
    that share a part are tied to the smallest of them (a star, not all pairs); components of these ties
    are the groups outside of which no link can be.
 3. Inside, members form rows of a token-group matrix: runs of 32 similar sets, each with the union of
@@ -75,19 +76,28 @@ def bands(n: int, num: int, den: int) -> list[int]:
 
 
 def signatures(tokens: np.ndarray, low: list[int], num: int, den: int) -> np.ndarray:
-    """A hash of each part of the token space, for the band of the set's size and the band below."""
+    """A hash of each part of the token space, for the band of the set's size and the band below.
+
+    At most D tokens differ between linked sets, so of D + 1 + m parts at least m + 1 are the same in both. Parts without tokens are the same in
+    very many sets and say nothing: a set with up to m of them leaves them out, as then one of those m + 1 has tokens. A set with more
+    gives them all; so does any set that it agrees with in empty parts alone."""
     n = len(tokens)
     band = int(np.searchsorted(low, n, "right")) - 1
     out = []
     for i in (band, band - 1):
         if i < 0:
             continue
-        k = (low[i + 1] + low[i + 2] - 2) * (den - num) // (den + num) + 1
-        if k > 1:
-            part = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+        differ = (low[i + 1] + low[i + 2] - 2) * (den - num) // (den + num)
+        if differ:
+            spare = 1 + differ // 16
+            k = differ + 1 + spare
+            part = (((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
             total = np.zeros(k, np.uint64)
-            np.add.at(total, part.astype(np.int64), mix(tokens ^ _C))
-            out.append(mix(total + np.arange(k, dtype=np.uint64) * _A + np.full(k, i + 1, np.uint64) * _B))
+            np.add.at(total, part, mix(tokens ^ _C))
+            full = np.bincount(part, minlength=k) > 0
+            if k - int(full.sum()) > spare:
+                full[:] = True
+            out.append(mix(total + np.arange(k, dtype=np.uint64) * _A + np.full(k, i + 1, np.uint64) * _B)[full])
     return np.concatenate(out) if out else tokens[:0]
 
 
@@ -234,7 +244,6 @@ def _named(docs: DataFrame, id: str, text: str, n: int, num: int, den: int) -> D
     # written first, so that the parts of all sets are sent once at a time, and only once where few are shared
     shared = staged(parts.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("sig", "low"), "op7-shared")
     release(spark)
-    shared = F.broadcast(shared) if shared.count() <= SMALL_ROWS else shared
     tied = staged(parts.join(shared, "sig").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"), "h1").distinct(), "op7-ties")
     release(spark)
     near = components(tied.select("u", "v"), "op7-groups")

@@ -703,12 +703,15 @@ def test_pipeline_stages(spark, data):
     verdict = {r.doc_id: r.kept for r in quality.op9_quality_rules(spark, data).collect()}
     assert {r.doc_id for r in kept.collect()} == {i for i, ok in verdict.items() if ok}
     one = p.near_copies(spark, kept, data).collect()
-    comps = brute_components([(i, rows[i]["text"]) for i, ok in verdict.items() if ok])
+    comps = brute_components([(i, rows[i]["text"]) for i, ok in verdict.items() if ok], 5, 4, 5)
     assert {r.doc_id for r in one} == {i for i, (_, c) in comps.items() if i == c}
     df = spark.createDataFrame(one, docs.schema)
     cut = p.repeated_passages(spark, df, data).collect()
-    gone = {r[0]: r[2] for r in brute_repeats([(r.doc_id, r.text) for r in one], repeats.PASSAGE)}
-    assert all(0 <= len(rows[r.doc_id]["text"].encode()) - len(r.text.encode()) - gone[r.doc_id] + 6 <= 6 + 0 or gone[r.doc_id] for r in cut) and all(r.n_chars == len(r.text) for r in cut)
+    gone = {r[0]: r[2:4] for r in brute_repeats([(r.doc_id, r.text) for r in one], repeats.PASSAGE)}
+    for r in cut:  # at the ends of a cut a character may be cut in two, and then it stays or goes whole
+        lost, (n, spans) = len(rows[r.doc_id]["text"].encode()) - len(r.text.encode()), gone[r.doc_id]
+        assert abs(lost - n) <= 6 * spans and r.n_chars == len(r.text)
+    assert any(n for n, _ in gone.values())
     df = spark.createDataFrame(cut, docs.schema)
     clean = p.decontamination(spark, df, data).collect()
     hit = {r.doc_id for r in decontaminate.leaks(df, spark.read.parquet(f"{data}/benchmark.parquet")).collect()}
