@@ -25,10 +25,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_bytes, blocks, lists, lowered, mix, prefix_hash, release, signed, slice_hash, staged, words, workers
+from .common import WORD, as_bytes, blocks, discard, lists, lowered, mix, prefix_hash, release, signed, slice_hash, staged, words, workers
 from .graph import components
 
 CHUNK = 512
@@ -239,13 +239,18 @@ def _named(docs: DataFrame, id: str, text: str, n: int, num: int, den: int) -> D
     workers(spark)
     plain = docs.select(F.col(id).cast("long").alias("id"), digest(F.col(text)).alias("of"), F.col(text).alias("text"))
     told = staged(plain.mapInArrow(_describe(n, num, den), "id long, of binary, n_shingles long, h1 long, h2 long, sigs array<long>"), "op7-sets")
-    classes = told.where("n_shingles > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("sigs").alias("sigs"))
-    parts = classes.select("rep", "h1", F.explode("sigs").alias("sig"))
-    # written first, so that the parts of all sets are sent once at a time, and only once where few are shared
-    shared = staged(parts.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("sig", "low"), "op7-shared")
-    release(spark)
-    tied = staged(parts.join(shared, "sig").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"), "h1").distinct(), "op7-ties")
+    # one row of each class brings its parts: classes are found by their hashes alone, so that parts aren't sent for that
+    reps = staged(told.where("n_shingles > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "op7-classes", narrow=True)
+    side = F.broadcast(reps) if reps.count() <= SMALL_ROWS else reps
+    classes = told.where("n_shingles > 0").join(side, (F.col("id") == F.col("rep")) & (told["h1"] == reps["h1"]) & (told["h2"] == reps["h2"]))
+    parts = classes.select("rep", told["h1"], F.explode("sigs").alias("sig"))
+    # parts are sent once: sorted by part and set, the first set of each part is the one that the others are tied to
+    low = F.first("rep").over(Window.partitionBy("sig").orderBy("rep"))
+    tied = staged(parts.withColumn("low", low).where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"), "h1").distinct(), "op7-ties")
     release(spark)
+    rows = staged(told.drop("sigs"), "op7-rows")
+    discard(told)
+    told = rows
     near = components(tied.select("u", "v"), "op7-groups")
     # members of each group with the chunk that each is in
     width = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
