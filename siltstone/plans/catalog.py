@@ -215,9 +215,10 @@ def _contexts(spark, d):
     return load(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("arrival"), F.col("text").alias("content"), ((F.col("n_chars") % 89) / 89.0).alias("score"), kind("graph", "hybrid", "path", "vector").alias("retrieval_type"), kind("pdf", "table", "image", "text").alias("modality"))
 
 
-def _merge_sql(weights: str, prefix: int, k: int) -> str:
+def _merge_sql(weights: str, prefix: int, k: int | None) -> str:
+    top = "" if k is None else f" WHERE rank <= {k}"
     return f"""WITH {CONTEXTS}, w AS (SELECT *, score * {weights} AS weighted, row_number() OVER (PARTITION BY query_id, substr(content, 1, {prefix}) ORDER BY arrival) AS nth FROM ctx)
-SELECT query_id, arrival, round(weighted, 6) AS weighted, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(weighted, 9) DESC, arrival) AS rank FROM w WHERE nth = 1) WHERE rank <= {k}"""
+SELECT query_id, arrival, round(weighted, 6) AS weighted, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(weighted, 9) DESC, arrival) AS rank FROM w WHERE nth = 1){top}"""
 
 
 def _merge(df, weights, prefix, k):
@@ -229,9 +230,9 @@ def hybrid_legacy_rerank(spark, d):
     return _merge(_contexts(spark, d), fusion.HYBRID_WEIGHTS, 100, 8)
 
 
-@query(_merge_sql("CASE retrieval_type WHEN 'path' THEN 1.25 ELSE 1.0 END", 80, 1000000))
+@query(_merge_sql("CASE retrieval_type WHEN 'path' THEN 1.25 ELSE 1.0 END", 80, None))
 def dedupe_prefix_first(spark, d):
-    return _merge(_contexts(spark, d), fusion.GRAPHRAG_WEIGHTS, 80, 1000000)
+    return _merge(_contexts(spark, d), fusion.GRAPHRAG_WEIGHTS, 80, None)
 
 
 @query(f"""WITH {CONTEXTS}, w AS (SELECT *, score * CASE modality WHEN 'pdf' THEN 0.95 WHEN 'table' THEN 0.9 WHEN 'image' THEN 0.85 ELSE 1.0 END AS weighted FROM ctx)
