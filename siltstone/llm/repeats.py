@@ -44,6 +44,8 @@ from .common import _INVERSE, BLOCK_BYTES, _powers, apart, as_bytes, blocks, dis
 LENGTH, PASSAGE, ROLL, SPAN = 400, 200, 16, 128
 #: Extents of a core that are ordered in one place; widths of the bands that a larger one is split into.
 FEW, WIDTHS = 256, (16, 1)
+#: Extents whose contexts a task remembers to have sent.
+SEEN = 1 << 17
 #: Hot cores up to which their list is broadcast; more are joined by shuffle.
 SMALL_ROWS = 400_000
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -138,10 +140,43 @@ def _next(last: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(own[::-1])[::-1]
 
 
+def _fresh(core: np.ndarray, extent: np.ndarray, seen: set[bytes]) -> np.ndarray:
+    """Which phrases are the first of their extent; seen: gets them, and starts anew beyond SEEN, which costs space only."""
+    order = np.lexsort((extent, core))
+    pairs = np.stack([core, extent], 1)[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (pairs[1:] != pairs[:-1]).any(1)
+    keys = pairs[first].view("V16").ravel().tolist()
+    new = np.array([x not in seen for x in keys], bool)
+    if len(seen) > SEEN:
+        seen.clear()
+    seen.update(keys)
+    out = np.zeros(len(core), bool)
+    out[order[first][new]] = True
+    return out
+
+
+def _contexts(part: np.ndarray, a: np.ndarray, lead: np.ndarray, width: np.ndarray, core: int, fresh: np.ndarray) -> pa.Array:
+    """Of the fresh phrases what their strings hold, without the core; null for others. Made for some phrases at a time, as places
+    take eight times the bytes."""
+    width = np.where(fresh, width, 0)
+    ends = np.cumsum(width)
+    body = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for x in range(0, len(a), 512):
+        w = width[x : x + 512]
+        lo, hi = int(ends[x] - width[x]), int(ends[min(x + 512, len(a)) - 1])
+        inside = np.arange(lo, hi) - np.repeat(ends[x : x + 512] - w, w)
+        body[lo:hi] = part[np.repeat(a[x : x + 512], w) + inside + np.where(inside >= np.repeat(lead[x : x + 512], w), core, 0)]
+    offsets, valid = np.concatenate(([0], ends)).astype(np.int32), np.packbits(fresh, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(a), [pa.py_buffer(valid), pa.py_buffer(offsets), pa.py_buffer(body)])
+
+
 def _runs(shape: Shape):
-    """The phrases with a core in `cores`; context: what their strings hold, without the core."""
+    """The phrases with a core in `cores`; context: what their strings hold, without the core. The first of an extent brings it for
+    all that the task meets."""
 
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
             buf, off = as_bytes(batch.column("text"))
             k1, k2, copies = (batch.column(c).to_numpy() for c in ("k1", "k2", "copies"))
@@ -162,15 +197,11 @@ def _runs(shape: Shape):
                     stop = np.maximum(stop, np.where(living[b] >= a, living[b] + n, 0))
                 stop = np.minimum(stop, o[1:][d])
                 extent = signed(mix(slice_hash(h, a, stop) + (t - a).astype(np.uint64) * _B + (b - a).astype(np.uint64) * _A))
-                lead, width = t - a, (t - a) + (stop - t - shape.core)
-                ends = np.cumsum(width)
-                inside = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - width, width)
-                place = np.repeat(a, width) + inside + np.where(inside >= np.repeat(lead, width), shape.core, 0)
-                offsets = np.concatenate(([0], ends)).astype(np.int32)
-                context = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(part[place]))])
+                del last, h
+                context = _contexts(part, a, t - a, (t - a) + (stop - t - shape.core), shape.core, _fresh(core, extent, seen))
                 ints = lambda v: pa.array(v.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[x + d]), pa.array(k2[x + d]), ints(t - o[d] + moved), pa.array(core), pa.array(extent), pa.array(copies[x + d]), ints(lead), ints(b - a + 1), context],
+                    [pa.array(k1[x + d]), pa.array(k2[x + d]), ints(t - o[d] + moved), pa.array(core), pa.array(extent), pa.array(copies[x + d]), ints(t - a), ints(b - a + 1), context],
                     names=_names(RUNS),
                 )
 
@@ -377,7 +408,7 @@ def _keys(text: str) -> list[F.Column]:
 
 
 def _counted(rows: DataFrame, *by: str) -> DataFrame:
-    first = [F.first(c).alias(c) for c in ("lead", "starts", "context")]
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("lead", "starts", "context")]
     return rows.groupBy("core", "extent", *by).agg(F.sum("copies").alias("copies"), *first)
 
 

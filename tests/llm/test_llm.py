@@ -320,6 +320,31 @@ def test_repeats_of_two_lengths_and_split_cores(spark, few, monkeypatch):
     assert passages(spark.createDataFrame(rows, SCHEMA).repartition(5)) == brute_passages(rows)
 
 
+@pytest.mark.parametrize("seen", [1 << 17, 1])
+def test_contexts_are_sent_once(spark, seen, monkeypatch):
+    """A task sends the context of an extent once, however many phrases have it, and results don't depend on what it remembers."""
+    monkeypatch.setattr(repeats, "SEEN", seen)
+    rng = random.Random(21)
+    some = lambda n: "".join(rng.choice("abcdefghé ") for _ in range(n))
+    common = [some(700) for _ in range(4)]
+    rows = [(k, some(rng.randrange(250)) + common[k % 4] + some(120)) for k in range(60)]
+    texts, shape = [t for _, t in rows], repeats.Shape((200, 400))
+    keys = pa.array(range(60), pa.int64())
+    cores = pa.Table.from_batches(list(repeats._cores(shape)(iter(pa.table({"k1": keys, "text": texts}).to_batches())))).to_pandas()
+    twice = cores[cores.duplicated("core", keep=False)].groupby("k1")["core"].agg(lambda x: sorted(set(x)))
+    held = pa.table({"k1": keys, "k2": keys, "copies": pa.array([1] * 60, pa.int64()), "text": texts, "cores": pa.array([list(twice.get(k, [])) for k in range(60)], pa.list_(pa.int64()))})
+    got = pa.Table.from_batches(list(repeats._runs(shape)(iter(held.to_batches(max_chunksize=20))))).to_pylist()
+    sent = collections.Counter((r["core"], r["extent"]) for r in got if r["context"] is not None)
+    assert set(sent) == {(r["core"], r["extent"]) for r in got} and len(got) > len(sent)
+    assert seen == 1 or max(sent.values()) == 1
+    for r in got:
+        if r["context"] is not None:
+            body, a = texts[r["k1"]].encode(), r["at"] - r["lead"]
+            n = len(r["context"]) + shape.core
+            assert r["context"] == body[a : r["at"]] + body[r["at"] + shape.core : a + n]
+    assert passages(spark.createDataFrame(rows, SCHEMA).repartition(3)) == brute_passages(rows)
+
+
 def test_repeats_at_the_end_of_a_text(spark):
     """A copy that ends with its text has fewer windows, and so fewer phrases, than one that goes on."""
     rng = random.Random(12)
