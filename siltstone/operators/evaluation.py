@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
+
 GRAPH_MODES = ("graph_only", "vector_graph", "bm25_graph", "hybrid", "graph_rag")
 #: Phrases by which an answer abstains or denies.
 ABSTAINS = ("无法回答", "无法确定", "信息不足", "未提供", "未找到", "没有相关")
@@ -181,31 +183,52 @@ def loss_counts(diagnosed: DataFrame) -> DataFrame:
     return diagnosed.groupBy("first_loss").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _edge_counts(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """Per query, counts of distinct edges: n_expected and n_observed; of expected ones those that are observed (n_same: nulls equal; n_exact: without
+    nulls) and those with an observed edge of the same ends (n_ends), ends and predicate (n_named), or predicate but not ends (n_pred_only); and
+    observed ones that share no end with an expected one (n_far). Edges are grouped and summed, never compared pair by pair."""
+    side = lambda df, e, o: df.select("query_id", *EDGE, F.lit(e).alias("e"), F.lit(o).alias("o"))
+    edges = side(expected, 1, 0).unionByName(side(observed, 0, 1)).where("query_id is not null").groupBy("query_id", *EDGE).agg(F.max("e").alias("e"), F.max("o").alias("o"))
+    sums = lambda *names: [F.sum(c).alias(c) for c in names]
+    both = F.col("e") * F.col("o")
+    known = F.when(_all(*[F.col(c).isNotNull() for c in EDGE]), both).otherwise(0)
+    named = edges.groupBy("query_id", *EDGE[:3]).agg(F.sum("e").alias("n_expected"), F.sum("o").alias("n_observed"), F.sum(both).alias("n_same"), F.sum(known).alias("n_exact"))
+    named = staged(named, "edges")
+    ends = _all(*[F.col(c).isNotNull() for c in ("subject", "object")])
+    seen = F.max("n_observed").over(Window.partitionBy("query_id", "subject", "object")) > 0
+    hit = named.withColumn("n_ends", F.when(ends & seen, F.col("n_expected")).otherwise(0))
+    hit = hit.withColumn("n_named", F.when(ends & F.col("predicate").isNotNull() & (F.col("n_observed") > 0), F.col("n_expected")).otherwise(0))
+    counts = ("n_expected", "n_observed", "n_same", "n_exact", "n_ends", "n_named")
+    by = hit.groupBy("query_id", "predicate").agg(*sums(*counts))
+    only = F.when(F.col("predicate").isNotNull() & (F.col("n_observed") > 0), F.col("n_expected") - F.col("n_ends")).otherwise(0)
+    per = by.withColumn("n_pred_only", only).groupBy("query_id").agg(*sums(*counts, "n_pred_only"))
+    # an observed edge is far if no expected edge has its subject, nor, among the rest, its object
+    subjects = named.where("n_expected > 0").select("query_id", "subject").distinct()
+    rest = named.where("n_observed > 0").join(subjects, ["query_id", "subject"], "left_anti").select("query_id", "object", F.lit(0).cast("long").alias("n_expected"), "n_observed")
+    far = rest.unionByName(named.where("n_expected > 0").select("query_id", "object", "n_expected", F.lit(0).cast("long").alias("n_observed"))).groupBy("query_id", "object").agg(*sums("n_expected", "n_observed"))
+    far = far.where("n_expected = 0 or object is null").groupBy("query_id").agg(F.sum("n_observed").alias("n_far"))
+    return per.join(far, "query_id", "left").na.fill(0, ["n_far"])
+
+
 def diagnose(expected: DataFrame, observed: DataFrame, rows: DataFrame) -> DataFrame:
     """Failure categories per result row. rows: query_id, mode, graph_called, answer_correct, forbidden, requires_abstention,
     abstention_correct, source_coverage, question_correct."""
-    e = expected.select("query_id", *EDGE).distinct().groupBy("query_id").agg(F.collect_set(F.struct(*EDGE)).alias("e"))
-    o = observed.select("query_id", *EDGE).distinct().groupBy("query_id").agg(F.collect_set(F.struct(*EDGE)).alias("o"))
-    kind = f"array<struct<{','.join(f'{c}:string' for c in EDGE)}>>"
-    both = rows.join(e, "query_id", "left").join(o, "query_id", "left").withColumn("e", F.coalesce("e", F.array().cast(kind))).withColumn("o", F.coalesce("o", F.array().cast(kind)))
-    by = lambda *f: F.filter("e", lambda x: F.exists("o", lambda y: _all(*[x[c] == y[c] for c in f])))
-    sets = {"exact": by(*EDGE), "ends": by("subject", "object"), "named": by("subject", "predicate", "object"), "pred": by("predicate")}
-    near = F.filter("o", lambda y: F.exists("e", lambda x: (x["subject"] == y["subject"]) | (x["object"] == y["object"])))
-    both = both.withColumns({**sets, "near": near})
-    graph, some, path = F.col("mode") == "graph_rag", F.size("e") > 0, (F.col("mode") == "graph_rag") & (F.size("e") > 0)
-    less = lambda a, b: F.size(F.array_except(a, b)) > 0
+    counts = _edge_counts(expected, observed)
+    both = rows.join(counts, "query_id", "left").na.fill(0, counts.columns[1:])
+    n = lambda c: F.col(f"n_{c}")
+    graph, some, path = F.col("mode") == "graph_rag", n("expected") > 0, (F.col("mode") == "graph_rag") & (n("expected") > 0)
     # the names of the categories are fixed values
     rules = {
         "scorer_not_applicable": ~graph | ~some, "no_expected_relation": graph & ~some, "graph_not_called": path & ~F.col("graph_called"),
-        "no_graph_evidence": path & F.col("graph_called") & (F.size("o") == 0), "expected_edge_missing_from_prompt": path & less("e", "o"), "insufficient_evidence": path & less("e", "o"),
-        "predicate_mismatch": path & less("ends", "named"), "direction_reversed": path & less("named", "exact"), "subject_object_mismatch": path & less("pred", "ends"),
-        "incomplete_multi_hop_path": path & (F.size("e") > 1) & less("e", "exact"), "irrelevant_graph_evidence": path & less("o", "near"), "graph_top_k_dilution": path & (F.size("o") > 0) & (F.size("near") == 0),
-        "correct_evidence_but_wrong_answer": path & ~less("e", "exact") & ~F.col("answer_correct"), "forbidden_fact_generated": F.col("forbidden"),
+        "no_graph_evidence": path & F.col("graph_called") & (n("observed") == 0), "expected_edge_missing_from_prompt": path & (n("same") < n("expected")), "insufficient_evidence": path & (n("same") < n("expected")),
+        "predicate_mismatch": path & (n("named") < n("ends")), "direction_reversed": path & (n("exact") < n("named")), "subject_object_mismatch": path & (n("pred_only") > 0),
+        "incomplete_multi_hop_path": path & (n("expected") > 1) & (n("exact") < n("expected")), "irrelevant_graph_evidence": path & (n("far") > 0), "graph_top_k_dilution": path & (n("observed") > 0) & (n("far") == n("observed")),
+        "correct_evidence_but_wrong_answer": path & (n("exact") == n("expected")) & ~F.col("answer_correct"), "forbidden_fact_generated": F.col("forbidden"),
         "abstention_error": F.col("requires_abstention") & ~F.coalesce("abstention_correct", F.lit(False)), "source_coverage_error": ~F.col("requires_abstention") & (F.col("source_coverage") < 1.0),
         "scorer_false_negative": F.col("answer_correct") & ~F.col("question_correct"),
     }
     found = F.array_sort(F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()])))
-    return both.select("query_id", "mode", F.size("e").alias("n_expected"), F.size("o").alias("n_observed"), F.size("exact").alias("n_exact"), found.alias("failures"))
+    return both.select("query_id", "mode", *[n(c).cast("int").alias(f"n_{c}") for c in ("expected", "observed", "exact")], found.alias("failures"))
 
 
 #: What a failure of a graph row says about predicates and ends.

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +237,29 @@ def test_partitions_do_not_matter(spark, data, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def _brute_counts(e, o):
+    same = lambda x, y, f: all(x[c] == y[c] and x[c] is not None for c in f)
+    by = lambda *f: {x for x in e if any(same(x, y, f) for y in o)}
+    exact, ends, named, pred = by(0, 1, 2, 3), by(0, 2), by(0, 1, 2), by(1)
+    near = {y for y in o if any(same(x, y, [0]) or same(x, y, [2]) for x in e)}
+    found = {"expected_edge_missing_from_prompt": e - o, "insufficient_evidence": e - o, "predicate_mismatch": ends - named, "direction_reversed": named - exact, "subject_object_mismatch": pred - ends, "irrelevant_graph_evidence": o - near}
+    found |= {"incomplete_multi_hop_path": e - exact if len(e) > 1 else (), "graph_top_k_dilution": o if not near else (), "no_graph_evidence": () if o else e, "correct_evidence_but_wrong_answer": () if e - exact else e}
+    return len(e), len(o), len(exact), sorted(k for k, v in found.items() if v) if e else ["no_expected_relation", "scorer_not_applicable"]
+
+
+def test_diagnosis_counts_edges_instead_of_comparing_them(spark):
+    """Against brute force, with nulls and repeated edges; no query's edges are put into one row, where they were compared pair by pair."""
+    rng = random.Random(5)
+    pick = lambda x: rng.choice([*x, None] if rng.random() < 0.3 else x)
+    edge = lambda: (pick("abcd"), pick("UVW"), pick("abcd"), pick(["forward", "reverse"]))
+    sets = {f"q{k}": ([edge() for _ in range(rng.randrange(5))], [edge() for _ in range(rng.randrange(5))]) for k in range(120)}
+    sets |= {f"s{k}": (x, rng.sample(x, len(x)) + [edge() for _ in range(k % 2)]) for k, x in enumerate([[edge() for _ in range(rng.randrange(1, 4))] for _ in range(40)])}
+    schema = "query_id string, subject string, predicate string, object string, direction string"
+    e, o = (spark.createDataFrame([(q, *x) for q, s in sets.items() for x in s[i] + s[i][:1]], schema) for i in (0, 1))
+    rows = spark.createDataFrame([(q, "graph_rag", True, False, False, False, None, 1.0, False) for q in sets], "query_id string, mode string, graph_called boolean, answer_correct boolean, forbidden boolean, requires_abstention boolean, abstention_correct boolean, source_coverage double, question_correct boolean")
+    df = evaluation.diagnose(e, o, rows)
+    got = {r.query_id: (r.n_expected, r.n_observed, r.n_exact, r.failures) for r in df.collect()}
+    assert got == {q: _brute_counts(set(x), set(y)) for q, (x, y) in sets.items()}
+    assert "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
