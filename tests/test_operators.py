@@ -263,3 +263,22 @@ def test_diagnosis_counts_edges_instead_of_comparing_them(spark):
     got = {r.query_id: (r.n_expected, r.n_observed, r.n_exact, r.failures) for r in df.collect()}
     assert got == {q: _brute_counts(set(x), set(y)) for q, (x, y) in sets.items()}
     assert "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _brute_of_nations(duck):
+    """Failures of each nation's edges as more._diagnosed makes them."""
+    out = []
+    for q, names in duck.sql("SELECT k, list(n) FROM (SELECT s_nationkey AS k, 'supplier:' || s_suppkey AS n FROM supplier UNION ALL SELECT c_nationkey, 'customer:' || c_custkey FROM customer) GROUP BY k").fetchall():
+        e = {(x, "LOCATED_IN", f"nation:{q}", "forward") for x in names}
+        key = lambda x: int(x[0].split(":")[1])
+        o = {(x[0], "USES" if key(x) % 3 == 0 else x[1], x[2], "reverse" if key(x) % 5 == 0 else x[3]) for x in e if key(x) % 7}
+        out += [f for f in _brute_counts(e, o)[3] if f != "correct_evidence_but_wrong_answer" or q % 3]
+    return out
+
+
+def test_failure_priorities_of_nations(spark, data, duck):
+    from siltstone.plans import catalog, more  # noqa: F401
+
+    df, found = catalog.QUERIES["failure_priorities"](spark, data), _brute_of_nations(duck)
+    assert {tuple(r) for r in df.collect()} == {(i, f, found.count(f)) for i, f in enumerate(evaluation.PRIORITIES) if f in found}
+    assert "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
