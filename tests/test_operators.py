@@ -282,3 +282,11 @@ def test_failure_priorities_of_nations(spark, data, duck):
     df, found = catalog.QUERIES["failure_priorities"](spark, data), _brute_of_nations(duck)
     assert {tuple(r) for r in df.collect()} == {(i, f, found.count(f)) for i, f in enumerate(evaluation.PRIORITIES) if f in found}
     assert "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_predicate_confusion_of_nations(spark, data, duck):
+    from siltstone.plans import catalog, more  # noqa: F401
+
+    df, found = catalog.QUERIES["predicate_confusion"](spark, data), _brute_of_nations(duck)
+    assert {tuple(r) for r in df.collect()} == {(name, found.count(f)) for f, name in evaluation.CONFUSION.items() if f in found}
+    assert "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
