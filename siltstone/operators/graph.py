@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import evidence_key
 from ..storage import staged
 from .contain import containing
+from .retrieval import SMALL_ROWS
 
 RELATED = "RELATED_TO"
 #: Reviewed spellings and what each means.
@@ -151,55 +152,94 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int = 2, limit: int | None
     return out
 
 
-def _ball(both: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
-    """(target, node, dist): every node within `radius` steps of each target, once, at its least distance."""
-    seen = centres.select("target", F.col("target").alias("node"), F.lit(0).alias("dist"))
-    last = seen
-    steps = both.select("a", "b").distinct()
-    for n in range(1, radius + 1):
-        near = last.join(steps, last.node == steps.a).select("target", F.col("b").alias("node")).distinct()
-        last = near.join(seen.select("target", "node"), ["target", "node"], "left_anti").withColumn("dist", F.lit(n))
-        seen = staged(seen.unionByName(last), "ball")
-        last = seen.where(F.col("dist") == n)
-    return seen
+class _Trails:
+    """Trails (end, node, edge_ids) from ends, written, with their number."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.df, self.name = staged(df, name), name
+        self.n = self.df.count()
+
+    def hinted(self, df: DataFrame) -> DataFrame:
+        """Marks df, which has no more rows than this, for broadcast if these are few."""
+        return F.broadcast(df) if self.n <= SMALL_ROWS else df
+
+    def onward(self, both: DataFrame) -> DataFrame:
+        """By one more edge, at the head or, from targets, before the tail; an edge is used once."""
+        ids = F.concat(F.array("edge_id"), "edge_ids") if self.name == "target" else F.concat("edge_ids", F.array("edge_id"))
+        grown = both.join(self.hinted(self.df), (F.col("a") == F.col("node")) & ~F.array_contains("edge_ids", F.col("edge_id")))
+        return grown.select("end", F.col("b").alias("node"), ids.alias("edge_ids"))
+
+    def width(self, both: DataFrame) -> int:
+        """How many trails one more edge makes."""
+        nodes = self.df.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        return both.join(self.hinted(nodes), F.col("a") == F.col("node")).agg(F.sum("n")).first()[0] or 0
+
+
+def _met(pairs: DataFrame, heads: _Trails, tails: _Trails) -> DataFrame:
+    """(source, target, found, edge_ids) of pairs whose head and tail come to one node and share no edge."""
+    got = pairs.join(tails.hinted(tails.df.select(F.col("end").alias("target"), "node", F.col("edge_ids").alias("tail"))), "target")
+    got = got.join(heads.hinted(heads.df.select(F.col("end").alias("source"), "node", F.col("edge_ids").alias("head"))), ["source", "node"])
+    return got.where(~F.arrays_overlap("head", "tail")).select("source", "target", "found", F.concat("head", "tail").alias("edge_ids"))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 5, limit: int = 1) -> DataFrame:
     """(source, target, length, edge_ids): the `limit` (1 to 10) shortest paths of 1 to `hops` (1 to 5) undirected edges of each pair; ties by edge ids. An
     edge is used once per path, nodes may come again.
 
-    Lengths are tried one after the other, and a pair that has its paths leaves. Both ends are searched: of a path's last two steps only nodes within
-    that distance of the target are kept, from balls around the targets that hold each node once, so a hub's edges are followed only where they can lead
-    to the target. Until a pair has a path, the paths of the length at hand are shortest ones, which never meet an edge twice, so of those that come to a
-    node the first `limit` will do. Each length is written, which cuts lineage."""
+    Lengths are tried one after the other, and a pair that has its paths leaves. Heads grow from the distinct sources and tails from the distinct targets,
+    not from each pair, and for each length the side that one more edge makes fewer trails of grows by it: a hub's edges are followed once for each source
+    or target near it. Pairs then look for heads and tails that meet.
+
+    Until a pair has a path, the paths of the length at hand are shortest ones, so a node counts at its least distance from either end only, and of the
+    trails that come to it the first `limit` will do. A pair that has some paths and wants longer ones, one whose ends are equal, and any pair if an id is
+    that of several edges, asks all trails. Each step is written, which cuts lineage."""
     limit, hops = max(1, min(10, limit)), max(1, min(5, hops))
-    e = edges.select("edge_id", F.col("subject").alias("a"), F.col("object").alias("b"))
-    both = e.unionByName(e.select("edge_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").unionByName(e.where("a = b"))
-    wanted = staged(pairs.select("source", "target").where("source is not null and target is not null").distinct(), "pairs")
-    reach = min(2, hops - 1)
-    ball = _ball(both, wanted.select("target").distinct(), reach)
+    e = staged(edges.select("edge_id", F.col("subject").alias("a"), F.col("object").alias("b")).where("edge_id is not null and subject is not null and object is not null"), "steps")
+    both = e.where("a <> b").select("edge_id", F.col("b").alias("a"), F.col("a").alias("b")).unionByName(e)
+    ends = F.struct("a", "b")
+    shared = e.groupBy("edge_id").agg(F.min(ends).alias("x"), F.max(ends).alias("y")).where("x <> y").limit(1).count() > 0
+    wanted = pairs.select("source", "target").where("source is not null and target is not null").distinct()
+    every = (F.col("source") == F.col("target")) | F.lit(shared)
+    open_ = staged(wanted.select("source", "target", F.lit(0).cast("long").alias("found"), every.alias("every"), every.alias("new")), "open")
     kind = edges.schema["edge_id"].dataType.simpleString()
-    open_, out = wanted.withColumn("found", F.lit(0).cast("long")), None
+    start = lambda df, side: _Trails(df.select(F.col(side).alias("end"), F.col(side).alias("node"), F.array().cast(f"array<{kind}>").alias("edge_ids")).distinct(), side)
+    sides, order, width, all_, out = ("source", "target"), [], {}, {}, None
+    near = {side: [start(open_.where("not every"), side)] for side in sides}
     for length in range(1, hops + 1):
-        now = open_.select("source", "target", "found", F.col("source").alias("node"), F.array().cast(f"array<{kind}>").alias("edge_ids"))
-        for n in range(1, length + 1):
-            left = length - n
-            now = now.join(both, (now.node == both.a) & ~F.array_contains(now.edge_ids, both.edge_id)).select("source", "target", "found", F.col("b").alias("node"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"))
-            if not left:
-                now = now.where("node = target")
-            elif left <= reach:
-                now = now.join(ball.where(F.col("dist") <= left).select("target", "node"), ["target", "node"], "left_semi")
-            if left:
-                nth = F.row_number().over(Window.partitionBy("source", "target", "node", F.col("found") > 0).orderBy("edge_ids"))
-                now = now.withColumn("nth", nth).where((F.col("nth") <= limit) | (F.col("found") > 0)).drop("nth")
+        n = open_.agg(F.count_if(~F.col("every")).alias("first"), F.count_if("every").alias("rest"), F.count_if("new").alias("new")).first()
+        if length > 1 and not n.first + n.rest:
+            break
+        first, rest = open_.where("not every"), open_.where("every")
+        if n.first:
+            for side in sides:
+                width[side] = width[side] if side in width else near[side][-1].width(both)
+            side = min(sides, key=width.get)
+            last, zero = near[side][-1], near[side][0]
+            grown = last.onward(both).join(zero.hinted(first.select(F.col(side).alias("end")).distinct()), "end", "left_semi")
+            for x in near[side][-2:]:
+                grown = grown.join(x.hinted(x.df.select("end", "node").distinct()), ["end", "node"], "left_anti")
+            nth = F.row_number().over(Window.partitionBy("end", "node").orderBy("edge_ids"))
+            near[side].append(_Trails(grown.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth"), side))
+            width.pop(side)
+            order.append(side)
+        met = _met(first, near["source"][-1], near["target"][-1])
+        if n.rest:
+            if n.new or not all_:  # else those of the length before hold all ends
+                all_, done = {side: start(rest, side) for side in sides}, 0
+            for k in range(done, length):
+                if k == len(order):
+                    order.append(min(sides, key=lambda x: all_[x].width(both)))  # noqa: B023
+                all_[order[k]] = _Trails(all_[order[k]].onward(both), order[k])
+            done = length
+            met = met.unionByName(_met(rest, all_["source"], all_["target"]))
         w = Window.partitionBy("source", "target").orderBy("edge_ids")
-        made = now.withColumn("nth", F.row_number().over(w)).where(F.col("nth") + F.col("found") <= limit)
+        made = met.withColumn("nth", F.row_number().over(w)).where(F.col("nth") + F.col("found") <= limit)
         made = staged(made.select("source", "target", F.lit(length).alias("length"), "edge_ids"), "paths")
         out = made if out is None else out.unionByName(made)
-        more = made.groupBy("source", "target").agg(F.count(F.lit(1)).alias("more"))
-        open_ = staged(open_.join(more, ["source", "target"], "left").select("source", "target", (F.col("found") + F.coalesce("more", F.lit(0))).alias("found")).where(F.col("found") < limit), "open")
-        if not open_.limit(1).count():
-            break
+        count = made.groupBy("source", "target").agg(F.count(F.lit(1)).alias("more"))
+        now = F.col("found") + F.coalesce("more", F.lit(0))
+        more = open_.join(count, ["source", "target"], "left").select("source", "target", now.alias("found"), (F.col("every") | (now > 0)).alias("every"), (~F.col("every") & (now > 0)).alias("new"))
+        open_ = staged(more.where(F.col("found") < limit), "open")
     return out
 
 

@@ -234,3 +234,23 @@ def test_confusion_counts_graph_rows(spark):
     rows = [("a", "graph_rag", 1, ["predicate_mismatch", "direction_reversed"]), ("b", "graph_rag", 2, ["predicate_mismatch"]), ("c", "graph_rag", 0, ["predicate_mismatch"]), ("d", "vector_only", 1, ["predicate_mismatch"])]
     got = evaluation.confusion(spark.createDataFrame(rows, "query_id string, mode string, n_expected int, failures array<string>"))
     assert {tuple(r) for r in got.collect()} == {("expected_predicate_vs_observed_same_endpoint", 2), ("same_predicate_endpoint_direction_reversed", 1)}
+
+
+def test_paths_of_many_pairs_through_one_hub(spark):
+    """Two sources beside a hub, 20,000 targets two steps behind it: the hub's edges are followed for each source, not for each pair."""
+    import threading
+
+    n = 20_000
+    name = lambda letter, c="id": F.concat(F.lit(letter), F.col(c).cast("string"))
+    hub = spark.range(n).select(name("h").alias("edge_id"), name("c").alias("subject"), F.lit("hub").alias("object"))
+    leaf = spark.range(n).select(name("l").alias("edge_id"), name("o").alias("subject"), name("c").alias("object"))
+    far = spark.createDataFrame([("a", "s1", "hub"), ("b", "s2", "hub")], "edge_id string, subject string, object string")
+    pairs = spark.range(n).select(F.concat(F.lit("s"), (1 + F.col("id") % 2).cast("string")).alias("source"), name("o").alias("target"))
+    clock = threading.Timer(150, spark.sparkContext.cancelAllJobs)
+    clock.start()
+    try:
+        got = graph.shortest_paths(hub.unionByName(leaf).unionByName(far), pairs, 5, 3).collect()
+    finally:
+        clock.cancel()
+    assert {(r.source, r.target, r.length, tuple(r.edge_ids)) for r in got} == {(f"s{1 + i % 2}", f"o{i}", 3, ("ab"[i % 2], f"h{i}", f"l{i}")) for i in range(n)} and len(got) == n
+    assert graph.shortest_paths(far, pairs.limit(0), 5, 3).count() == 0
