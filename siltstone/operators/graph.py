@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import evidence_key
 from ..storage import staged
 from .contain import containing
-from .retrieval import SMALL_ROWS
+from .retrieval import SMALL_ROWS, small
 
 RELATED = "RELATED_TO"
 #: Reviewed spellings and what each means.
@@ -255,11 +255,16 @@ def legacy_deletes(entities: DataFrame, mentions: DataFrame, edges: DataFrame, s
 
 
 def search_entities(entities: DataFrame, words: DataFrame, limit: int = 20) -> DataFrame:
-    """(query_id, name, rank): entities whose name or description holds the query's word; the first by name."""
+    """(query_id, name, rank): entities whose name or description holds the query's word; the first by name, without a name last. Each distinct word is
+    searched once and keeps its first entities; queries take them from there."""
     held = entities.select("name", F.col("name").alias("text")).unionByName(entities.select("name", F.col("description").alias("text")))
-    both = containing(held, words, "name", "text", "query_id", "word")
-    w = Window.partitionBy("query_id").orderBy("name")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "name", "rank")
+    asked = words.where("word <> ''").select("query_id", "word").distinct()
+    both = containing(held, asked.select("word", F.col("word").alias("needle")).distinct(), "name", "text", "word", "needle")
+    nth = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.asc_nulls_last("name")))
+    first = staged(both.withColumn("rank", nth("word")).where(F.col("rank") <= limit).select("word", "name", "rank"), "first")
+    got = asked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).join(small(first), "word")
+    mixed = got.where("n > 1").select("query_id", "name").distinct().withColumn("rank", nth("query_id")).where(F.col("rank") <= limit)
+    return got.where("n = 1").select("query_id", "name", "rank").unionByName(mixed.select("query_id", "name", "rank"))
 
 
 def link_entities(texts: DataFrame, names: DataFrame, id: str = "query_id", text: str = "query") -> DataFrame:

@@ -254,3 +254,20 @@ def test_paths_of_many_pairs_through_one_hub(spark):
         clock.cancel()
     assert {(r.source, r.target, r.length, tuple(r.edge_ids)) for r in got} == {(f"s{1 + i % 2}", f"o{i}", 3, ("ab"[i % 2], f"h{i}", f"l{i}")) for i in range(n)} and len(got) == n
     assert graph.shortest_paths(far, pairs.limit(0), 5, 3).count() == 0
+
+
+def test_entity_search_asks_each_word_once(spark, monkeypatch):
+    """Against brute force, with queries of several words, repeated names and one without; a word that many queries ask is searched once."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    names = [(word(rng.randrange(1, 9)), rng.choice([None, word(3)])) for _ in range(60)] + [(None, "abc")]
+    words = [(f"q{i}", word(rng.randrange(1, 4))) for i in range(300)] + [(f"q{i}", word(2)) for i in range(20)] + [("q400", None), ("q401", "")]
+    asked, whole = [], graph.containing
+    monkeypatch.setattr(graph, "containing", lambda texts, needles, *a: asked.append(needles.count()) or whole(texts, needles, *a))
+    got = graph.search_entities(spark.createDataFrame(names, "name string, description string"), spark.createDataFrame(words, "query_id string, word string"), 5).collect()
+    want = set()
+    for q in {q for q, _ in words}:
+        hit = {n for n, t in names for x, w in words if x == q and w and (w in (n or "") or w in (t or ""))}
+        want |= {(q, n, i) for i, n in enumerate(sorted(hit, key=lambda n: (n is None, n or "")), 1) if i <= 5}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert asked == [len({w for _, w in words if w})]
