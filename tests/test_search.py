@@ -271,3 +271,20 @@ def test_entity_search_asks_each_word_once(spark, monkeypatch):
         want |= {(q, n, i) for i, n in enumerate(sorted(hit, key=lambda n: (n is None, n or "")), 1) if i <= 5}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert asked == [len({w for _, w in words if w})]
+
+
+def test_containing_with_many_strings(spark, monkeypatch):
+    """Too many strings to be broadcast, and more of them than text: those that no text can hold go first; also many texts with as many strings."""
+    monkeypatch.setattr(contain, "BEST_ROWS", 3)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abé\\n") for _ in range(n))
+    for n_texts, n_needles in ((6, 200), (80, 30)):
+        texts = [(i % 50, word(rng.randrange(0, 40))) for i in range(n_texts)] + [(99, None)]
+        needles = [(i, word(rng.randrange(0, 12))) for i in range(n_needles)] + [(400 + i, texts[i % n_texts][1][2:20]) for i in range(6)]
+        staged, rows = contain.staged, {}
+        monkeypatch.setattr(contain, "staged", lambda df, name: (lambda x: rows.setdefault(name, []).append(x.count()) or x)(staged(df, name)))  # noqa: B023
+        got = contain.containing(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(needles, "needle_id long, needle string")).collect()
+        monkeypatch.setattr(contain, "staged", staged)
+        want = {(i, j) for i, t in texts for j, n in needles if t is not None and n and n in t}
+        assert {(r.id, r.needle_id) for r in got} == want and len(got) == len(want)
+        assert n_texts > n_needles or rows["asked"][1] < rows["asked"][0] / 2
